@@ -150,7 +150,8 @@ def digest(spans: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and the spans as text."""
     name = F.array(*[F.lit(k) for k in KINDS])
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["end"])), ",")
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k))
+    n = [of(k).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     more = F.size("spans") - F.size("base")
     return spans.select("doc_id", *n, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"), more.cast("long").alias("n_context"))
 
