@@ -21,6 +21,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_spans(table(spark, sf_dir, "documents")))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiling import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan_licenses
 
@@ -47,6 +53,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
+    "op4_decontaminate": op4_decontaminate,
     "op5_license_scan": op5_license_scan,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
