@@ -17,12 +17,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import in_slices, pick
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _letter = regex.compile(r"\p{L}").search
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _AS = np.arange(128, dtype=np.uint32)
@@ -91,13 +91,15 @@ def score_texts(texts: list[str], table: np.ndarray) -> np.ndarray:
 
 def identify(docs: DataFrame, sample_rows: int = 6000) -> DataFrame:
     """For each row: doc_id, held_out, lang_pred, score (the posterior of lang_pred)."""
-    return predict(docs, *train(docs, sample_rows))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), held, F.col("text").cast("string"))
+    return predict(rows, *train(docs, sample_rows)).drop("text")
 
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """Scores every row with a trained table."""
-    rows = pick(docs, "doc_id", "text")
+def predict(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
+    """The rows with lang_pred and score by a trained table; rows have a column text and none of these two names."""
     model = rows.sparkSession.sparkContext.broadcast((langs, table))
+    kept = rows.columns
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, table = model.value
@@ -109,7 +111,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
             best = ll.argmax(axis=1)
             pred[known] = np.array(langs, object)[best]
             score[known] = 1 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
-        return pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+        return pa.record_batch([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return rows.select(F.col("doc_id").cast("long"), held.alias("held_out"), F.col("text").cast("string")).mapInArrow(in_slices(make, step=2 << 20), SCHEMA)
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(in_slices(make, step=2 << 20), schema)

@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_slices, pick, written
@@ -106,6 +106,11 @@ def uses(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     return out
 
 
+def text_key(text: Column) -> list[Column]:
+    """What stands for a text in joins: its hash and its size."""
+    return [F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("text_bytes")]
+
+
 def extract(docs: DataFrame) -> DataFrame:
     """One pass over the texts: doc_id, base spans, and the uses of patterns."""
 
@@ -115,10 +120,10 @@ def extract(docs: DataFrame) -> DataFrame:
             spans.append(mine := base_spans(text))
             used.append(uses(text, mine))
         rows = [[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in spans]
-        return pa.record_batch([batch.column("doc_id"), pa.array(rows, pa.list_(_SPAN)), pa.array(used, pa.list_(_USE))], names=["doc_id", "base", "uses"])
+        return pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), batch.column("text_bytes"), pa.array(rows, pa.list_(_SPAN)), pa.array(used, pa.list_(_USE))], names=["doc_id", "text_hash", "text_bytes", "base", "uses"])
 
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(in_slices(make), "doc_id long, base array<struct<start: int, kind: int, end: int>>, uses array<struct<pattern: long, instance: long, seed: boolean, start: int, end: int>>")
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), *text_key(F.col("text").cast("string")), F.col("text").cast("string"))
+    return rows.mapInArrow(in_slices(make), "doc_id long, text_hash long, text_bytes int, base array<struct<start: int, kind: int, end: int>>, uses array<struct<pattern: long, instance: long, seed: boolean, start: int, end: int>>")
 
 
 def confident_patterns(edges: DataFrame, rounds: int, confidence: float, support: int, prior: float) -> DataFrame:
@@ -142,8 +147,8 @@ def find_spans(docs: DataFrame, rounds: int = 3, confidence: float = 0.5, suppor
     edges = used.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     trusted = confident_patterns(edges, rounds, confidence, support, prior)
     new = used.where(~F.col("seed")).join(trusted, "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
-    both = found.select("row", "doc_id", "base").join(new, "row", "left")
-    return both.select("row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start: int, kind: int, end: int>>")))).alias("spans"))
+    both = found.select("row", "doc_id", "text_hash", "text_bytes", "base").join(new, "row", "left")
+    return both.select("row", "doc_id", "text_hash", "text_bytes", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start: int, kind: int, end: int>>")))).alias("spans"))
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -156,6 +161,26 @@ def digest(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", *n, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"), more.cast("long").alias("n_context"))
 
 
+def redacted(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs with all spans replaced in text, and n_chars counted anew.  Base spans are found again in place; only those
+    texts' further spans are joined, by the text's hash and size."""
+    spans = find_spans(docs, **options)
+    more = spans.where(F.size("spans") > F.size("base")).groupBy("text_hash", "text_bytes").agg(F.first(F.filter("spans", lambda s: s["kind"] == 4)).alias("more"))
+    keyed = docs.withColumns(dict(zip(("text_hash", "text_bytes"), text_key(F.col("text")), strict=True)))
+    kept = docs.columns
+    wide = keyed.join(more, ["text_hash", "text_bytes"], "left").select(*kept, "more")
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [
+            t if t is None else redact(t, [*base_spans(t), *[(s["start"], s["kind"], s["end"]) for s in m or []]])
+            for t, m in zip(batch.column("text").to_pylist(), batch.column("more").to_pylist(), strict=True)
+        ]
+        own = {"text": pa.array(out, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in out], pa.int64())}
+        return pa.record_batch([own.get(c, batch.column(c)) for c in kept], names=kept)
+
+    return wide.mapInArrow(in_slices(make), docs.schema)
+
+
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     """The text with each span (overlapping ones as one) replaced by its kind's name in brackets."""
     out, at = [], 0
