@@ -1,7 +1,7 @@
 """Byte-level BPE of a tokenizer file, and a shortcut that gives the same ids or counts faster.
 
 The library tokenizes about 1.5 MB a second and core, so texts of common characters take another way: their pre-tokens come
-from the published pre-token pattern, and only distinct pre-tokens are merged.  Which characters count as common is fixed below:
+from the published pre-token pattern; for counts, only distinct pre-tokens are merged; for ids, a library that merges by rank does it.  Which characters count as common is fixed below:
 letters and signs that every Unicode version since 1.1 classes alike, so that two regular-expression engines split them alike.
 Any other text, and any text that holds a special string, goes through the library itself.
 """
@@ -36,7 +36,8 @@ class Bpe:
         self.split = regex.compile(PATTERN).findall
         self.whole = self._whole_tokens()
         self.counts: dict[str, int] = dict(self.whole)
-        self.pieces: dict[str, bytes] = {}
+        self.path: str = path
+        self.ranked: object = False  # not yet opened
 
     def _whole_tokens(self) -> dict[str, int]:
         """The vocabulary strings that stand alone as one pre-token and encode as exactly one id: the proof for the shortcut."""
@@ -69,25 +70,32 @@ class Bpe:
             out[i] = sum(map(self.counts.__getitem__, got))
         return out
 
+    def _by_rank(self, path: str):
+        """The same vocabulary as ranks, if merges are in the order of their ids: then merging by rank gives the library's ids."""
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # byte-level vocabularies show other bytes from U+0100 on
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ids = [model["vocab"][m] for m in merges]
+        if ids != sorted(set(ids)) or set(model["vocab"]) != set(merges) | set(byte):
+            return None
+        ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items()}
+        return tiktoken.Encoding("by-rank", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        out = [b""] * len(texts)
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
-        split: list[tuple[int, list[str]]] = []
-        rest: set[str] = set()
-        for i, t in enumerate(texts):
-            if self.plain(t):
-                split.append((i, got := self.split(t)))
-                rest.update(itertools.filterfalse(self.pieces.__contains__, got))
-            else:
-                out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        if rest:
-            merge = list(rest)
-            self.pieces.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(merge, self.library.encode_batch_fast(merge, add_special_tokens=False), strict=True))
-        for i, got in split:
-            out[i] = b"".join(map(self.pieces.__getitem__, got))
-        return out
+        if self.ranked is False:
+            self.ranked = self._by_rank(self.path)
+        fast = self.ranked
+        return [
+            (fast.encode_to_numpy(t, disallowed_special=()) if fast is not None and self.plain(t) else np.array(self.library.encode(t, add_special_tokens=False).ids)).astype("<u4").tobytes()
+            for t in texts
+        ]
 
 
 def bpe(path: str) -> Bpe:
