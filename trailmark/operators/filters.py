@@ -35,12 +35,12 @@ class MetricsFilter:
             raise ValueError("salary_min is above salary_max")
 
     def conditions(self) -> list[Column]:
-        """Salary ranges match where they overlap; the role is a case-insensitive substring, taken literally."""
+        """Both ends of first_seen are inclusive; salary ranges match where they overlap; the role is a case-insensitive substring, taken literally."""
         out = [F.col(c) == v for c, v in (("current_status", self.status), ("source", self.source), ("sponsorship", self.sponsorship), ("work_mode", self.work_mode)) if v is not None]
         if self.first_seen_from is not None:
             out.append(F.col("first_seen_at") >= F.lit(self.first_seen_from).cast("timestamp_ntz"))
         if self.first_seen_to is not None:
-            out.append(F.col("first_seen_at") < F.lit(self.first_seen_to).cast("timestamp_ntz"))
+            out.append(F.col("first_seen_at") <= F.lit(self.first_seen_to).cast("timestamp_ntz"))
         if self.role is not None and self.role.strip():
             out.append(F.lower("role_title").contains(self.role.strip().lower()))
         if self.salary_min is not None:
