@@ -41,7 +41,7 @@ query("s10_retained_bodies")(lambda j: _payloads(j).select("page_id", mail.retai
 
 def _streamed(j: JobSearch) -> DataFrame:
     events = j.view("events")
-    stream = activity(j.spark.readStream.schema(events.schema).parquet(f"{j.sf_dir}/events.parquet"))
+    stream = activity(j.spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(j.sf_dir))
     name = f"activity_{uuid.uuid4().hex}"
     stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()  # a row a day and type
     return j.spark.table(name)
