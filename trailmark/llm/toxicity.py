@@ -76,8 +76,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(x: Rows, before: np.ndarray, y: np.ndarray, words: int = 2000, least: int = 5, l2: float = 2.0, steps: int = 120) -> Linear:
-    """The ``words`` buckets of largest log-odds z-score that ``least`` rows have; then logistic regression by Adam."""
+def fit(x: Rows, before: np.ndarray, y: np.ndarray, words: int = 2000, least: int = 5, sure: float = 3.0, l2: float = 0.2, steps: int = 150) -> Linear:
+    """Logistic regression by Adam over the ``words`` buckets of largest log-odds z-score that ``least`` rows have; of those whose
+    score is below ``sure``, only the first 20."""
     n, k = len(y), before.shape[1]
     if y.min(initial=1) == y.max(initial=0) or not n:
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(k), 0.0, float(y[0]) if n else 0.0)
@@ -87,7 +88,8 @@ def fit(x: Rows, before: np.ndarray, y: np.ndarray, words: int = 2000, least: in
     p, q = (pos + 0.5) / (y.sum() + 1), (all_ - pos + 0.5) / (n - y.sum() + 1)
     z = np.abs(np.log(p / q)) / np.sqrt(1 / (pos + 0.5) + 1 / (all_ - pos + 0.5))
     z[all_ < least] = 0
-    chosen = np.sort(np.argpartition(-z, min(words, len(z) - 1))[:words])
+    best = np.argsort(-z, kind="stable")[:words]
+    chosen = np.sort(best[: max(20, int((z[best] >= sure).sum()))])
     chosen = chosen[z[chosen] > 0]
     to = np.full(1 << BITS, -1)
     to[chosen] = np.arange(len(chosen))
@@ -141,7 +143,7 @@ def fit_chain(x: Rows, labels: np.ndarray, names: list[str], folds: int = 4) ->
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 6000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 12_000) -> Chain:
     """categories: names in the chain's order, each with its 0/1 label as an expression over ``labels``."""
     names = list(categories)
     share = min(1.0, sample_rows / max(1, labels.count()))
@@ -153,10 +155,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
         b, first = features(batch.column("text"))
         return pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(b))], names=["doc_id", "y", "buckets"])
 
-    got = sorted(rows.select("doc_id", "text", "y").mapInArrow(in_slices(make), "doc_id long, y array<int>, buckets array<int>").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["y"], r["buckets"]))
-    first = np.concatenate([[0], np.cumsum([len(r["buckets"]) for r in got])]).astype(np.int64)
-    x = Rows(np.concatenate([np.zeros(0, np.int32), *[np.array(r["buckets"], np.int32) for r in got]]), first)
-    return fit_chain(x, np.array([r["y"] for r in got]).reshape(len(got), len(names)), names)
+    got = rows.select("doc_id", "text", "y").mapInArrow(in_slices(make), "doc_id long, y array<int>, buckets array<int>").toArrow().combine_chunks()
+    column = lambda c: pa.concat_arrays(got.column(c).chunks) if got.num_rows else pa.array([], got.schema.field(c).type)
+    lists, y = column("buckets"), column("y").flatten().to_numpy().reshape(-1, len(names))
+    x = Rows(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64))
+    order = np.lexsort((x.sums(np.arange(1 << BITS, dtype=float)), column("doc_id").to_numpy()))  # the same whatever task came first
+    return fit_chain(x.take(order), y[order], names)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
