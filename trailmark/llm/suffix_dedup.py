@@ -4,10 +4,10 @@ Suffixes (of word sequences) are kept only at minimiser positions: of every ``wi
 leftmost of least hash.  Which positions these are depends on the words alone, so a passage has the same ones wherever it stands, and
 any passage of prefix + window - 1 = ``min_words`` words has one.  Kept suffixes are sorted by their prefix (a range partitioning, so
 that even one prefix with a third of all suffixes spreads over tasks) and neighbours compared; those with a neighbour of equal
-prefix in another document survive.  From a surviving suffix the match is extended left and right: the windows of ``min_words``
-words that have it as their minimiser, every second one, are fingerprinted, sorted and compared with their neighbours the same
-way.  Confirmed windows are merged into spans for each document.  Every span is ``min_words`` words long or more, every repeat
-of more than ``min_words`` words is found, and a span may end one word short of the longest match on either side.
+prefix in another document survive.  From a surviving suffix the match is extended left and right: all windows of ``min_words``
+words that have it as their minimiser are fingerprinted, sorted and compared with their neighbours the same way.  Confirmed
+windows are merged into spans for each document: exactly the words that lie in a passage of ``min_words`` words or more which
+another document has too.
 
 Runs are compared over task borders through the first and last row of each task: two rows a task.
 
@@ -63,13 +63,13 @@ def suffixes(docs: DataFrame, min_words: int, window: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, min_words: int, window: int) -> DataFrame:
-    """docs: id, text, places of surviving suffixes.  key (hash), id and place of every second run around each of them."""
+    """docs: id, text, places of surviving suffixes.  key (hash), id and place of every run around each of them."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, start, at, _, own = minimisers(batch.column("text"), min_words, window)
         places = batch.column("places")
         flat = places.flatten().to_numpy().astype(np.int64) | (np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy())) << 32)
-        keep = ((at - start) % 2 == 0) & np.isin(at | (row << 32), flat)
+        keep = np.isin(at | (row << 32), flat)
         return pa.record_batch([pa.array(own[keep].view(np.int64)), batch.column("id").take(pa.array(row[keep])), pa.array(start[keep].astype(np.int32))], names=["key", "id", "place"])
 
     return docs.mapInArrow(in_slices(make), "key long, id long, place int")
