@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -43,6 +44,13 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Spark keeps a worker process, and what it holds, for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def in_slices(make: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text", step: int = 8 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that hands ``make`` at most about ``step`` bytes of text, and one row at least, at a time."""
 
@@ -57,5 +65,6 @@ def in_slices(make: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str
                 if (out := make(batch.slice(lo, hi - lo))) is not None and out.num_rows:
                     yield out
                 lo = hi
+        release()
 
     return run

@@ -32,6 +32,8 @@ from .wordhash import hash_words, mix, powers, rolling
 
 K = 5
 FILTER_BITS = 24
+#: Bytes of text that a task turns into k-mers at a time.
+SLICE = 1 << 20
 _NO_ID = -(1 << 63)
 _SIGNS = mix(np.arange(1, 129, dtype=np.uint64)) | np.uint64(1)
 
@@ -68,7 +70,7 @@ def sketch(h: np.ndarray, functions: int, per_function: int) -> np.ndarray:
     """The entries of one text's sketch; h: its labelled k-mers in text order."""
     a = mix(np.arange(1, functions + 1, dtype=np.uint64) + np.uint64(7 << 32)) | np.uint64(1)
     n, out = min(per_function, len(h)), []
-    step = max(1, (1 << 21) // max(1, len(h)))
+    step = max(1, (1 << 18) // max(1, len(h)))
     up = powers(0x2545F4914F6CDD1D, per_function)[0]
     for lo in range(0, functions, step):
         part = a[lo : lo + step]
@@ -89,7 +91,7 @@ def sketches(docs: DataFrame, functions: int, per_function: int) -> DataFrame:
         return pa.record_batch([batch.column("doc_id"), pa.array(k1.view(np.int64), mask=empty), pa.array(k2.view(np.int64), mask=empty), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "key1", "key2", "sketch"])
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(in_slices(make), "doc_id long, key1 long, key2 long, sketch array<long>")
+    return rows.mapInArrow(in_slices(make, step=SLICE), "doc_id long, key1 long, key2 long, sketch array<long>")
 
 
 def _slots(key: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
@@ -123,7 +125,7 @@ def fetch_kmers(docs: DataFrame, needed: DataFrame) -> DataFrame:
         return pa.record_batch([pa.array(ids[hit]), pa.array(k1[hit].view(np.int64)), pa.array(k2[hit].view(np.int64)), pa.array([h[first[i] : first[i + 1]].tobytes() for i in hit], pa.binary())], names=["id", "key1", "key2", "kmers"])
 
     rows = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.col("text").cast("string"))
-    found = rows.mapInArrow(in_slices(make), "id long, key1 long, key2 long, kmers binary")
+    found = rows.mapInArrow(in_slices(make, step=SLICE), "id long, key1 long, key2 long, kmers binary")
     return found.join(needed, ["key1", "key2", "id"]).select("node", "kmers").groupBy("node").agg(F.first("kmers").alias("kmers"))
 
 
@@ -185,12 +187,13 @@ def link_unit(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndar
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, functions: int = 32, per_function: int = 6, block: int = 256) -> DataFrame:
     """For each row: doc_id and class_id, the least doc_id of its class."""
     marked = written(sketches(docs, functions, per_function).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    # the sums by key are written, as then a join with them can be split where one key has many rows
     copies = marked.where("key1 IS NOT NULL").groupBy("key1", "key2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "row")).alias("m")).select("key1", "key2", "m.id", F.col("m.row").alias("node"))
-    placed = written(marked.select("row", "doc_id", "key1", "key2").join(copies, ["key1", "key2"], "left").select("row", "doc_id", "key1", "key2", "id", F.coalesce("node", "row").alias("node")), "copies")
+    placed = written(marked.select("row", "doc_id", "key1", "key2").join(written(copies, "texts"), ["key1", "key2"], "left").select("row", "doc_id", "key1", "key2", "id", F.coalesce("node", "row").alias("node")), "copies")
     texts = placed.where("row = node AND key1 IS NOT NULL").select("key1", "key2", "id", "node")
     entries = marked.join(texts.select(F.col("node").alias("row")), "row", "left_semi").select("row", F.explode("sketch").alias("entry"))
     hubs = entries.groupBy("entry").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1").select("entry", "hub")
-    pairs = written(entries.join(hubs, "entry").where("row <> hub").select("hub", F.col("row").alias("node")).distinct(), "candidates")
+    pairs = written(entries.join(written(hubs, "hubs"), "entry").where("row <> hub").select("hub", F.col("row").alias("node")).distinct(), "candidates")
     needed = texts.join(pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct(), "node", "left_semi").select("key1", "key2", "id", "node")
     known = written(fetch_kmers(docs, written(needed, "needed")), "kmers")
 
@@ -199,7 +202,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, functions: int = 3
         return pa.record_batch([batch.column("hub"), batch.column("node"), pa.array(ok, pa.bool_())], names=["hub", "node", "ok"])
 
     both = pairs.join(known.withColumnRenamed("kmers", "mine"), "node").join(known.withColumnRenamed("node", "hub"), "hub")
-    checked = written(both.select("hub", "node", "mine", "kmers").mapInArrow(in_slices(verify, "mine"), "hub long, node long, ok boolean"), "checked")
+    checked = written(both.select("hub", "node", "mine", "kmers").mapInArrow(in_slices(verify, "mine", SLICE), "hub long, node long, ok boolean"), "checked")
 
     families = checked.groupBy("hub").agg(F.count("*").alias("n"), F.sum((~F.col("ok")).cast("int")).alias("failed")).where("failed > 0 AND n > 1")
     parts = families.select("hub", F.ceil(F.col("failed") / block).cast("int").alias("l"), F.ceil(F.col("n") / block).cast("int").alias("r"))
@@ -217,6 +220,6 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, functions: int = 3
 
     among = units.select("hub", "i", "j", "node", "left", "kmers").groupBy("hub", "i", "j").applyInArrow(solve, "a long, b long")
     links = checked.where("ok").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(among)
-    rooted = placed.select("doc_id", "node").join(components(links), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    rooted = written(placed.select("doc_id", "node").join(components(links), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rooted.join(least, "root").select("doc_id", "class_id")
+    return rooted.join(written(least, "classes"), "root").select("doc_id", "class_id")

@@ -93,7 +93,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, (at - at[0] if len(at) else np.zeros(1, np.int64))
 
 
-def hash_words(column: pa.Array, step: int = 1 << 22) -> Words:
+def hash_words(column: pa.Array, step: int = 1 << 20) -> Words:
     """Splits and hashes the words of a string column, about ``step`` bytes at a time."""
     raw, at = text_buffers(column)
     n = len(at) - 1
