@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,8 +133,10 @@ def test_golden_set(spark, tmp_path):
 
 
 def write_page(folder, n, rows):
+    """Pages are read in the order of their times, so page n gets the n-th second."""
     folder.mkdir(exist_ok=True)
-    (folder / f"page-{n}.json").write_text("\n".join(json.dumps({"provider": "gmail", "received_at": "2024-01-01T00:00:00", "labels": [], **r}) for r in rows))
+    (page := folder / f"page-{n}.json").write_text("\n".join(json.dumps({"provider": "gmail", "received_at": "2024-01-01T00:00:00", "labels": [], **r}) for r in rows))
+    os.utime(page, (1_700_000_000 + n,) * 2)
 
 
 def test_stream_restarts_after_the_last_page(spark, tmp_path):

@@ -1,6 +1,6 @@
 """Every registered query of the library's own operators against its SQL in DuckDB, over the smallest test tables."""
 
-import decimal
+import numbers
 import os
 
 import duckdb
@@ -21,7 +21,7 @@ def con(small):
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or (not hasattr(v, "__len__") and pd.isna(v)) else round(float(v), 6) if isinstance(v, (float, decimal.Decimal)) else str(v)
+    plain = lambda v: None if v is None or (not hasattr(v, "__len__") and pd.isna(v)) else round(float(v), 6) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
     return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False)), key=str)
 
 

@@ -16,7 +16,7 @@ PAGE = "id string, provider string, thread_id string, from_addr string, to_addr
 
 
 def pages(spark: SparkSession, folder: str, schema: str = PAGE, pages_per_batch: int = 1) -> DataFrame:
-    """New page files, ``pages_per_batch`` at a time."""
+    """New page files in the order of their modification times, ``pages_per_batch`` at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", pages_per_batch).json(folder)
 
 
