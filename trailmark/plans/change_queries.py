@@ -91,7 +91,7 @@ def _edited(j: JobSearch):
 
 query(
     "k07_event_outcomes",
-    """SELECT e.id, CASE WHEN right(e.id, 1) = '5' OR e.email_id IN (SELECT email_id FROM <application_events> WHERE right(id, 1) = '5' AND event_type = 'offer') THEN 'manual_conflict' ELSE 'upserted' END AS outcome FROM <application_events> e""",
+    """SELECT DISTINCT e.id, CASE WHEN right(e.id, 1) = '5' OR e.email_id IN (SELECT email_id FROM <application_events> WHERE right(id, 1) = '5' AND event_type = 'offer') THEN 'manual_conflict' ELSE 'upserted' END AS outcome FROM <application_events> e""",
 )(lambda j: snapshots.upsert_events(j.events, j.events, _edited(j))[1])
 query("k08_k13_cascade", "SELECT id, application_id FROM <application_events> WHERE application_id NOT IN (SELECT id FROM <applications> WHERE current_status = 'withdrawn')")(
     lambda j: snapshots.removed(j.events, j.apps.where("current_status = 'withdrawn'").select("id"), "application_id").select("id", "application_id")
