@@ -13,7 +13,9 @@ Null texts are empty.  Repeated rows and null doc_ids give a row each.  Offsets
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -83,7 +85,7 @@ def _words_before(text: str, at: int, most: int = 32) -> str | None:
 def uses(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Each seed, and each identifier-like string that touches no seed, with the pattern before it."""
     found = [(s, e, True) for s, _, e in spans]
-    ends, at = sorted((s, e) for s, _, e in spans), 0
+    starts, last, at = [s for s, _, _ in spans], list(itertools.accumulate((e for _, _, e in spans), max)), 0  # spans are sorted by start
     for m in _digits(text):
         if m.start() < at:
             continue
@@ -97,7 +99,8 @@ def uses(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
             s += 1
         while s < e and text[e - 1] in _TRIM:
             e -= 1
-        if 5 <= e - s <= 256 and not any(a < e and s < b for a, b in ends[:64]) and not (len(ends) > 64 and any(a < e and s < b for a, b in ends)):
+        before = bisect_left(starts, e)
+        if 5 <= e - s <= 256 and not (before and last[before - 1] > s):
             found.append((s, e, False))
     out = []
     for s, e, seed in found:
