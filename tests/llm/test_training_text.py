@@ -116,6 +116,33 @@ def test_near_duplicates(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_near_duplicates_of_short_texts(spark):
+    rng = np.random.default_rng(5)
+    docs = []
+    for k in range(150):
+        base = [f"w{k}x{x}" for x in range(int(rng.integers(5, 41)))]
+        docs += [base, [*base, f"e{k}"], [f"b{k}", *base[: len(base) - int(rng.integers(0, 3))]], edited(rng, base, 1), base[1:] + base[:1]]
+    docs += [("one two three four five six seven eight nine" + tail).split() for tail in ("", " ten", " ten eleven")]
+    texts = [" ".join(d) for d in docs]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(frame(spark, texts), block=8).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.9])
+def test_linked_short_texts_share_an_entry(least):
+    rng = np.random.default_rng(6)
+    linked = 0
+    for _ in range(3000):
+        a = rng.choice(np.iinfo(np.int64).max, int(rng.integers(1, 31)), replace=False).astype(np.uint64)
+        b = rng.permutation(a) if rng.random() < 0.05 else a[rng.random(len(a)) < (1 + least) / 2]
+        at = np.sort(rng.integers(0, len(b) + 1, int(rng.integers(0, 5))))
+        b = np.insert(b, at, rng.integers(0, np.iinfo(np.int64).max, len(at)).astype(np.uint64))
+        if len(b) and order_minhash.aligned_similarity(a, b, least) >= least:
+            linked += 1
+            assert set(order_minhash.entries_of(a, 32, 6, least).tolist()) & set(order_minhash.entries_of(b, 32, 6, least).tolist())
+    assert linked > 300
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)]

@@ -6,7 +6,11 @@ entry of the sketch.  Texts that share an entry are candidates.  A banded alignm
 are unique, the longest increasing run of common places within the band) verifies: texts are linked if the aligned k-mers are
 ``similarity`` or more of all k-mers of both.  The band is as wide as any such alignment can need.
 
-At similarity 0.8 a pair shares one entry of 32 with probability above 1 - (1 - 0.8**6)**32 = 0.9999.
+A pair with c common k-mers of u shares one entry of 32 with probability 1 - (1 - C(c, 6) / C(u, 6))**32: at similarity 0.8, above 0.9998
+where both texts have more than 30 k-mers.  Pairs with a text of at most ``SHORT`` = 30 are found for certain, by a prefix filter: as
+they align a known share of their k-mers, the least three aligned ones (by hash) lie among the few least of each text.  All such
+triples, in text order, are the entries of short texts, in place of the sketch; texts that are longer, but near enough in length to be
+linked to a short one, have both.
 
 Equal texts (equal words) collapse into one representative first.  In each bucket of a shared entry all members are verified against its
 least member, the hub.  Members that fail may still be linked among each other: they meet all members of the hub's family in units of
@@ -20,6 +24,8 @@ are rows of their own; a repeated row is an exact copy.
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +40,8 @@ K = 5
 FILTER_BITS = 24
 #: Bytes of text that a task turns into k-mers at a time.
 SLICE = 1 << 20
+#: Pairs with a text of at most so many k-mers meet by a prefix filter, on so many common k-mers at a time.
+SHORT, COMMON = 30, 3
 _NO_ID = -(1 << 63)
 _SIGNS = mix(np.arange(1, 129, dtype=np.uint64)) | np.uint64(1)
 
@@ -81,12 +89,38 @@ def sketch(h: np.ndarray, functions: int, per_function: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketches(docs: DataFrame, functions: int, per_function: int) -> DataFrame:
+@lru_cache(maxsize=256)
+def _choices(n: int, size: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), size)))
+
+
+def short_entries(h: np.ndarray, least: float) -> np.ndarray:
+    """Entries of which two texts that align to ``least`` or more share one for certain; h: labelled k-mers in text order.
+
+    Both have need(n) aligned k-mers at least, so the ``size`` least of these are among the n - need(n) + size least k-mers of either."""
+    need = lambda n: int(np.ceil(least * n - 1e-9))
+    n, out = len(h), []
+    order, up = np.argsort(h), powers(0x2545F4914F6CDD1D, COMMON)[0]
+    for size in sorted({min(COMMON, need(m)) for m in range(need(n), n + 1)}):  # by the smaller text of a pair
+        chosen = h[np.sort(order[: n - need(n) + size])]
+        out.append(mix((chosen[_choices(len(chosen), size)] * up[:size]).sum(axis=1, dtype=np.uint64) + np.uint64(size + (9 << 32))))
+    return np.concatenate(out)
+
+
+def entries_of(h: np.ndarray, functions: int, per_function: int, least: float) -> np.ndarray:
+    """All entries of one text: of the prefix filter, where a partner may be short, and of the sketch, where none need be."""
+    out = [short_entries(h, least)] if len(h) * least <= SHORT + 1e-9 else []
+    if len(h) > SHORT:
+        out.append(sketch(h, functions, per_function))
+    return np.concatenate(out)
+
+
+def sketches(docs: DataFrame, functions: int, per_function: int, least: float) -> DataFrame:
     """doc_id, key1, key2 (null without words), sketch."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, first, k1, k2 = kmers(batch.column("text"))
-        rows = [sketch(h[a:b], functions, per_function).view(np.int64) if b > a else None for a, b in zip(first[:-1], first[1:], strict=True)]
+        rows = [entries_of(h[a:b], functions, per_function, least).view(np.int64) if b > a else None for a, b in zip(first[:-1], first[1:], strict=True)]
         empty = first[1:] == first[:-1]
         return pa.record_batch([batch.column("doc_id"), pa.array(k1.view(np.int64), mask=empty), pa.array(k2.view(np.int64), mask=empty), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "key1", "key2", "sketch"])
 
@@ -186,7 +220,7 @@ def link_unit(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndar
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, functions: int = 32, per_function: int = 6, block: int = 256) -> DataFrame:
     """For each row: doc_id and class_id, the least doc_id of its class."""
-    marked = written(sketches(docs, functions, per_function).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    marked = written(sketches(docs, functions, per_function, similarity).withColumn("row", F.monotonically_increasing_id()), "sketches")
     # the sums by key are written, as then a join with them can be split where one key has many rows
     copies = marked.where("key1 IS NOT NULL").groupBy("key1", "key2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "row")).alias("m")).select("key1", "key2", "m.id", F.col("m.row").alias("node"))
     placed = written(marked.select("row", "doc_id", "key1", "key2").join(written(copies, "texts"), ["key1", "key2"], "left").select("row", "doc_id", "key1", "key2", "id", F.coalesce("node", "row").alias("node")), "copies")
