@@ -70,6 +70,23 @@ def test_neighbours_over_task_borders(spark):
     spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+@pytest.mark.parametrize("n", [1, 7, 60])
+@pytest.mark.parametrize("many", [5, 6])
+def test_long_runs_over_task_borders(spark, n, many):
+    """One id with many places of a key, cut by borders, beside a second id with one place."""
+    rows = [(1, many, p) for p in range(1000)] + [(1, 11 - many, 0)] + [(2, 5, p) for p in range(1000)]
+    conf = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = suffix_dedup.shared_rows(spark.createDataFrame(rows, "key long, id long, place int"), "t").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == sorted((i, p) for k, i, p in rows if k == 1)
+
+
 def brute_classes(texts, least=0.8):
     """Classes by alignment of labelled five-word runs, all pairs."""
     seqs = []

@@ -131,7 +131,8 @@ def shared_rows(rows: DataFrame, name: str) -> DataFrame:
     ordered = rows.repartitionByRange("key", "id", "place").sortWithinPartitions("key", "id", "place")
     marked = written(ordered.mapInArrow(_neighbours, "key long, id long, place int, kind int"), name)
     edges = marked.where("kind > 0")
-    twice = edges.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
+    # a row of kind 2 proves its key shared, though the other id may stand inside that task only
+    twice = edges.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("kind").alias("k")).where("a <> b OR k = 2").select("key")
     return marked.where("kind = 0").select("id", "place").unionByName(edges.where("kind = 1").join(twice, "key", "left_semi").select("id", "place"))
 
 
