@@ -6,6 +6,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trailmark.llm import language_id, order_minhash, packing, pii, tiling
 from trailmark.llm.common import pick, table, written
@@ -14,6 +15,11 @@ from trailmark.llm.queries import tokenizer_file
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written so that it stays: doc_ids may be null or repeated, and decisions are on rows."""
+    return written(pick(docs, *COLUMNS).withColumn("doc_row", F.monotonically_increasing_id()), "numbered")
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: null or letterless texts, and those of no clear language (below 0.5)."""
     docs = pick(docs, *COLUMNS)
@@ -21,17 +27,19 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each class of near-duplicates, the document of least doc_id (once, if that row is repeated)."""
-    docs = pick(docs, *COLUMNS)
-    kept = order_minhash.near_duplicates(docs).where("doc_id <=> class_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Keeps, of each class of near-duplicates, one row: that of least doc_id, or any where all are null."""
+    docs = numbered(docs)
+    classes = order_minhash.near_duplicates(docs.select(F.col("doc_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("doc_row"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_row"))
+    kept = classes.join(docs.select("doc_row", "doc_id"), "doc_row").groupBy("class_id").agg(first.alias("m")).select("m.doc_row")
+    return docs.join(kept, "doc_row", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    docs = pick(docs, *COLUMNS)
-    leaks = tiling.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    docs = numbered(docs)
+    leaks = tiling.find_leaks(docs.select(F.col("doc_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("doc_row")).distinct()
+    return docs.join(leaks, "doc_row", "left_anti").select(*COLUMNS)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,17 @@ def test_awkward_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("cell", "v", "block", "far", "long")})
     got = knn_join.top_k(df, F.col("vec_id") % 100 == 0, k=2).orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in got] == [(0, 1, 6, 5 * 1024**2), (0, 2, 7, 5 * 1024**2), (100, 1, 0, 512 * 1024), (100, 2, 6, 512 * 1024)]
+
+
+def test_pipeline_decides_on_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    near = " extra"
+    docs = awkward(spark, [(i, t, "en", "a", len(t)) for i, t in [(None, a), (None, a + near), (None, b), (1, c), (9, c + near), (9, d), (None, c)]])
+    got = corpus_pipeline.deduplicated(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted((r["doc_id"] or 0, r["text"].removesuffix(near)) for r in got) == [(0, a), (0, b), (1, c), (9, d)]
+    spark.createDataFrame([(1, e)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = awkward(spark, [(i, t, "en", "a", len(t)) for i, t in [(None, e), (None, a), (5, e), (5, b), (6, c)]])
+    got = corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, a), (5, b), (6, c)]
