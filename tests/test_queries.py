@@ -53,3 +53,20 @@ def test_works_without_the_optional_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; n = e.queries(); assert 'a02_total' in n and not any(x.startswith('op') or x == 'pipeline' for x in n)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}).returncode == 0
+
+
+def test_bodies_are_whole(spark, tmp_path):
+    html = "<p>" + "é word " * 40_000 + "end</p>"
+    spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    (got,) = QUERIES["s10_retained_bodies"](spark, str(tmp_path)).collect()
+    assert got["body_text"].rstrip().endswith("end") and got["body_text"].count("word") == 40_000 and not got["truncated"]
+    text = "é word " * 5000 + "end"
+    spark.createDataFrame([(5, text, "a")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["s11_whole_bodies"](spark, str(tmp_path)).collect() == [("5", text)]
+
+
+def test_bodies_are_cut_at_a_given_byte(spark):
+    from trailmark.sources.mail import decoded
+
+    df = spark.sql("SELECT base64(encode('abcdé', 'UTF-8')) AS data")
+    assert df.select(*[decoded(df["data"], n).alias(f"b{n}") for n in (4, 5, 6)]).first() == ("abcd", "abcd", "abcdé")

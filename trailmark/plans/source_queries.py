@@ -28,6 +28,9 @@ query("s06_first_added", "SELECT user_id, min(event_id) AS event_id FROM <events
 query("s11_decoded_bodies", "SELECT id, CASE WHEN strlen(body_text) <= 4000 THEN body_text END AS body FROM <raw_emails> WHERE body_text IS NOT NULL")(
     lambda j: j.emails.where("body_text IS NOT NULL").select("id", F.translate(F.base64(F.encode("body_text", "UTF-8")), "+/=\r\n", "-_").alias("data"), F.octet_length("body_text").alias("n")).select("id", F.when(F.col("n") <= 4000, mail.decoded(F.col("data"), 4000)).alias("body"))
 )
+query("s11_whole_bodies", "SELECT id, body_text AS body FROM <raw_emails> WHERE body_text IS NOT NULL")(
+    lambda j: j.emails.where("body_text IS NOT NULL").select("id", mail.decoded(F.translate(F.base64(F.encode("body_text", "UTF-8")), "+/=\r\n", "-_")).alias("body"))
+)
 
 
 def _payloads(j: JobSearch) -> DataFrame:
@@ -36,7 +39,7 @@ def _payloads(j: JobSearch) -> DataFrame:
     return j.view("pages").select("page_id", F.to_json(F.struct(F.lit("multipart/alternative").alias("mimeType"), F.array(part).alias("parts"))).alias("payload"))
 
 
-query("s10_retained_bodies")(lambda j: _payloads(j).select("page_id", mail.retained_body(F.col("payload"), 200_000).alias("b")).select("page_id", "b.*"))
+query("s10_retained_bodies")(lambda j: _payloads(j).select("page_id", mail.retained_body(F.col("payload")).alias("b")).select("page_id", "b.*"))
 
 
 def _streamed(j: JobSearch) -> DataFrame:

@@ -107,9 +107,11 @@ def sent_at(header: Column) -> Column:
     return run(header)
 
 
-def decoded(data: Column, most: int) -> Column:
-    """base64url text in built-in expressions, cut to ``most`` bytes; a character cut in half at the end is dropped."""
+def decoded(data: Column, most: int | None = None) -> Column:
+    """base64url text in built-in expressions, cut to ``most`` bytes if given; a character cut in half at the end is dropped."""
     raw = F.unbase64(F.translate(data, "-_", "+/"))
+    if most is None:
+        return F.decode(raw, "UTF-8")
     inside = lambda n: F.hex(F.substring(raw, n + 1, 1)).between("80", "BF")  # noqa: E731  the byte after the first n goes on with a character
     keep = F.coalesce(*[F.when(~inside(n), n) for n in range(most, max(-1, most - 4), -1)], F.lit(0))
     return F.decode(F.when(F.length(raw) > most, F.substring(raw, F.lit(1), keep)).otherwise(raw), "UTF-8")
