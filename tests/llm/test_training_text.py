@@ -387,3 +387,30 @@ def test_pipeline(spark, small, documents):
     lib = library()
     assert docs.agg(F.sum("length")).first()[0] == sum(len(lib.encode(t, add_special_tokens=False).ids) + 1 for t in b["text"])
     assert set(QUERIES["pipeline"](spark, small).columns) == set(docs.columns)
+
+
+def test_top_k_of_components_of_any_size(spark):
+    rows = [(100, [1.0, 0.0, 3.0]), (1, [2e9, 0.0]), (2, [3e9, 0.0]), (3, [5e9, 0.0]), (4, [5e9 + 1 / 1024, 0.0]), (5, []), (6, [-1e300, 0.0, 1.0]), (7, [3e9, 1e305, 1 / 1024])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = knn_join.top_k(df, F.col("vec_id") % 100 == 0, k=6).orderBy("rank").collect()
+    m = 1024 * 1024
+    want = [(4, 5 * 10**9 * m + 1024), (3, 5 * 10**9 * m), (7, 3 * 10**9 * m + 3 * 1024), (2, 3 * 10**9 * m), (1, 2 * 10**9 * m), (5, 0)]
+    assert [tuple(r) for r in got] == [(100, i + 1, *w) for i, w in enumerate(want)]
+    with pytest.raises(Exception, match="does not fit in a long"):
+        knn_join.top_k(df, F.col("vec_id") % 100 == 0, k=7).collect()
+
+
+def test_queries_meet_few_blocks_of_clustered_vectors():
+    rng = np.random.default_rng(17)
+    centre = rng.normal(0, 1, (64, 16))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    v = centre[np.arange(6400) % 64] + rng.normal(0, 0.01, (6400, 16))
+    stats, points = {}, v[:64]
+    cell = ((v[:, None] - points[None]) ** 2).sum(2).argmin(1)
+    for c in range(64):
+        mine = np.floor(v[cell == c] * 1024)
+        stats[c] = {"n": len(mine), "radius": np.linalg.norm(mine - np.floor(points[c] * 1024), axis=1).max(), "longest": np.linalg.norm(mine, axis=1).max()}
+    shape = knn_join.Cells(points, stats, 50)
+    q = v[640:704]
+    s = np.sort(np.floor(q * 1024) @ np.floor(v * 1024).T, axis=1)[:, -11]
+    assert np.mean([len(x) for x in shape.further_blocks(q, 10, s)]) < 0.1 * sum(shape.blocks)

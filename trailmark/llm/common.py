@@ -17,10 +17,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode alone, a temporary one where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="trailmark-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)

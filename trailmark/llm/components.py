@@ -20,11 +20,14 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return moved.where("a <> m").select("a", F.col("m").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root (the least node of its component) for every node that an edge touches; edges: columns a, b (long)."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the least node of its component) for every node that an edge touches; edges: columns a, b (long).
+
+    Runs until nothing changes, which takes a number of rounds like the square of the logarithm of the nodes.  Edges with a null end
+    link nothing."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
-    for _ in range(rounds):
+    while True:
         now = written(_star(_star(now, small=False), small=True), "edges")
         new = tuple(now.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))).first())
         if new == state:
