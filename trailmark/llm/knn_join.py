@@ -2,11 +2,11 @@
 
 Vectors become integers, floor(1024 x).  Pivots, a sample of vectors that grows like the square root of their number (``MOST_PIVOTS``
 at most), divide queries and data into Voronoi cells; each cell is summarised by its size, radius and longest vector.  Data cells are
-dealt into blocks of about ``block`` rows and query cells into groups of about ``query_group`` queries by a hash of the row's number,
-so a cell may hold any share of all rows.  For a query q and a cell of pivot p, no score exceeds
+dealt into blocks of about ``block`` rows by a hash of the row's number, so a cell may hold any share of all rows; queries form groups
+of about ``query_group`` from a cell, or a part of it, or several neighbouring cells.  For a query q and a cell of pivot p, no score exceeds
 min(q.p + |q| radius, |q| longest).  First each query meets a block of the cell whose pivot scores highest, which gives a lower bound
-for its k-th score; then it goes only to blocks of cells whose bound reaches that score.  As the queries of a group come from one
-cell, they need much the same blocks: a data block is replicated only to the groups with a query that needs it.  Each block and group
+for its k-th score; then it goes only to blocks of cells whose bound reaches that score.  As the queries of a group are
+neighbours, they need much the same blocks: a data block is replicated only to the groups with a query that needs it.  Each block and group
 is solved locally in exact integer arithmetic, and the local results are merged.
 
 Vectors that are null, or hold a null or non-finite component, and rows with a null vec_id take no part.  Vectors shorter than others
@@ -167,6 +167,20 @@ class Cells:
         self.blocks = [-(-stats[c]["n"] // block) for c in self.known]
         self.first = [0, *np.cumsum(self.blocks)[:-1].tolist()] if self.known else []
 
+    def query_groups(self, queries: list[int], most: int) -> tuple[list[int], list[int]]:
+        """The first group of each cell's queries, and into how many they are dealt: neighbouring cells share one while it holds ``most``."""
+        start, many, group, held = [0] * len(queries), [1] * len(queries), 0, 0
+        todo, at = set(range(len(queries))), 0
+        while todo:  # from each cell to the nearest one left
+            rest = sorted(todo)
+            at = rest[int(((self.points[rest] - self.points[at]) ** 2).sum(axis=1).argmin())]
+            todo.remove(at)
+            if held and held + queries[at] > most:
+                group, held = group + 1, 0
+            start[at], many[at] = group, max(1, -(-queries[at] // most))
+            group, held = group + many[at] - 1, held + queries[at]
+        return start, many
+
     def bounds(self, v: np.ndarray) -> np.ndarray:
         """No row of the cell scores higher: queries x cells."""
         q, cut = _near(v)
@@ -206,8 +220,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int | None
     stats = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.max("long").alias("longest"), F.sum(F.col("asks").cast("int")).alias("queries")).collect()}
     shape = Cells(points, stats, block)
     model = spark.sparkContext.broadcast(shape)
-    groups = [max(1, -(-stats[c]["queries"] // query_group)) for c in shape.known]
-    start = [0, *np.cumsum(groups)[:-1].tolist()]
+    start, groups = shape.query_groups([stats[c]["queries"] for c in shape.known], query_group)
     dealt = spark.createDataFrame(list(zip(shape.known, shape.first, map(int, shape.blocks), start, groups, strict=True)) if shape.known else [], "cell int, first int, blocks int, first_group int, groups int")
     spread = lambda first, n: (F.col(first) + F.pmod(F.xxhash64("row"), F.col(n)).cast("int")).cast("int")
     placed = cells.join(F.broadcast(dealt), "cell")  # MOST_PIVOTS rows
