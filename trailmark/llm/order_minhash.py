@@ -12,17 +12,23 @@ they align a known share of their k-mers, the least three aligned ones (by hash)
 triples, in text order, are the entries of short texts, in place of the sketch; texts that are longer, but near enough in length to be
 linked to a short one, have both.
 
-Equal texts (equal words) collapse into one representative first.  In each bucket of a shared entry all members are verified against its
-least member, the hub.  Members that fail may still be linked among each other: they meet all members of the hub's family in units of
-at most about ``block`` x ``block`` texts, each solved in one task, which returns only links that join two groups there; no task and
-no row count grows with the square of a family.  Connected components of all links are the classes.
-
-A text without words is a class alone; a text of fewer than five words has one k-mer, all of it.  Null doc_ids and repeated rows
+Equal texts (equal words; of texts without words, equal bytes) collapse into one representative first.  In each bucket of a shared
+entry all members are verified against its least member, the hub; connected components of these links are first classes.  A hub's
+family that has members of several classes may hide further links among members that the hub isn't like.  They meet in two steps,
+both exact.  First by a prefix filter in the family's own order: the k-mers that the hub lacks come first, so texts that only share the
+hub's passage have no common prefix k-mer; in each bucket of such a k-mer all members of other classes are verified against its least
+member.  What still is in buckets of several classes meets in units of at most about ``block`` x ``block`` texts, each solved in one
+task: members outside the family's largest class against all; a unit counts the common k-mers of its pairs, aligns those that have
+enough, and returns links that join two groups there.  Rows grow with the texts and their lengths; only this last step
+grows with the product of a family's two sides, and only for members that share a rare k-mer and whose hubs didn't link them.
+
+A null text is a class alone; a text of fewer than five words has one k-mer, all of it.  Null doc_ids and repeated rows
 are rows of their own; a repeated row is an exact copy.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from functools import lru_cache
 from itertools import combinations
@@ -37,13 +43,13 @@ from .components import components
 from .wordhash import hash_words, mix, powers, rolling
 
 K = 5
-FILTER_BITS = 24
+#: The filter of needed texts has 16 bits for each, within these powers of two (2 MB and 16 MB broadcast).
+LEAST_BITS, MOST_BITS = 24, 27
 #: Bytes of text that a task turns into k-mers at a time.
 SLICE = 1 << 20
 #: Pairs with a text of at most so many k-mers meet by a prefix filter, on so many common k-mers at a time.
 SHORT, COMMON = 30, 3
 _NO_ID = -(1 << 63)
-_SIGNS = mix(np.arange(1, 129, dtype=np.uint64)) | np.uint64(1)
 
 
 def kmers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,32 +122,35 @@ def entries_of(h: np.ndarray, functions: int, per_function: int, least: float) -
 
 
 def sketches(docs: DataFrame, functions: int, per_function: int, least: float) -> DataFrame:
-    """doc_id, key1, key2 (null without words), sketch."""
+    """doc_id, key1, key2 (null for null texts), sketch (null without words)."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, first, k1, k2 = kmers(batch.column("text"))
         rows = [entries_of(h[a:b], functions, per_function, least).view(np.int64) if b > a else None for a, b in zip(first[:-1], first[1:], strict=True)]
-        empty = first[1:] == first[:-1]
-        return pa.record_batch([batch.column("doc_id"), pa.array(k1.view(np.int64), mask=empty), pa.array(k2.view(np.int64), mask=empty), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "key1", "key2", "sketch"])
+        for i in np.flatnonzero(first[1:] == first[:-1]):  # no words: the bytes stand for the text
+            digest = hashlib.blake2b((batch.column("text")[int(i)].as_py() or "").encode("utf-8", "replace"), digest_size=16).digest()
+            k1[i], k2[i] = np.frombuffer(digest, np.uint64)
+        null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
+        return pa.record_batch([batch.column("doc_id"), pa.array(k1.view(np.int64), mask=null), pa.array(k2.view(np.int64), mask=null), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "key1", "key2", "sketch"])
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(in_slices(make, step=SLICE), "doc_id long, key1 long, key2 long, sketch array<long>")
 
 
-def _slots(key: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    return mix(key.astype(np.uint64) ^ (doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - FILTER_BITS)
+def _slots(key: np.ndarray, doc_id: np.ndarray, bits: int) -> np.ndarray:
+    return mix(key.astype(np.uint64) ^ (doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - bits)
 
 
-def _filter_of(needed: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over (key1, id), or-ed from at most eight parts."""
+def _filter_of(needed: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter over (key1, id), or-ed from at most eight parts.  What it lets through wrongly, the join after it settles."""
 
     def make(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        found = np.zeros(1 << bits, bool)
         for b in batches:
-            bits[_slots(b.column("key1").to_numpy(), b.column("id").to_numpy())] = True
-        yield pa.record_batch([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+            found[_slots(b.column("key1").to_numpy(), b.column("id").to_numpy(), bits)] = True
+        yield pa.record_batch([pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for part in needed.select("key1", "id").coalesce(8).mapInArrow(make, "bits binary").toLocalIterator():
         out |= np.frombuffer(part["bits"], np.uint8)
     return out
@@ -149,12 +158,13 @@ def _filter_of(needed: DataFrame) -> np.ndarray:
 
 def fetch_kmers(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """node and its labelled k-mers (binary) for each needed (key1, key2, id, node): a second pass, without shuffling texts."""
-    keep = docs.sparkSession.sparkContext.broadcast(_filter_of(needed))
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * needed.count()).bit_length()))
+    keep = docs.sparkSession.sparkContext.broadcast(_filter_of(needed, bits))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, first, k1, k2 = kmers(batch.column("text"))
         ids = batch.column("id").to_numpy()
-        slot = _slots(k1, ids)
+        slot = _slots(k1, ids, bits)
         hit = np.flatnonzero((keep.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & (first[1:] > first[:-1]))
         return pa.record_batch([pa.array(ids[hit]), pa.array(k1[hit].view(np.int64)), pa.array(k2[hit].view(np.int64)), pa.array([h[first[i] : first[i + 1]].tobytes() for i in hit], pa.binary())], names=["id", "key1", "key2", "kmers"])
 
@@ -189,9 +199,12 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return c / (n + m - c)
 
 
-def signs(h: np.ndarray) -> np.ndarray:
-    """128 plain minima, to estimate similarity."""
-    return np.concatenate([((h[None] * _SIGNS[lo : lo + 16, None]) >> np.uint64(32)).min(axis=1) for lo in range(0, 128, 16)]).astype(np.uint32)
+def common_counts(h: np.ndarray, keys: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many of the k-mers ``h`` each of n texts has; keys: all their k-mers sorted, owner: the text of each."""
+    lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+    width = hi - lo
+    at = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(int(width.sum()))
+    return np.bincount(owner[at], minlength=n)
 
 
 def link_unit(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], least: float) -> list[tuple[int, int]]:
@@ -204,13 +217,14 @@ def link_unit(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndar
             x = parent[x]
         return x
 
-    theirs = np.stack([signs(h) for _, h in right])
     size = np.array([len(h) for _, h in right])
+    keys, owner = np.concatenate([h for _, h in right]), np.repeat(np.arange(len(right)), size)
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
     out = []
-    floor = 128 * least - 4 * np.sqrt(128 * least * (1 - least))
     for x, h in left:
-        likely = np.flatnonzero(((theirs == signs(h)).sum(axis=1) >= floor) & (np.minimum(size, len(h)) >= least * np.maximum(size, len(h))))
-        for i in likely:
+        enough = common_counts(h, keys, owner, len(right)) >= least / (1 + least) * (size + len(h)) - 1e-9
+        for i in np.flatnonzero(enough):
             y, g = right[i]
             if x != y and find(x) != find(y) and aligned_similarity(h, g, least) >= least:
                 parent[find(x)] = find(y)
@@ -218,6 +232,15 @@ def link_unit(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndar
     return out
 
 
+def family_prefix(h: np.ndarray, hub: np.ndarray, least: float) -> np.ndarray:
+    """The k-mers of which two linked texts of a hub's family share one for certain: the first ones, those that the hub lacks first.
+
+    Linked texts have need = least x n common k-mers at least, so any n - need + 1 of a text's n k-mers, by an order that all share, hold one."""
+    h = np.sort(h)
+    known = np.isin(h, hub, assume_unique=True)
+    return np.concatenate([h[~known], h[known]])[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, functions: int = 32, per_function: int = 6, block: int = 256) -> DataFrame:
     """For each row: doc_id and class_id, the least doc_id of its class."""
     marked = written(sketches(docs, functions, per_function, similarity).withColumn("row", F.monotonically_increasing_id()), "sketches")
@@ -231,19 +254,63 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, functions: int = 3
     needed = texts.join(pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct(), "node", "left_semi").select("key1", "key2", "id", "node")
     known = written(fetch_kmers(docs, written(needed, "needed")), "kmers")
 
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = [aligned_similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) >= similarity for a, b in zip(batch.column("mine").to_pylist(), batch.column("kmers").to_pylist(), strict=True)]
-        return pa.record_batch([batch.column("hub"), batch.column("node"), pa.array(ok, pa.bool_())], names=["hub", "node", "ok"])
-
-    both = pairs.join(known.withColumnRenamed("kmers", "mine"), "node").join(known.withColumnRenamed("node", "hub"), "hub")
-    checked = written(both.select("hub", "node", "mine", "kmers").mapInArrow(in_slices(verify, "mine", SLICE), "hub long, node long, ok boolean"), "checked")
-
-    families = checked.groupBy("hub").agg(F.count("*").alias("n"), F.sum((~F.col("ok")).cast("int")).alias("failed")).where("failed > 0 AND n > 1")
-    parts = families.select("hub", F.ceil(F.col("failed") / block).cast("int").alias("l"), F.ceil(F.col("n") / block).cast("int").alias("r"))
-    members = checked.join(parts, "hub").withColumn("h", F.xxhash64("node"))
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """pairs: hub, node.  Adds whether they are linked."""
+
+        def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ok = [aligned_similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) >= similarity for a, b in zip(batch.column("mine").to_pylist(), batch.column("kmers").to_pylist(), strict=True)]
+            return pa.record_batch([batch.column("hub"), batch.column("node"), pa.array(ok, pa.bool_())], names=["hub", "node", "ok"])
+
+        return written(_with_kmers(pairs, known).mapInArrow(in_slices(verify, "mine", SLICE), "hub long, node long, ok boolean"), name)
+
+    checked = verified(pairs, "checked")
+    links = checked.where("ok").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    roots = written(components(links), "roots")
+    rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if not checked.where("NOT ok").isEmpty():
+        # families of several classes: their members, by the k-mers of the family's prefix filter
+        members = rooted(checked.select("hub", "node").union(checked.select("hub", F.col("hub").alias("node")).distinct()))
+        several = members.groupBy("hub").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("hub")
+        open_ = members.join(written(several, "several"), "hub").select("hub", "node")
+
+        def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [family_prefix(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) for a, b in zip(batch.column("mine").to_pylist(), batch.column("kmers").to_pylist(), strict=True)]
+            n = np.array([len(x) for x in found], np.int64)
+            return pa.record_batch([pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("hub", "node")] + [pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["hub", "node", "key"])
+
+        prefixes = rooted(_with_kmers(open_, known).mapInArrow(in_slices(keyed, "mine", SLICE), "hub long, node long, key long"))
+        least_first = F.min(F.struct("node", "root")).alias("m")
+        crowded = lambda df: df.groupBy("hub", "key").agg(F.min("root").alias("r"), F.max("root").alias("s"), least_first).where("r < s").select("hub", "key", "m")
+        prefixes = written(prefixes, "prefixes")
+        shared = written(prefixes.join(written(crowded(prefixes), "crowded"), ["hub", "key"]), "shared")
+        second = shared.where("root <> m.root").select(F.col("m.node").alias("hub"), "node").distinct()
+        checked = verified(second, "checked")
+        links = written(links.union(checked.where("ok").select("hub", "node")), "links")
+        roots = written(components(links), "roots")
+        shared = written(rooted(shared.select("hub", "key", "node")), "shared")
+        left_open = written(shared.join(written(crowded(shared).drop("m"), "crowded"), ["hub", "key"], "left_semi").select("hub", "node", "root").distinct(), "open")
+        links = links.union(_among(left_open, known, similarity, block))
+        roots = components(links)
+    named = written(placed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "rooted")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return named.join(written(least, "classes"), "root").select("doc_id", "class_id")
+
+
+def _with_kmers(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """hub, node, mine (the node's k-mers), kmers (the hub's)."""
+    mine, theirs = known.withColumnRenamed("kmers", "mine"), known.withColumnRenamed("node", "hub")
+    return pairs.join(mine, "node").join(theirs, "hub").select("hub", "node", "mine", "kmers")
+
+
+def _among(members: DataFrame, known: DataFrame, similarity: float, block: int) -> DataFrame:
+    """members: hub, node, root.  Links (a, b) of members outside the family's largest class with all others, in units."""
+    by_root = members.groupBy("hub", "root").agg(F.count("*").alias("n"))
+    of_hub = by_root.groupBy("hub").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
+    shape = of_hub.select("hub", F.col("m.root").alias("largest"), F.ceil((F.col("all") - F.col("m.n")) / block).cast("int").alias("l"), F.ceil(F.col("all") / block).cast("int").alias("r")).where("l > 0")
+    placed = members.join(written(shape, "shape"), "hub").withColumn("h", F.xxhash64("node"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = members.where(~F.col("ok")).select("hub", "node", F.pmod("h", "l").cast("int").alias("i"), every("r").alias("j"), F.lit(True).alias("left"))
-    right = members.select("hub", "node", every("l").alias("i"), F.pmod("h", "r").cast("int").alias("j"), F.lit(False).alias("left"))
+    left = placed.where("root <> largest").select("hub", "node", F.pmod("h", "l").cast("int").alias("i"), every("r").alias("j"), F.lit(True).alias("left"))
+    right = placed.select("hub", "node", every("l").alias("i"), F.pmod("h", "r").cast("int").alias("j"), F.lit(False).alias("left"))
     units = left.unionByName(right).join(known, "node")
 
     def solve(t: pa.Table) -> pa.Table:
@@ -252,8 +319,4 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, functions: int = 3
         links = link_unit(*sides, similarity) if all(sides) else []
         return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
-    among = units.select("hub", "i", "j", "node", "left", "kmers").groupBy("hub", "i", "j").applyInArrow(solve, "a long, b long")
-    links = checked.where("ok").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(among)
-    rooted = written(placed.select("doc_id", "node").join(components(links), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rooted.join(written(least, "classes"), "root").select("doc_id", "class_id")
+    return units.select("hub", "i", "j", "node", "left", "kmers").groupBy("hub", "i", "j").applyInArrow(solve, "a long, b long")
