@@ -112,7 +112,8 @@ def brute_classes(texts, least=0.8):
                 if g in at:
                     k = int(np.searchsorted(tails, at[g]))
                     tails[k : k + 1] = [at[g]]
-            if a and b and len(tails) / (len(a) + len(b) - len(tails)) >= least:
+            alike = len(tails) / (len(a) + len(b) - len(tails)) >= least if a and b else not a and not b and texts[i] is not None and texts[i] == texts[j]
+            if alike:
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(texts))]
 
@@ -133,6 +134,50 @@ def test_near_duplicates(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_families_whose_hub_hides_links(spark):
+    """Texts that share a long passage, and so entries, with a hub that none of them is like."""
+    rng = np.random.default_rng(12)
+    say = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage = say(120)
+    docs = [passage + say(40)]
+    for n in (35, 45, 60, 60, 80):
+        own = say(n)
+        docs += [edited(rng, passage + own, 1) for _ in range(3)] + [passage + own[: n // 2] + say(n // 2), edited(rng, passage + own, 4)]
+    docs += [passage + say(int(n)) for n in rng.integers(31, 60, 20)]
+    texts = [" ".join(d) for d in docs]
+    want = brute_classes(texts)
+    # few functions over many k-mers each: every text shares entries with the first
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(frame(spark, texts), functions=64, per_function=2, block=4).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 5 < len(set(want)) < 40
+
+
+def test_near_duplicate_recall_at_the_edge(spark):
+    """Pairs of a similarity from 0.8 up to 0.83: all links found."""
+    rng = np.random.default_rng(13)
+    texts = []
+    for k in range(150):
+        a = [f"w{k}x{x}" for x in range(int(rng.integers(150, 400)))]
+        runs = len(a) - 4
+        cut = int(np.floor((1 - 0.8) * runs)) - int(rng.integers(0, 5))  # a tail left out: the rest of the runs stay
+        texts += [" ".join(a), " ".join(a[: len(a) - cut])]
+    want = brute_classes(texts)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(frame(spark, texts)).collect()}
+    assert len(set(want)) == 150 and [got[i] for i in range(300)] == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0.5, 0.8, 0.9]))
+def test_linked_texts_share_a_key_of_their_family(seed, least):
+    rng = np.random.default_rng(seed)
+    pool = rng.choice(np.iinfo(np.int64).max, 90, replace=False).astype(np.uint64)
+    hub = pool[:50]
+    for _ in range(40):
+        a = rng.permutation(pool)[: int(rng.integers(1, 80))]
+        b = a[rng.random(len(a)) < (1 + least) / 2]
+        if len(b) and order_minhash.aligned_similarity(a, b, least) >= least:
+            assert set(order_minhash.family_prefix(a, hub, least).tolist()) & set(order_minhash.family_prefix(b, hub, least).tolist())
+
+
 def test_near_duplicates_of_short_texts(spark):
     rng = np.random.default_rng(5)
     docs = []
@@ -198,7 +243,7 @@ def test_base_spans(text):
 
 def test_base_spans_of_long_texts_are_linear():
     for t in ("1" * 300_000, "a" * 300_000 + "@", "1." * 150_000, "@a" * 150_000, "+1 " * 100_000):
-        pii.base_spans(t)
+        pii.uses(t, pii.base_spans(t))
 
 
 def test_pii_query(spark, small, documents):
@@ -221,6 +266,30 @@ def test_contexts_find_unseen_identifiers(spark):
     assert (clean["n_chars"] == clean["text"].str.len()).all()
 
 
+def test_contexts_of_any_length(spark):
+    """Blanks, words and identifiers have no upper length; the pattern is the same over any number of blanks."""
+    long, blanks = "x" * 40 + "word", " " * 90
+    texts = [f"{long} handle a{i}@mail.example" for i in range(12)] + [f"so {long}{blanks}handle{blanks}{'q7' * 150}!", f"{long} handle\n\n user_name_{'z' * 300}", f"{'y' * 500} handle user77"]
+    got = pii.digest(pii.find_spans(frame(spark, texts))).toPandas().set_index("doc_id").sort_index()
+    at = texts[12].index("q7")
+    assert got["spans"][12] == f"context:{at}:{at + 300}" and got["n_context"].tolist() == [0] * 12 + [1, 1, 0]
+
+
+def test_confidence_takes_two_hops_but_never_its_own_word(spark):
+    """A pattern without seeds is learned over identifiers that a confident pattern introduces; one with a quarter of seeds isn't."""
+    seeded = [f"you may reach handle a{i}@mail.example" for i in range(40)]
+    shared = [f"please reach handle name{i}x" for i in range(6)]
+    second = [f"the account called name{i}x" for i in range(6)] + ["the account called unseen99"]
+    weak = [f"see serial number b{i}@mail.example" for i in range(6)] + [f"see serial number part{i}" for i in range(18)]
+    texts = seeded + shared + second + weak
+    got = pii.digest(pii.find_spans(frame(spark, texts))).toPandas().set_index("doc_id").sort_index()
+    assert got["n_context"].tolist() == [0] * 40 + [1] * 13 + [0] * 24
+    one = pii.digest(pii.find_spans(frame(spark, texts), rounds=1)).toPandas()
+    assert one["n_context"].sum() == 6
+    docs = frame(spark, texts).withColumn("n_chars", F.length("text").cast("long"))
+    assert sorted(map(tuple, pii.redacted(docs).collect())) == sorted(map(tuple, pii.redacted(docs, most_sent=0).collect()))
+
+
 def test_tiles_are_the_greedy_ones():
     item = list(range(20))
     text = [99] + item[10:20] + [98] + item[0:10] + item[5:9]

@@ -1,12 +1,15 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base patterns (e-mail, ip, card, phone) find seed entities.  The two words before a seed form a lexical pattern; patterns and the
-identifier-like strings they introduce (five characters or more, one digit at least) make a bipartite graph, which Spark scores
-for a few rounds: a pattern is as good as the mean confidence of its distinct instances (shrunk by ``prior`` unknown ones), an
-instance as good as its best pattern, seeds stay 1.  Patterns of ``confidence`` or more that introduce ``support`` distinct
-seeds at least then mark all that they introduce, as spans of kind ``context``; base spans always stay.
+identifier-like strings that they introduce (five characters or more, with a digit, an at sign or an underscore) make a bipartite
+graph, which Spark scores for ``rounds`` rounds.  A pattern's score is the mean trust in its distinct instances, shrunk by ``prior``
+unknown ones.  Seeds have trust 1.  Any other instance has trust only through *other* patterns: the mean score of those confident ones
+that introduce it too, or 0.  A pattern is confident if its score is ``confidence`` or more and it has ``support`` trusted instances
+at least; so confidence travels from patterns with seeds, over the identifiers they share, to patterns without.  Confident patterns
+mark all that they introduce, as spans of kind ``context``; base spans always stay.
 
-Texts are read once and never shuffled: spans, and patterns as 64-bit hashes, are written to the shared folder and joined there.
+Words and identifiers have any length, and any number of blanks may stand between.  Texts are read in narrow passes and never
+shuffled: spans, and patterns as 64-bit hashes, are written to the shared folder and joined there.
 
 Null texts are empty.  Repeated rows and null doc_ids give a row each.  Offsets are code points, ends exclusive.
 """
@@ -29,8 +32,11 @@ _local = re.compile(r"[A-Za-z0-9._%+-]").match
 _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}").finditer
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+").finditer
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
-_digits = re.compile(r"[0-9]+").finditer
+_candidate = re.compile(r"(?<!\S)[^\s0-9@_]*+[0-9@_]\S*+").finditer  # a word with one of these signs, each word looked at once
 _not_digit = re.compile(r"[^0-9]").sub
+_OPENING = "\"'([{<`"
+#: The most confident patterns that are broadcast (as 64-bit hashes, so 8 MB); with more, spans are joined instead.
+MOST_SENT = 1 << 20
 _TRIM = "\"'()[]{}<>,;:.!?=*#$%&|`"
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
 _USE = pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())])
@@ -71,36 +77,38 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def _words_before(text: str, at: int, most: int = 32) -> str | None:
-    """The two words before a place, lower-cased; None where there aren't two of at most ``most`` characters each."""
-    part = text[max(0, at - 2 * most - 4) : at]
-    while part and part[-1] in "\"'([{<`":
-        part = part[:-1]
-    words = part.split()
-    if len(words) < 2 or any(len(w) > most for w in words[-2:]) or (part and not part[-1].isspace() and at and not text[at - 1] in "\"'([{<`"):
+def _words_before(text: str, at: int) -> str | None:
+    """The two words before a place, lower-cased; None where there aren't two, or where the place is inside a word."""
+    end = at
+    while end and text[end - 1] in _OPENING:
+        end -= 1
+    if end == at and at and not text[at - 1].isspace():
         return None
-    return " ".join(words[-2:]).lower()
+    words = text[max(0, end - 80) : end].split()
+    if end > 80 and len(words) < 3:  # the second word may begin before
+        words, at = [], end
+        while at and len(words) < 2:
+            while at and text[at - 1].isspace():
+                at -= 1
+            end = at
+            while at and not text[at - 1].isspace():
+                at -= 1
+            words[:0] = [text[at:end]] * (end > at)
+    return " ".join(words[-2:]).lower() if len(words) > 1 else None
 
 
 def uses(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Each seed, and each identifier-like string that touches no seed, with the pattern before it."""
     found = [(s, e, True) for s, _, e in spans]
-    starts, last, at = [s for s, _, _ in spans], list(itertools.accumulate((e for _, _, e in spans), max)), 0  # spans are sorted by start
-    for m in _digits(text):
-        if m.start() < at:
-            continue
-        s, e = m.start(), m.end()
-        while s and not text[s - 1].isspace():
-            s -= 1
-        while e < len(text) and not text[e].isspace():
-            e += 1
-        at = e
+    starts, last = [s for s, _, _ in spans], list(itertools.accumulate((e for _, _, e in spans), max))  # spans are sorted by start
+    for m in _candidate(text):
+        s, e = m.span()
         while s < e and text[s] in _TRIM:
             s += 1
         while s < e and text[e - 1] in _TRIM:
             e -= 1
         before = bisect_left(starts, e)
-        if 5 <= e - s <= 256 and not (before and last[before - 1] > s):
+        if e - s >= 5 and not (before and last[before - 1] > s):
             found.append((s, e, False))
     out = []
     for s, e, seed in found:
@@ -130,30 +138,45 @@ def extract(docs: DataFrame) -> DataFrame:
 
 
 def confident_patterns(edges: DataFrame, rounds: int, confidence: float, support: int, prior: float) -> DataFrame:
-    """edges: pattern, instance, seed (one row for each pair).  Returns the patterns to trust, with their scores."""
-    seeded = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") > 0).select("pattern")
-    score = None
-    for _ in range(rounds):
-        if score is None:
-            trust = edges.join(seeded, "pattern", "left_semi").withColumn("trust", F.col("seed").cast("double"))
-        else:
-            best = edges.join(score, "pattern").groupBy("instance").agg(F.max("score").alias("best"))
-            trust = edges.join(best, "instance").withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.col("best")))
-        score = trust.groupBy("pattern").agg((F.sum("trust") / (F.count("*") + prior)).alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-    return score.where((F.col("score") >= confidence) & (F.col("seeds") >= support)).select("pattern", "score")
+    """edges: pattern, instance, seed (one row for each pair).  Returns the patterns to trust, with their scores.
+
+    Everything is summed by pattern or by instance, with sums before each shuffle, so neither may be too common."""
+    own = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds"))
+    scored = own.select("pattern", "n", "seeds", F.lit(0.0).alias("gained"), F.lit(0).cast("long").alias("accepted"))
+    confident = None
+    for i in range(rounds):
+        scored = scored.select("pattern", "n", "seeds", ((F.col("seeds") + F.col("gained")) / (F.col("n") + prior)).alias("score"), (F.col("seeds") + F.col("accepted")).alias("trusted"))
+        confident = written(scored.where((F.col("score") >= confidence) & (F.col("trusted") >= support)).select("pattern", "score"), "patterns")
+        if i + 1 == rounds:
+            break
+        theirs = edges.where(~F.col("seed")).join(confident, "pattern").groupBy("instance").agg(F.count("*").alias("many"), F.sum("score").alias("total"))
+        reach = edges.where(~F.col("seed")).join(theirs, "instance").join(confident, "pattern", "left")
+        mine = F.coalesce("score", F.lit(0.0))
+        others = F.col("many") - F.col("score").isNotNull().cast("long")
+        gain = reach.where(others > 0).groupBy("pattern").agg(F.sum((F.col("total") - mine) / others).alias("gained"), F.count("*").alias("accepted"))
+        scored = own.join(gain, "pattern", "left").select("pattern", "n", "seeds", F.coalesce("gained", F.lit(0.0)).alias("gained"), F.coalesce("accepted", F.lit(0).cast("long")).alias("accepted"))
+    return confident
+
+
+def _trusted(docs: DataFrame, rounds: int, confidence: float, support: int, prior: float) -> tuple[DataFrame, DataFrame]:
+    """What ``extract`` finds, written with a number for each row, and the confident patterns."""
+    found = written(extract(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
+    edges = found.select(F.explode("uses").alias("u")).groupBy("u.pattern", "u.instance").agg(F.max("u.seed").alias("seed"))
+    return found, confident_patterns(written(edges, "edges"), rounds, confidence, support, prior)
 
 
-def find_spans(docs: DataFrame, rounds: int = 3, confidence: float = 0.5, support: int = 5, prior: float = 2.0) -> DataFrame:
-    """For each row: its number, doc_id, base spans and all spans, as sorted arrays of (start, kind, end)."""
-    found = written(extract(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
-    used = found.select("row", F.explode("uses").alias("u")).select("row", "u.*")
-    edges = used.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    trusted = confident_patterns(edges, rounds, confidence, support, prior)
-    new = used.where(~F.col("seed")).join(trusted, "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
-    both = found.select("row", "doc_id", "text_hash", "text_bytes", "base").join(new, "row", "left")
+def _marked(found: DataFrame, trusted: DataFrame) -> DataFrame:
+    new = found.select("row", F.explode("uses").alias("u")).select("row", "u.*").where(~F.col("seed")).join(trusted, "pattern", "left_semi")
+    more = new.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))  # of one text
+    both = found.select("row", "doc_id", "text_hash", "text_bytes", "base").join(more, "row", "left")
     return both.select("row", "doc_id", "text_hash", "text_bytes", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start: int, kind: int, end: int>>")))).alias("spans"))
 
 
+def find_spans(docs: DataFrame, rounds: int = 4, confidence: float = 0.5, support: int = 5, prior: float = 2.0) -> DataFrame:
+    """For each row: its number, doc_id, base spans and all spans, as sorted arrays of (start, kind, end)."""
+    return _marked(*_trusted(docs, rounds, confidence, support, prior))
+
+
 def digest(spans: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and the spans as text."""
     name = F.array(*[F.lit(k) for k in KINDS])
@@ -164,20 +187,30 @@ def digest(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", *n, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"), more.cast("long").alias("n_context"))
 
 
-def redacted(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs with all spans replaced in text, and n_chars counted anew.  Base spans are found again in place; only those
-    texts' further spans are joined, by the text's hash and size."""
-    spans = find_spans(docs, **options)
-    more = spans.where(F.size("spans") > F.size("base")).groupBy("text_hash", "text_bytes").agg(F.first(F.filter("spans", lambda s: s["kind"] == 4)).alias("more"))
-    keyed = docs.withColumns(dict(zip(("text_hash", "text_bytes"), text_key(F.col("text")), strict=True)))
-    kept = docs.columns
-    wide = keyed.join(more, ["text_hash", "text_bytes"], "left").select(*kept, "more")
+def redacted(docs: DataFrame, rounds: int = 4, confidence: float = 0.5, support: int = 5, prior: float = 2.0, most_sent: int = MOST_SENT) -> DataFrame:
+    """The rows of docs with all spans replaced in text, and n_chars counted anew; all other columns stay, null texts too.
+
+    Up to ``most_sent`` confident patterns are broadcast, and each text's spans are found again in place: no text is shuffled.
+    With more of them, further spans are joined by the text's hash and size."""
+    found, trusted = _trusted(docs, rounds, confidence, support, prior)
+    kept, few = docs.columns, trusted.count() <= most_sent
+    if few:
+        known = docs.sparkSession.sparkContext.broadcast(frozenset(r["pattern"] for r in trusted.select("pattern").toLocalIterator()))
+        wide = docs
+    else:
+        more = _marked(found, trusted).where(F.size("spans") > F.size("base")).groupBy("text_hash", "text_bytes").agg(F.first(F.filter("spans", lambda s: s["kind"] == 4)).alias("pii_more"))
+        keyed = docs.withColumns(dict(zip(("pii_hash", "pii_bytes"), text_key(F.col("text")), strict=True)))
+        same = (F.col("pii_hash") == F.col("text_hash")) & (F.col("pii_bytes") == F.col("text_bytes"))
+        wide = keyed.join(more, same, "left").select(*[F.col(f"`{c}`") for c in kept], "pii_more")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [
-            t if t is None else redact(t, [*base_spans(t), *[(s["start"], s["kind"], s["end"]) for s in m or []]])
-            for t, m in zip(batch.column("text").to_pylist(), batch.column("more").to_pylist(), strict=True)
-        ]
+        texts = batch.column("text").to_pylist()
+        base = [base_spans(t) if t else [] for t in texts]
+        if few:
+            more = [[(u["start"], 4, u["end"]) for u in uses(t, b) if not u["seed"] and u["pattern"] in known.value] if t and known.value else [] for t, b in zip(texts, base, strict=True)]
+        else:
+            more = [[(s["start"], s["kind"], s["end"]) for s in m or []] for m in batch.column("pii_more").to_pylist()]
+        out = [t if t is None else redact(t, [*b, *m]) for t, b, m in zip(texts, base, more, strict=True)]
         own = {"text": pa.array(out, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in out], pa.int64())}
         return pa.record_batch([own.get(c, batch.column(c)) for c in kept], names=kept)
 
