@@ -9,7 +9,7 @@ from .common import written
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """edges: distinct (a, b) with a > b.  Links neighbours to the least node around each node."""
+    """edges: (a, b) with a > b.  Links neighbours to the least node around each node."""
     if small:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         moved = edges.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.*")
@@ -17,7 +17,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         moved = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), "m")
-    return moved.where("a <> m").select("a", F.col("m").alias("b")).distinct()
+    out = moved.where("a <> m").select("a", F.col("m").alias("b"))
+    return out.distinct() if small else out
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -14,13 +14,13 @@ linked to a short one, have both.
 
 Equal texts (equal words; of texts without words, equal bytes) collapse into one representative first.  In each bucket of a shared
 entry all members are verified against its least member, the hub; connected components of these links are first classes.  A hub's
-family that has members of several classes may hide further links among members that the hub isn't like.  They meet in two steps,
-both exact.  First by a prefix filter in the family's own order: the k-mers that the hub lacks come first, so texts that only share the
-hub's passage have no common prefix k-mer; in each bucket of such a k-mer all members of other classes are verified against its least
-member.  What still is in buckets of several classes meets in units of at most about ``block`` x ``block`` texts, each solved in one
-task: members outside the family's largest class against all; a unit counts the common k-mers of its pairs, aligns those that have
-enough, and returns links that join two groups there.  Rows grow with the texts and their lengths; only this last step
-grows with the product of a family's two sides, and only for members that share a rare k-mer and whose hubs didn't link them.
+family that has members of several classes may hide further links among members that the hub isn't like.  These meet exactly.  First a
+prefix filter in the family's own order, in which k-mers that the hub lacks come first, leaves only members that share a prefix
+k-mer with a member of another class: texts that have no more than the hub's passage in common drop out.  Those left meet in units of
+at most about ``block`` x ``block`` texts, each solved in one task: members outside the family's largest class against all; a unit
+counts the common k-mers of its pairs, aligns those that have enough, and returns links that join two groups there.  Rows grow with
+the texts and their lengths, but for this last step: its rows grow with the product of a family's two sides, counted in blocks,
+and only for members that share a k-mer beyond the hub's while no hub links them.
 
 A null text is a class alone; a text of fewer than five words has one k-mer, all of it.  Null doc_ids and repeated rows
 are rows of their own; a repeated row is an exact copy.
@@ -254,43 +254,28 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, functions: int = 3
     needed = texts.join(pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct(), "node", "left_semi").select("key1", "key2", "id", "node")
     known = written(fetch_kmers(docs, written(needed, "needed")), "kmers")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """pairs: hub, node.  Adds whether they are linked."""
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = [aligned_similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) >= similarity for a, b in zip(batch.column("mine").to_pylist(), batch.column("kmers").to_pylist(), strict=True)]
+        return pa.record_batch([batch.column("hub"), batch.column("node"), pa.array(ok, pa.bool_())], names=["hub", "node", "ok"])
 
-        def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ok = [aligned_similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) >= similarity for a, b in zip(batch.column("mine").to_pylist(), batch.column("kmers").to_pylist(), strict=True)]
-            return pa.record_batch([batch.column("hub"), batch.column("node"), pa.array(ok, pa.bool_())], names=["hub", "node", "ok"])
-
-        return written(_with_kmers(pairs, known).mapInArrow(in_slices(verify, "mine", SLICE), "hub long, node long, ok boolean"), name)
-
-    checked = verified(pairs, "checked")
+    checked = written(_with_kmers(pairs, known).mapInArrow(in_slices(verify, "mine", SLICE), "hub long, node long, ok boolean"), "checked")
     links = checked.where("ok").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     roots = written(components(links), "roots")
     rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if not checked.where("NOT ok").isEmpty():
         # families of several classes: their members, by the k-mers of the family's prefix filter
         members = rooted(checked.select("hub", "node").union(checked.select("hub", F.col("hub").alias("node")).distinct()))
-        several = members.groupBy("hub").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("hub")
-        open_ = members.join(written(several, "several"), "hub").select("hub", "node")
+        several = lambda df, *keys: df.groupBy(*keys).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select(*keys)
+        open_ = members.join(several(members, "hub"), "hub").select("hub", "node")
 
         def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [family_prefix(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) for a, b in zip(batch.column("mine").to_pylist(), batch.column("kmers").to_pylist(), strict=True)]
             n = np.array([len(x) for x in found], np.int64)
             return pa.record_batch([pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("hub", "node")] + [pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["hub", "node", "key"])
 
-        prefixes = rooted(_with_kmers(open_, known).mapInArrow(in_slices(keyed, "mine", SLICE), "hub long, node long, key long"))
-        least_first = F.min(F.struct("node", "root")).alias("m")
-        crowded = lambda df: df.groupBy("hub", "key").agg(F.min("root").alias("r"), F.max("root").alias("s"), least_first).where("r < s").select("hub", "key", "m")
-        prefixes = written(prefixes, "prefixes")
-        shared = written(prefixes.join(written(crowded(prefixes), "crowded"), ["hub", "key"]), "shared")
-        second = shared.where("root <> m.root").select(F.col("m.node").alias("hub"), "node").distinct()
-        checked = verified(second, "checked")
-        links = written(links.union(checked.where("ok").select("hub", "node")), "links")
-        roots = written(components(links), "roots")
-        shared = written(rooted(shared.select("hub", "key", "node")), "shared")
-        left_open = written(shared.join(written(crowded(shared).drop("m"), "crowded"), ["hub", "key"], "left_semi").select("hub", "node", "root").distinct(), "open")
-        links = links.union(_among(left_open, known, similarity, block))
-        roots = components(links)
+        prefixes = written(rooted(_with_kmers(open_, known).mapInArrow(in_slices(keyed, "mine", SLICE), "hub long, node long, key long")), "prefixes")
+        still = written(prefixes.join(several(prefixes, "hub", "key"), ["hub", "key"]).select("hub", "node", "root").distinct(), "open")
+        roots = components(links.union(_among(still, known, similarity, block)))
     named = written(placed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "rooted")
     least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return named.join(written(least, "classes"), "root").select("doc_id", "class_id")
@@ -307,7 +292,7 @@ def _among(members: DataFrame, known: DataFrame, similarity: float, block: int)
     by_root = members.groupBy("hub", "root").agg(F.count("*").alias("n"))
     of_hub = by_root.groupBy("hub").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
     shape = of_hub.select("hub", F.col("m.root").alias("largest"), F.ceil((F.col("all") - F.col("m.n")) / block).cast("int").alias("l"), F.ceil(F.col("all") / block).cast("int").alias("r")).where("l > 0")
-    placed = members.join(written(shape, "shape"), "hub").withColumn("h", F.xxhash64("node"))
+    placed = members.join(shape, "hub").withColumn("h", F.xxhash64("node"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = placed.where("root <> largest").select("hub", "node", F.pmod("h", "l").cast("int").alias("i"), every("r").alias("j"), F.lit(True).alias("left"))
     right = placed.select("hub", "node", every("l").alias("i"), F.pmod("h", "r").cast("int").alias("j"), F.lit(False).alias("left"))
