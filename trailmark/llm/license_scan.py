@@ -1,20 +1,27 @@
 """License scan by diagonal voting, in DataFrame functions only.
 
-Every text's words give rolling word-pair hashes; these are joined with the pairs of the license templates, each hit voting for the
-diagonal (its place in the text less its place in the template).  Votes are summed by row, template and diagonal; a template
-stands verbatim exactly where one diagonal has all its votes.  Neighbouring diagonals (words put in or left out) are merged,
-and a merged span that has enough of the template's votes gives the template's label.
+Every text's words give rolling hashes of 2 words and of 4 words; these are joined with the same hashes of the license templates
+(4 words for templates of ``LONG`` words or more, 2 words for shorter ones and for the base phrases), each hit voting for the diagonal:
+its place in the text less its place in the template.  Votes are summed by row, template and diagonal; a base phrase stands verbatim
+exactly where one diagonal has all its votes.  Neighbouring diagonals (at most ``slack`` words apart: words put in or left out) are
+merged, and the merged span is verified: its hits are taken in the text's order, and each must go on in the template; only template
+words that are reached so, each once, count.  A span gives its template's label if these words are ``coverage`` or more both of the
+template and of the span's own words; a short template must be there with all its words.  Where more than half of such a span lies in
+one that reaches more words, of a license worded alike, the latter counts alone.
 
-The templates are a fixed table of some dozens of short phrases, so broadcasting them is bounded whatever the corpus.  One narrow
-pass reads the texts; only hits, and one row for each document, are shuffled, keyed by row number: no group is larger than one
-document's hits.
+The templates are a fixed table of notices and phrases (about a thousand hashes), so broadcasting them is bounded whatever the corpus.
+One narrow pass reads the texts; only hits, and one row for each document, are shuffled, keyed by row number: no group is larger than
+one document's hits.
 
-Null texts are empty: no words, score 0.  Repeated rows, null doc_ids: a row each.  Extra columns are left out.
+Null texts are empty: no words, score 0.  Repeated rows, null doc_ids: a row each.  Extra columns are left out.  Passages of several
+templates, and of one template at several places, each count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Phrases whose verbatim places are counted, with their labels.
@@ -23,21 +30,84 @@ BASE = [
     ("general public license", "gpl"),
     ("all rights reserved", "reserved"),
 ]
-#: License wordings, lower-cased and without punctuation, with their labels.
+#: Published license texts and notices, with their labels.
 TEMPLATES = [
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
-    ("licensed under the apache license version 2 0", "apache"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this program is free software you can redistribute it and or modify it", "gpl"),
-    ("under the terms of the gnu general public license as published by the free software foundation", "gpl"),
-    ("gnu lesser general public license", "lgpl"),
-    ("subject to the terms of the mozilla public license", "mpl"),
-    ("this work is licensed under a creative commons attribution", "cc-by"),
-    ("licensed under cc by sa", "cc-by-sa"),
-    ("dedicated to the public domain", "public-domain"),
-    ("no part of this publication may be reproduced", "reserved"),
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "mit",
+    ),
+    (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT "
+        "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "mit",
+    ),
+    (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+        "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+        "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        "isc",
+    ),
+    (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code "
+        "must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this "
+        "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "bsd",
+    ),
+    (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "apache",
+    ),
+    (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "gpl",
+    ),
+    (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version.",
+        "lgpl",
+    ),
+    (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/.",
+        "mpl",
+    ),
+    (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+        "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "public-domain",
+    ),
+    (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+        "restrictions:",
+        "zlib",
+    ),
+    (
+        "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means, including photocopying, recording, or other electronic or mechanical "
+        "methods, without the prior written permission of the publisher",
+        "reserved",
+    ),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("This work is licensed under the GNU General Public License", "gpl"),
+    ("Released under the MIT License", "mit"),
+    ("Licensed under the Apache License", "apache"),
+    ("GNU Lesser General Public License", "lgpl"),
+    ("Mozilla Public License", "mpl"),
+    ("Licensed under CC BY SA", "cc-by-sa"),
+    ("Licensed under CC BY NC", "cc-by-nc"),
+    ("Dedicated to the public domain", "public-domain"),
 ]
+#: Templates of so many words or more vote with runs of 4 words, shorter ones with pairs.
+LONG = 8
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,40 +117,82 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _SEPARATORS), "")
 
 
-def template_pairs(spark, base=None, templates=None) -> DataFrame:
-    """template, at, pair hash, votes in all, label, is_base; and template -1, which every document hits once."""
-    rows, number = [], 0
+def template_grams(spark: SparkSession, base=None, templates=None) -> DataFrame:
+    """template, at, k, gram (hash), size in words, label, is_base; and template -1, which every document hits once."""
+    rows, number = [(-1, 0, 1, "", "", "", "", 0, "", False)], 0
     for is_base, phrases in ((True, base or BASE), (False, templates or TEMPLATES)):
         for phrase, label in phrases:
-            w = phrase.split(" ")
-            rows += [(number, at, w[at], w[at + 1], len(w) - 1, label, is_base) for at in range(len(w) - 1)]
+            w = [x for x in re.split(_SEPARATORS, phrase.lower()) if x]
+            k = 4 if len(w) >= LONG and not is_base else 2
+            rows += [(number, at, k, *w[at : at + k], *[""] * (4 - k), len(w), label, is_base) for at in range(len(w) - k + 1)]
             number += 1
-    df = spark.createDataFrame(rows, "template int, at int, a string, b string, pairs int, label string, is_base boolean")
-    mark = spark.createDataFrame([(-1, 0, "", "", 1, "", False)], df.schema)
-    return df.union(mark).select("template", "at", F.xxhash64("a", "b").alias("pair"), "pairs", "label", "is_base")
+    df = spark.createDataFrame(rows, "template int, at int, k int, a string, b string, c string, d string, size int, label string, is_base boolean")
+    pair = F.xxhash64("a", "b")
+    return df.select("template", "at", "k", F.when(F.col("k") < 4, pair).otherwise(F.xxhash64(pair, F.xxhash64("c", "d"))).alias("gram"), "size", "label", "is_base")
+
+
+def in_order(hits: Column, k: Column) -> Column:
+    """struct(words, start, stop): template words reached by hits (place, at) in the text's order, each once, and their span in the text."""
+    none = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("words"), F.lit(-1).alias("start"), F.lit(-1).alias("stop"))
+
+    def step(s: Column, h: Column) -> Column:
+        to = h["at"] + k - 1
+        on = F.struct(to.alias("last"), (s["words"] + F.least(k, to - s["last"])).alias("words"), F.when(s["start"] < 0, h["place"]).otherwise(s["start"]).alias("start"), (h["place"] + k).alias("stop"))
+        return F.when(to > s["last"], on).otherwise(s)
+
+    return F.aggregate(F.array_sort(hits), none, step)
 
 
-def scan_licenses(docs: DataFrame, coverage: float = 0.8, slack: int = 2, base=None, templates=None) -> DataFrame:
-    """For each row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best merged coverage)."""
-    table = template_pairs(docs.sparkSession, base, templates)
+def scan_licenses(docs: DataFrame, coverage: float = 0.8, slack: int = 3, base=None, templates=None) -> DataFrame:
+    """For each row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best verified share), spans
+    (label:start:end in words, end exclusive, of the method's own labels, comma-joined)."""
+    table = template_grams(docs.sparkSession, base, templates)
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words_of(F.col("text").cast("string")).alias("words"))
-    n = F.size("words")
-    pairs = F.when(n > 1, F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
-    rolled = split.select("row", "doc_id", n.cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.xxhash64(F.lit(""), F.lit(""))), pairs)).alias("place", "pair"))
-    hits = rolled.join(F.broadcast(table), "pair").where((F.col("template") >= 0) | (F.col("place") == 0))
-    key = ["row", "doc_id", "n_words"]
-    votes = hits.groupBy(*key, "template", "pairs", "label", "is_base", (F.col("place") - 1 - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"))
-    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-slack, slack)
-    spans = votes.withColumn("covered", F.least(F.lit(1.0), F.sum("votes").over(near) / F.col("pairs")))
-    real = F.col("template") >= 0
-    whole = real & F.col("is_base") & (F.col("votes") == F.col("pairs"))
-    named = real & ((~F.col("is_base") & (F.col("covered") >= coverage)) | whole)
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return spans.groupBy(*key).agg(
-        F.sum(F.when(whole, 1).otherwise(0)).cast("long").alias("n_base"),
-        F.min(F.when(whole, F.col("diagonal"))).cast("long").alias("first_word"),
-        F.max(F.when(whole, F.col("diagonal"))).cast("long").alias("last_word"),
-        joined(F.when(whole, F.col("label"))).alias("base_labels"),
-        joined(F.when(named, F.col("label"))).alias("labels"),
-        F.max(F.when(real, F.col("covered")).otherwise(0.0)).alias("score"),
-    ).drop("row")
+    n, none = F.size("words"), F.array().cast("array<bigint>")
+    paired = split.withColumn("pairs", F.when(n > 1, F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))).otherwise(none))
+    fours = F.when(n > 3, F.zip_with(F.slice("pairs", F.lit(1), n - 3), F.slice("pairs", F.lit(3), n - 3), lambda a, b: F.xxhash64(a, b))).otherwise(none)
+    mark = F.array(F.xxhash64(F.lit(""), F.lit("")))
+    rolled = paired.select("row", "doc_id", n.alias("n_words"), F.posexplode(F.concat(mark, "pairs", fours)).alias("pos", "gram"))
+    # pairs stand at 1 to n - 1, runs of four words from n on
+    hits = rolled.join(F.broadcast(table), "gram").where(((F.col("template") < 0) == (F.col("pos") == 0)) & ((F.col("k") < 4) == (F.col("pos") < F.greatest("n_words", F.lit(1)))))
+    place = F.when(F.col("pos") < F.col("n_words"), F.col("pos") - 1).otherwise(F.col("pos") - F.col("n_words"))
+    key, of = ["row", "doc_id", "n_words"], ["template", "k", "size", "label", "is_base"]
+    votes = hits.select(*key, *of, place.alias("place"), "at").groupBy(*key, *of, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_list(F.struct("place", "at")).alias("hits"))
+    by = Window.partitionBy("row", "template").orderBy("diagonal")
+    apart = votes.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > slack).cast("int"), F.lit(0)))
+    merged = apart.withColumn("part", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = F.col("is_base") & (F.size("hits") == F.col("size") - 1)
+    spans = merged.groupBy(*key, *of, "part").agg(
+        F.sum(whole.cast("long")).alias("n_whole"),
+        F.min(F.when(whole, F.col("diagonal"))).alias("first"),
+        F.max(F.when(whole, F.col("diagonal"))).alias("last"),
+        F.flatten(F.collect_list("hits")).alias("hits"),
+    )
+    seen = spans.withColumn("s", F.when(F.col("template") >= 0, in_order(F.col("hits"), F.col("k"))))
+    share = F.when(F.col("template") >= 0, F.col("s.words") / F.greatest("size", F.col("s.stop") - F.col("s.start"))).otherwise(0.0)
+    scored = seen.withColumn("share", share)
+    own = ~F.col("is_base") & (F.col("share") >= coverage) & ((F.col("size") >= LONG) | (F.col("s.words") == F.col("size")))
+    found = F.collect_set(F.when(own, F.struct("s.start", "s.stop", "s.words", "label")))
+    by_row = scored.groupBy(*key).agg(
+        F.sum("n_whole").alias("n_base"),
+        F.min("first").cast("long").alias("first_word"),
+        F.max("last").cast("long").alias("last_word"),
+        F.collect_set(F.when(F.col("n_whole") > 0, F.col("label"))).alias("base"),
+        F.max("share").alias("score"),
+        F.array_sort(found).alias("found"),
+    )
+    shared = lambda s, t: F.least(s["stop"], t["stop"]) - F.greatest(s["start"], t["start"])
+    beaten = lambda s: F.exists("found", lambda t: (t["words"] > s["words"]) & (2 * shared(s, t) > s["stop"] - s["start"]))
+    best = by_row.withColumn("best", F.filter("found", lambda s: ~beaten(s)))
+    text = lambda s: F.concat_ws(":", s["label"], s["start"], s["stop"])
+    return best.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join(F.array_sort("base"), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("base", F.transform("best", lambda s: s["label"])))), ",").alias("labels"),
+        "score",
+        F.array_join(F.transform("best", text), ",").alias("spans"),
+    )
