@@ -5,11 +5,14 @@ For each document and item the shared seeds form diagonal runs; the longest run
 of marked words, and so on (greedy string tiling).  An item counts as leaked where the tiles cover ``coverage`` of its words or
 more, in whatever order the document has them.
 
+An item of fewer than ``seed`` words counts as leaked where all its words stand in a row.
+
 Before the join a Bloom filter of fixed size (2**FILTER_BITS bits, whatever the benchmark's size) drops document seeds that no item
-has; it may let others through, and the join settles those.  So nothing that grows is broadcast, only seeds of likely leaks are
-shuffled, and groups are single document-item pairs.
+has; it may let others through, and the join settles those.  So nothing that grows is broadcast, and only seeds of likely leaks are
+shuffled: one row for each distinct seed of a text, with all its places, so words that repeat make no products of rows.  Groups are
+single document-item pairs.
 
-Null texts, and texts and items of fewer than ``seed`` words, match nothing.  Repeated items give a row each only if their item_ids
+Null texts, and texts and items without words, match nothing.  Repeated items give a row each only if their item_ids
 differ; repeated documents give a row each.  Extra columns are left out.
 """
 
@@ -27,7 +30,7 @@ from .common import in_slices, pick
 from .wordhash import hash_words, rolling
 
 FILTER_BITS = 24
-_SEEDS = "row long, id long, words int, place int, seed long"
+_SEEDS = "row long, id long, words int, size int, seed long, places array<int>"
 
 
 def seeds_of(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -39,37 +42,65 @@ def seeds_of(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return row[inside], inside - w.first[row[inside]], h[inside], w.counts()
 
 
-def seed_rows(texts: DataFrame, id_column: str, k: int, keep: np.ndarray | None = None) -> DataFrame:
-    """row, id, words, place, seed for the seeds of each text (of those in the filter ``keep``, if given)."""
+def sizes_of(items: DataFrame, seed: int) -> list[int]:
+    """The runs of words to look for: ``seed`` words, and the lengths of shorter items."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.unique(hash_words(batch.column("text")).counts())
+            yield pa.record_batch([pa.array(n[(n > 0) & (n < seed)], pa.int64())], names=["n"])
+
+    short = pick(items, "text").select(F.col("text").cast("string")).mapInArrow(make, "n long").distinct().collect()  # fewer than ``seed`` rows
+    return sorted({seed, *(r["n"] for r in short)})
+
+
+def seed_rows(texts: DataFrame, id_column: str, sizes: list[int], keep: np.ndarray | None = None) -> DataFrame:
+    """row, id, words, size, seed, places for the distinct seeds of each text (of those in the filter ``keep``, if given).
+
+    Without a filter the texts are items, whose seeds have the greatest size or, in shorter items, all words."""
     kept = texts.sparkSession.sparkContext.broadcast(keep)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, place, h, words = seeds_of(batch.column("text"), k)
-        if kept.value is not None:
-            slot = h >> np.uint64(64 - FILTER_BITS)
-            hit = np.flatnonzero(kept.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+        parts = []
+        for k in sizes:
+            row, place, h, words = seeds_of(batch.column("text"), k)
+            if kept.value is not None:
+                slot = h >> np.uint64(64 - FILTER_BITS)
+                hit = np.flatnonzero(kept.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+            else:
+                hit = np.flatnonzero((words[row] == k) | (k == sizes[-1]))
             row, place, h = row[hit], place[hit], h[hit]
-        take = pa.array(row)
-        return pa.record_batch(
-            [batch.column("row").take(take), batch.column("id").take(take), pa.array(words[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))],
-            names=["row", "id", "words", "place", "seed"],
-        )
+            order = np.lexsort((place, h, row))
+            row, place, h = row[order], place[order], h[order]
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])) if len(row) else np.zeros(0, np.int64)
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(place.astype(np.int32)))
+            row, h = row[first], h[first]
+            take = pa.array(row)
+            parts.append(
+                pa.record_batch(
+                    [batch.column("row").take(take), batch.column("id").take(take), pa.array(words[row].astype(np.int32)), pa.array(np.full(len(row), k, np.int32)), pa.array(h.view(np.int64)), places],
+                    names=["row", "id", "words", "size", "seed", "places"],
+                )
+            )
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(x.num_rows for x in parts) else None
 
     rows = pick(texts, id_column, "text").select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), F.col("text").cast("string"))
     return rows.mapInArrow(in_slices(make), _SEEDS)
 
 
-def seed_filter(items: DataFrame, k: int) -> np.ndarray:
+def seed_filter(items: DataFrame, sizes: list[int]) -> np.ndarray:
     """The Bloom filter of the items' seeds, or-ed from at most eight parts of fixed size."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
-            bits[seeds_of(batch.column("text"), k)[2] >> np.uint64(64 - FILTER_BITS)] = True
+            for k in sizes:
+                row, _, h, words = seeds_of(batch.column("text"), k)
+                bits[h[(words[row] == k) | (k == sizes[-1])] >> np.uint64(64 - FILTER_BITS)] = True
         yield pa.record_batch([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
 
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for part in pick(items, "text").coalesce(8).mapInArrow(make, "bits binary").toLocalIterator():
+    for part in pick(items, "text").select(F.col("text").cast("string")).coalesce(8).mapInArrow(make, "bits binary").toLocalIterator():
         out |= np.frombuffer(part["bits"], np.uint8)
     return out
 
@@ -111,20 +142,23 @@ def tile(places: np.ndarray, item_places: np.ndarray, words: int, k: int) -> lis
 
 def find_leaks(docs: DataFrame, items: DataFrame, seed: int = 5, coverage: float = 0.7) -> DataFrame:
     """doc_id, item_id, coverage, tiles, first_word for each document row and item whose tiles cover enough of the item."""
-    own = seed_rows(docs, "doc_id", seed, seed_filter(items, seed)).withColumnRenamed("id", "doc_id").drop("words")
-    theirs = seed_rows(items, "item_id", seed).select(F.col("id").alias("item_id"), "words", F.col("place").alias("item_place"), "seed").distinct()
-    shared = own.join(theirs, "seed")
-    pairs = shared.groupBy("row", "doc_id", "item_id", "words").agg(F.collect_list("place").alias("places"), F.collect_list("item_place").alias("item_places"), F.size(F.collect_set("item_place")).alias("n"))
-    likely = pairs.where(F.col("n") * seed >= coverage * F.col("words"))
+    sizes = sizes_of(items, seed)
+    own = seed_rows(docs, "doc_id", sizes, seed_filter(items, sizes)).withColumnRenamed("id", "doc_id").drop("words")
+    theirs = seed_rows(items, "item_id", sizes).select(F.col("id").alias("item_id"), "words", "size", F.col("places").alias("item_places"), "seed").distinct()
+    shared = own.join(theirs, ["seed", "size"])
+    pairs = shared.groupBy("row", "doc_id", "item_id", "words", "size").agg(F.collect_list("places").alias("places"), F.collect_list("item_places").alias("item_places"))
+    likely = pairs.where(F.size(F.array_distinct(F.flatten("item_places"))) * F.col("size") >= coverage * F.col("words"))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for doc_id, item_id, words, p, q in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "item_id", "words", "places", "item_places")], strict=True):
-            tiles = tile(np.array(p, np.int64), np.array(q, np.int64), words, seed)
+        for doc_id, item_id, words, size, p, q in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "item_id", "words", "size", "places", "item_places")], strict=True):
+            at = np.concatenate([np.repeat(np.array(a, np.int64), len(b)) for a, b in zip(p, q, strict=True)])
+            item_at = np.concatenate([np.tile(np.array(b, np.int64), len(a)) for a, b in zip(p, q, strict=True)])
+            tiles = tile(at, item_at, words, size)
             share = sum(t[2] for t in tiles) / words
             if share >= coverage:
                 out.append({"doc_id": doc_id, "item_id": item_id, "coverage": share, "tiles": len(tiles), "first_word": min(t[0] for t in tiles)})
         kind = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int64()), ("first_word", pa.int64())])
         return pa.RecordBatch.from_pylist(out, kind)
 
-    return likely.select("doc_id", "item_id", "words", "places", "item_places").mapInArrow(in_slices(make, "places"), "doc_id long, item_id long, coverage double, tiles long, first_word long")
+    return likely.select("doc_id", "item_id", "words", "size", "places", "item_places").mapInArrow(in_slices(make, "places"), "doc_id long, item_id long, coverage double, tiles long, first_word long")
