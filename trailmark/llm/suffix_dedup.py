@@ -11,8 +11,9 @@ another document has too.
 
 Runs are compared over task borders through the first and last row of each task: two rows a task.
 
-Rows that share a doc_id are one document; repeats within one document don't count.  Null doc_ids, null texts and texts of fewer
-than ``min_words`` words take no part.  Only documents with a span are returned.
+Rows that share a doc_id are one document; repeats within one document don't count.  Rows without a doc_id count as other documents
+(equal ones as one), but as nothing names them they aren't returned.  Null texts and texts of fewer than ``min_words`` words take no
+part.  Only documents with a span are returned.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .wordhash import hash_words, rolling
 
 MIN_WORDS = 50
 WINDOW = 25
+_NAMELESS = 1 << 61
 
 
 def minimisers(column: pa.Array, min_words: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,11 +140,13 @@ def shared_rows(rows: DataFrame, name: str) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """doc_id, n_spans, n_words (in spans) and spans (start-end in words, end exclusive) of documents that share a passage."""
-    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    nameless = -(F.pmod(F.xxhash64(text), F.lit(_NAMELESS)) + F.lit(_NAMELESS))  # ids far below any in use
+    texts = pick(docs, "doc_id", "text").where("text IS NOT NULL").select(F.coalesce(doc_id, nameless).alias("id"), text.alias("text"))
     survivors = shared_rows(suffixes(texts, min_words, window), "suffixes")
     around = survivors.groupBy("id").agg(F.collect_set("place").alias("places"))
     confirmed = shared_rows(windows(texts.join(around, "id"), min_words, window), "windows")
-    starts = confirmed.groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    starts = confirmed.where(F.col("id") > -_NAMELESS).groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, words, spans = [], [], []
