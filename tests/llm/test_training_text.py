@@ -322,18 +322,48 @@ def test_leaks_query(spark, small):
                 assert (d, item["item_id"]) not in got
 
 
-def test_license_scan(spark, small, documents):
-    extra = ["CC BY; cc-by, Cc. By", "General Public License general public license all rights", "cc", "Released under  the MIT  license", "permission hereby granted free of charge to any person obtaining a copy of this fine software", None]
-    docs = spark.createDataFrame(pd.concat([documents[["doc_id", "text"]], pd.DataFrame({"doc_id": range(10**6, 10**6 + len(extra)), "text": extra})]))
-    got = license_scan.scan_licenses(docs).toPandas().set_index("doc_id")
-    for i, t in [*zip(documents["doc_id"], documents["text"], strict=True), *enumerate(extra, 10**6)]:
+def check_base(got, texts):
+    """Base fields of the license scan against plain comparison of words; got: by doc_id."""
+    for i, t in texts:
         w = words_of(t)
         at = sorted((k, label) for phrase, label in license_scan.BASE for p in [phrase.split()] for k in range(len(w)) if w[k : k + len(p)] == p)
         g = got.loc[i]
         assert (g["n_words"], g["n_base"], g["base_labels"]) == (len(w), len(at), ",".join(sorted({x for _, x in at})))
         assert (pd.isna(g["first_word"]) and pd.isna(g["last_word"])) if not at else (g["first_word"], g["last_word"]) == (at[0][0], at[-1][0])
         assert 0 <= g["score"] <= 1 and set(filter(None, g["base_labels"].split(","))) <= set(g["labels"].split(","))
-    assert got.loc[10**6 + 3, "labels"] == "mit" and got.loc[10**6 + 4, "labels"] == "mit"
+
+
+def test_license_scan(spark):
+    mit, apache, gpl = (next(t for t, x in license_scan.TEMPLATES if x == y) for y in ("mit", "apache", "gpl"))
+    w = words_of(mit)
+    cases = {
+        "CC BY; cc-by, Cc. By": "cc-by",
+        "General Public License general public license all rights": "gpl",
+        "cc": "",
+        "Released under  the MIT  license": "mit",
+        "released under the new mit license": "mit",
+        "licensed under cc by cc by": "cc-by",
+        "licensed under cc by-sa 4.0": "cc-by,cc-by-sa",
+        "of the of the of the of the terms of the mozilla": "",
+        "so: " + mit.upper() + " end": "mit",
+        " ".join(w[:20] + ["fine"] + w[20:40] + w[42:]): "mit",
+        " ".join(w[30:] + w[:30]): "",
+        " ".join(w[:30]): "",
+        apache + " ... " + gpl: "apache,gpl",
+        " ".join(w[:10] * 6): "",
+    }
+    texts = list(cases) + [None, "all rights reserved " * 3000]
+    got = license_scan.scan_licenses(frame(spark, texts)).toPandas().set_index("doc_id")
+    check_base(got, enumerate(texts))
+    assert got["labels"].sort_index().tolist() == [*cases.values(), "", "reserved"]
+    at = texts.index("so: " + mit.upper() + " end")
+    assert got["spans"][at] == f"mit:1:{len(w) + 1}" and got["score"][at] == 1
+
+
+def test_license_query(spark, small, documents):
+    got = QUERIES["op5_license_scan"](spark, small).toPandas().set_index("doc_id")
+    assert len(got) == len(documents)
+    check_base(got, zip(documents["doc_id"], documents["text"], strict=True))
 
 
 @settings(max_examples=100, deadline=None)

@@ -71,12 +71,12 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The toxic documents, with the chain's probabilities."""
+    """Every document with its flags and the chain's probabilities."""
     from .toxicity import score, train
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     chain = train(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
-    return score(docs, chain).where("is_toxic").select("doc_id", "p_low_quality", "p_toxic", "is_low_quality", "is_toxic")
+    return score(docs, chain).select("doc_id", "is_toxic", "is_low_quality", "p_toxic", "p_low_quality")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

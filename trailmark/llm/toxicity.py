@@ -5,8 +5,12 @@ model after the first also gets the probabilities of the categories before it.
 models, so that a later model learns from probabilities as good as it will meet.  The decision threshold of each category is the
 one of best F1 over its own out-of-fold probabilities.
 
-Models are fitted on a bounded sample of the labelled rows: about ``sample_rows``, chosen by a hash of doc_id, whole texts.  Their
-features (word buckets) and labels are at most sample_rows lists and are collected; scoring is one narrow pass over all rows.
+Models are fitted on a bounded sample of the labelled documents: ``sample_rows`` doc_ids at most, those of least hash, whole texts.
+Repeated labels of a doc_id count as one (1 wins), and of repeated documents the least text.  Their features (word buckets) and labels
+are at most sample_rows lists and are collected; scoring is one narrow pass over all rows.  Words that the sample says little about
+have no weight: those in fewer than ``least`` of its rows, and those whose log-odds are within ``sure`` standard errors of nothing.
+
+The labels table has one toxicity category, toxic; the query chains quality before it, so the chain there is low_quality -> toxic.
 
 A null or wordless text has no features, and the chain's bias alone scores it.  Null labels count as 0.  If a category has no
 positive or no negative row in the sample, its probability is 0 or 1 throughout.  Repeated rows and null doc_ids give a row each.
@@ -76,9 +80,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(x: Rows, before: np.ndarray, y: np.ndarray, words: int = 2000, least: int = 5, sure: float = 3.0, l2: float = 0.2, steps: int = 150) -> Linear:
-    """Logistic regression by Adam over the ``words`` buckets of largest log-odds z-score that ``least`` rows have; of those whose
-    score is below ``sure``, only the first 20."""
+def fit(x: Rows, before: np.ndarray, y: np.ndarray, least: int = 5, sure: float = 3.0, l2: float = 0.2, steps: int = 150) -> Linear:
+    """Logistic regression by Adam over the buckets that ``least`` rows have and whose log-odds z-score is ``sure`` or more."""
     n, k = len(y), before.shape[1]
     if y.min(initial=1) == y.max(initial=0) or not n:
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(k), 0.0, float(y[0]) if n else 0.0)
@@ -87,10 +90,7 @@ def fit(x: Rows, before: np.ndarray, y: np.ndarray, words: int = 2000, least: in
     all_ = np.bincount(x.buckets, minlength=1 << BITS)
     p, q = (pos + 0.5) / (y.sum() + 1), (all_ - pos + 0.5) / (n - y.sum() + 1)
     z = np.abs(np.log(p / q)) / np.sqrt(1 / (pos + 0.5) + 1 / (all_ - pos + 0.5))
-    z[all_ < least] = 0
-    best = np.argsort(-z, kind="stable")[:words]
-    chosen = np.sort(best[: max(20, int((z[best] >= sure).sum()))])
-    chosen = chosen[z[chosen] > 0]
+    chosen = np.flatnonzero((all_ >= least) & (z >= sure))
     to = np.full(1 << BITS, -1)
     to[chosen] = np.arange(len(chosen))
     keep = to[x.buckets] >= 0
@@ -146,10 +146,14 @@ def fit_chain(x: Rows, labels: np.ndarray, names: list[str], folds: int = 4) ->
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 12_000) -> Chain:
     """categories: names in the chain's order, each with its 0/1 label as an expression over ``labels``."""
     names = list(categories)
-    share = min(1.0, sample_rows / max(1, labels.count()))
-    kept = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)
-    sample = labels.where(kept & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.array(*[F.coalesce(c.cast("int"), F.lit(0)) for c in categories.values()]).alias("y"))
-    rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(sample), "doc_id")  # sample_rows bounds it
+    share = min(1.0, 1.2 * sample_rows / max(1, labels.count()))
+    first = F.xxhash64(F.col("doc_id").cast("string"))
+    kept = F.pmod(first, F.lit(1_000_000)) < int(share * 1_000_000)
+    known = labels.where(kept & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(c.cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories.values())])
+    once = known.groupBy("doc_id").agg(F.array(*[F.max(f"y{i}") for i in range(len(names))]).alias("y"))
+    sample = once.orderBy(F.pmod(first, F.lit(1_000_000)), "doc_id").limit(sample_rows)
+    found = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(sample), "doc_id")  # sample_rows bounds it
+    rows = found.groupBy("doc_id", "y").agg(F.min(F.col("text").cast("string")).alias("text"))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         b, first = features(batch.column("text"))
