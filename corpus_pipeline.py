@@ -20,6 +20,12 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(pick(docs, *COLUMNS).withColumn("doc_row", F.monotonically_increasing_id()), "numbered")
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of numbered docs but those in gone (doc_row).  As gone is written, Spark knows its size, and broadcasts it instead of
+    shuffling texts while it is small (spark.sql.autoBroadcastJoinThreshold); beyond that both sides are shuffled."""
+    return docs.join(written(gone.select("doc_row"), "gone"), "doc_row", "left_anti").select(*COLUMNS)
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: null or letterless texts, and those of no clear language (below 0.5)."""
     docs = pick(docs, *COLUMNS)
@@ -27,19 +33,20 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each class of near-duplicates, one row: that of least doc_id, or any where all are null."""
+    """Keeps, of each class of near-duplicates, one row: that of least doc_id, or any where all are null.  Null texts are no copies."""
     docs = numbered(docs)
     classes = order_minhash.near_duplicates(docs.select(F.col("doc_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("doc_row"), "class_id")
+    placed = written(classes.join(docs.select("doc_row", "doc_id"), "doc_row"), "placed")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_row"))
-    kept = classes.join(docs.select("doc_row", "doc_id"), "doc_row").groupBy("class_id").agg(first.alias("m")).select("m.doc_row")
-    return docs.join(kept, "doc_row", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    kept = placed.groupBy("class_id").agg(first.alias("m")).select(F.col("m.doc_row").alias("doc_row"))
+    return without(docs, placed.join(kept, "doc_row", "left_anti"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     docs = numbered(docs)
-    leaks = tiling.find_leaks(docs.select(F.col("doc_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("doc_row")).distinct()
-    return docs.join(leaks, "doc_row", "left_anti").select(*COLUMNS)
+    leaks = tiling.find_leaks(docs.select(F.col("doc_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(docs, leaks.select(F.col("doc_id").alias("doc_row")).distinct())
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
