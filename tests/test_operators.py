@@ -141,37 +141,51 @@ def write_page(folder, n, rows):
 
 def test_stream_restarts_after_the_last_page(spark, tmp_path):
     folder, out, checkpoint = tmp_path / "pages", f"{tmp_path}/out", f"{tmp_path}/checkpoint"
-    sink = ingest.into_versions(lambda old, page: snapshots.upsert_emails(old if old is not None else ingest.metadata_rows(page).limit(0), ingest.metadata_rows(page)), out)
+    sink = ingest.into_buckets(lambda old, page: snapshots.upsert_emails(old if old is not None else ingest.metadata_rows(page).limit(0), ingest.metadata_rows(page)), out, buckets=4)
 
     def run():
         ingest.run_available(ingest.pages(spark, str(folder)), sink, checkpoint)
-        last = max(int(p.name[2:]) for p in (tmp_path / "out").iterdir())
-        return last, sorted((r["id"], r["subject"]) for r in spark.read.parquet(f"{out}/v={last}").collect())
+        return len(list((tmp_path / "out").glob("batch=*"))), sorted((r["id"], r["subject"]) for r in ingest.current(spark, out).collect())
 
     write_page(folder, 1, [{"id": "a", "subject": "1"}, {"id": "b", "subject": "1"}])
     write_page(folder, 2, [{"id": "b", "subject": "2"}])
     assert run() == (2, [("a", "1"), ("b", "2")])
+    assert len(list((tmp_path / "out" / "batch=1").glob("bucket=*"))) == 1  # only the bucket of b
     write_page(folder, 3, [{"id": "c", "subject": "3"}])
     assert run() == (3, [("a", "1"), ("b", "2"), ("c", "3")])
     assert run()[0] == 3  # nothing new, nothing written
 
 
-def test_replayed_batch_writes_the_same_version(spark, tmp_path):
-    sink = ingest.into_versions(lambda old, new: new if old is None else snapshots.replaced(old, new, ["id"]), str(tmp_path))
-    a, b = (spark.createDataFrame([(1, v), (2, v)], "id int, v string") for v in "ab")
+def test_replayed_batch_writes_the_same_rows(spark, tmp_path):
+    sink = ingest.into_buckets(lambda old, new: new if old is None else snapshots.replaced(old, new, ["id"]), str(tmp_path), buckets=3)
+    a, b = (spark.createDataFrame([(i, v) for i in range(n)], "id int, v string") for v, n in (("a", 9), ("b", 2)))
     sink(a, 0)
     for _ in range(2):
         sink(b, 1)
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/v=2").collect())) == [(1, "b"), (2, "b")]
+    assert sorted(map(tuple, ingest.current(spark, str(tmp_path)).collect())) == [(0, "b"), (1, "b"), *[(i, "a") for i in range(2, 9)]]
 
 
-def test_first_seen_drops_repeats(spark, tmp_path):
-    folder = tmp_path / "pages"
-    write_page(folder, 1, [{"id": "a"}, {"id": "b"}])
-    write_page(folder, 2, [{"id": "a"}])
-    q = ingest.first_seen(ingest.pages(spark, str(folder))).writeStream.format("memory").queryName("seen").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(r["id"] for r in spark.table("seen").collect()) == ["a", "b"]
+def test_old_mail_is_kept_and_repeats_count_once(spark, tmp_path):
+    """A page of history years old comes after newer mail; a message added twice counts as it came first."""
+    out = f"{tmp_path}/out"
+    sink = ingest.into_buckets(lambda old, page: (lambda new: new if old is None else old.unionByName(new))(ingest.first_added(page, old)), out, buckets=2)
+    write_page(tmp_path / "pages", 1, [{"id": "a", "subject": "1", "received_at": "2024-05-01 00:00:00"}, {"id": "a", "subject": "2", "received_at": "2024-06-01 00:00:00"}])
+    write_page(tmp_path / "pages", 2, [{"id": "old", "subject": "3", "received_at": "1999-01-01 00:00:00"}, {"id": "a", "subject": "4", "received_at": "1999-01-01 00:00:00"}])
+    ingest.run_available(ingest.pages(spark, str(tmp_path / "pages")), sink, f"{tmp_path}/c")
+    assert sorted((r["id"], r["subject"]) for r in ingest.current(spark, out).collect()) == [("a", "1"), ("old", "3")]
+
+
+def test_unsound_rows_go_aside_and_expired_offsets_reload(spark, tmp_path):
+    good, bad = f"{tmp_path}/good", f"{tmp_path}/bad"
+    sink = ingest.with_dead_letters(ingest.into_buckets(lambda old, new: new, good, buckets=2), F.col("id") != "", bad)
+    write_page(tmp_path / "pages", 1, [{"id": "a"}, {"id": ""}, {"subject": "none"}])
+    run = lambda c, s=sink: ingest.run_available(ingest.pages(spark, str(tmp_path / "pages")), s, f"{tmp_path}/{c}")
+
+    def expired(batch, batch_id):
+        raise ValueError("the offset is gone")
+
+    ingest.resume_or_reload(lambda: run("c1", expired), lambda: run("c2"))
+    assert [r["id"] for r in ingest.current(spark, good).collect()] == ["a"] and ingest.dead_letters(spark, bad).count() == 2
 
 
 NOW = dt.datetime(2024, 3, 31, 22, 30, tzinfo=dt.UTC)

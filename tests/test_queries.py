@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from trailmark.plans import change_queries, linkage_queries, list_queries, metric_queries, source_queries  # noqa: F401  (they register)
+from trailmark.plans import change_queries, insight_queries, linkage_queries, list_queries, metric_queries, source_queries  # noqa: F401  (they register)
 from trailmark.plans.catalog import ORACLE_SQL, QUERIES
 
 

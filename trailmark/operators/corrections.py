@@ -36,6 +36,15 @@ def merged(apps: DataFrame, pairs: DataFrame) -> DataFrame:
     return apps.join(gone, "id", "left_anti").select(*apps.columns).unionByName(one)
 
 
+def merge_records(pairs: DataFrame, at: str) -> DataFrame:
+    """The correction row of each merge; its after_json is the tombstone that keeps the source from coming back."""
+    gone = F.to_json(F.struct(F.col("source").alias("deleted_source_application_id")))
+    return pairs.where("target <> source").select(
+        F.concat(F.lit("merge-"), F.substring(F.sha2(F.concat_ws("\0", "target", "source"), 256), 1, 16)).alias("id"), F.col("target").alias("application_id"), F.lit("merge").alias("correction_type"),
+        F.to_json(F.struct(F.col("source").alias("source_application_id"), F.col("target").alias("target_application_id"))).alias("before_json"), gone.alias("after_json"), F.lit(at).cast("timestamp_ntz").alias("created_at"),
+    )
+
+
 def moved_events(events: DataFrame, pairs: DataFrame) -> DataFrame:
     """Events of merged sources now belong to their targets."""
     to = pairs.select(F.col("source").alias("application_id"), "target")
@@ -77,6 +86,35 @@ def reset_locks(apps: DataFrame, statuses: DataFrame, events: DataFrame, ids: Da
     return wide.withColumns({c: F.when(on, v).otherwise(F.col(c)) for c, v in new.items()}).select(*apps.columns)
 
 
+def edited_statuses(apps: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(next applications, id and outcome of each edit): edited and locked, no_change, or not_found.  edits: id, status."""
+    e = edits.dropDuplicates(["id"]).select("id", F.col("status").alias("wanted"))
+    judged = e.join(apps.select("id", "current_status"), "id", "left").select("id", "wanted", F.when(F.col("current_status").isNull(), "not_found").when(F.col("current_status") == F.col("wanted"), "no_change").otherwise("edited").alias("outcome"))
+    wide = apps.join(judged.where("outcome = 'edited'").select("id", "wanted"), "id", "left")
+    on = F.col("wanted").isNotNull()
+    return wide.withColumns({"current_status": F.coalesce("wanted", "current_status"), "manual_lock": F.col("manual_lock") | on}).select(*apps.columns), judged.select("id", "outcome")
+
+
+def renamed_events(events: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edited events whose identity (type or time) changes get the id of that identity.
+
+    Returns (next events, id, new_id and outcome of each edit): edited, no_change, not_found, or duplicate where that id is taken."""
+    from trailmark.operators.linkage import event_id
+
+    changed = edited_events(events, edits).join(edits.select("id"), "id", "left_semi")
+    e = changed.select("id", "application_id", "email_id", F.col("event_type").alias("event"), F.col("event_at").alias("at"))
+    ids = e.select("id", event_id().alias("named"))
+    now = events.select("id", F.struct("event_type", "event_at").alias("was")).join(changed.select("id", F.struct("event_type", "event_at").alias("is")), "id").select("id", (F.col("was") != F.col("is")).alias("differs"))
+    taken = events.select(F.col("id").alias("named"), F.lit(True).alias("taken"))
+    judged = edits.select("id").distinct().join(now, "id", "left").join(ids, "id", "left").join(taken, "named", "left")
+    other = F.col("named") != F.col("id")
+    outcome = F.when(F.col("differs").isNull(), "not_found").when(~F.col("differs"), "no_change").when(F.col("taken") & other, "duplicate").otherwise("edited")
+    judged = judged.select("id", F.when(outcome == "edited", F.col("named")).alias("new_id"), outcome.alias("outcome"))
+    good = edits.join(judged.where("outcome = 'edited'").select("id"), "id", "left_semi")
+    renamed = edited_events(events, good).join(judged.where("outcome = 'edited'").select("id", "new_id"), "id", "left")
+    return renamed.withColumn("id", F.coalesce("new_id", "id")).select(*events.columns), judged
+
+
 def edited_events(events: DataFrame, edits: DataFrame) -> DataFrame:
     """edits: id, event_type, event_at (null: unchanged).  A new type clears extracted_status; edits that change nothing are left out."""
     e = edits.select("id", F.col("event_type").alias("new_type"), F.col("event_at").alias("new_at"))

@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark import schema
-from trailmark.operators.metrics import breakdown, count_if
+from trailmark.operators.metrics import broken_down, count_if, narrow
 
 
 def segments(f: DataFrame, profiles: DataFrame, tech: DataFrame, dimensions: tuple[str, ...] = schema.DIAGNOSTIC_DIMENSIONS) -> DataFrame:
     """All dimensions and values with rates and their lift over the baseline."""
+    f = narrow(f)
     base = f.agg(
         F.count("*").alias("n"),
         count_if(F.col("has_response")).alias("response"),
         count_if(F.col("has_success")).alias("success"),
         count_if(F.col("current_status").isin(*schema.NEGATIVE_STATUSES)).alias("negative"),
     ).select(*[F.try_divide(c, "n").alias(f"base_{c}_rate") for c in ("response", "success", "negative")])
-    own = breakdown(f, profiles, tech, dimensions).withColumns({f"{k}_rate": F.col(f"{k}_count") / F.col("application_count") for k in ("success", "negative")})
+    own = broken_down(f, profiles, tech, dimensions).withColumns({f"{k}_rate": F.col(f"{k}_count") / F.col("application_count") for k in ("success", "negative")})
     wide = own.join(F.broadcast(base))  # the baseline is one row
     return wide.withColumns({f"{k}_rate_lift": F.col(f"{k}_rate") - F.col(f"base_{k}_rate") for k in ("response", "success", "negative")}).drop(*[f"base_{k}_rate" for k in ("response", "success", "negative")])
 

@@ -7,13 +7,14 @@ order of a thread's or a key's mails: those run for each thread or key in ``appl
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from trailmark import schema
-from trailmark.functions.text import company_key, normalized_company, normalized_role, ordinal_bucket, role_key, uuid5_hex
+from trailmark.functions.text import normalized_company, normalized_role, ordinal_bucket, uuid5_hex
 
 # Namespaces of deterministic ids.
 APPLICATION_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
@@ -23,6 +24,8 @@ EVENT_OF_STATUS = {"applied": "applied", "in_review": "response", "assessment":
 TERMINAL, HARD_TERMINAL = ("offer", "rejected", "ghosted", "withdrawn"), ("offer", "rejected", "withdrawn")
 ACTIVE_EVENTS = ("assessment", "interview_scheduled", "offer")
 GROUP = ("company_key", "role_key", "thread", "bucket")
+#: Fields of an application that the first mail which tells them decides.
+FIRST_KNOWN = ("currency", "location", "work_mode", "seniority")
 
 
 def _mapped(c: Column, pairs: dict[str, str]) -> Column:
@@ -60,26 +63,41 @@ def inherit_identity(x: DataFrame, known: DataFrame) -> DataFrame:
 
     def fill(key, mails: pd.DataFrame, apps: pd.DataFrame) -> pd.DataFrame:
         mails = mails.sort_values("seq", kind="stable").reset_index(drop=True)
-        own = list(zip(mails["company"], mails["role_title"], mails["at"], strict=True))
-        ids = [(c, r, a) for c, r, a in zip(apps["company"], apps["role_title"], apps["at"], strict=True) if c and r]
-        for i, (c, r, at) in enumerate(own):
+        found: dict[tuple, list] = {}  # the identities that fit, by what is known, in order of time, later ones of a tie first
+
+        def add(order: int, c, r, ck, rk, at) -> None:
+            for known in (("any",), ("company", ck), ("role", rk)):
+                insort(found.setdefault(known, []), (at, -order, c, r, ck, rk), key=lambda o: o[:2])
+
+        def pick(known: tuple, at):
+            fits = found.get(known, [])
+            i = bisect_right(fits, at, key=lambda o: o[0])
+            return fits[i - 1] if i else fits[bisect_right(fits, fits[0][0], key=lambda o: o[0]) - 1] if fits else None
+
+        n = len(apps)
+        for i, o in enumerate(apps.itertuples()):
+            if o.company and o.role_title:
+                add(i, o.company, o.role_title, o.ck, o.rk, o.at)
+        own = list(zip(mails["company"], mails["role_title"], mails["ck"], mails["rk"], mails["at"], strict=True))
+        for i, (c, r, ck, rk, at) in enumerate(own):
+            if c is not None and r is not None:
+                add(n + i, c, r, ck, rk, at)
+        company, role = list(mails["company"]), list(mails["role_title"])
+        for i, (c, r, ck, rk, at) in enumerate(own):
             if c is not None and r is not None:
                 continue
-            fits = [
-                o
-                for o in ids + [o for k, o in enumerate(own) if k != i and o[0] is not None and o[1] is not None]
-                if (c is None or company_key(o[0]) == company_key(c)) and (r is None or role_key(o[1]) == role_key(r))
-            ]
-            before = [o for o in fits if o[2] <= at]
-            if fits:
-                best = max(before, key=lambda o: o[2]) if before else min(fits, key=lambda o: o[2])
-                own[i] = (c or best[0], r or best[1], at)
-        mails["company"], mails["role_title"] = [o[0] for o in own], [o[1] for o in own]
+            best = pick(("company", ck) if c is not None else ("role", rk) if r is not None else ("any",), at)
+            if best is not None:
+                company[i], role[i] = c or best[2], r or best[3]
+                add(n + i, company[i], role[i], ck if c is not None else best[4], rk if r is not None else best[5], at)
+        mails["company"], mails["role_title"] = company, role
         return mails
 
-    todo = x.join(threads, "thread_id", "left_semi").select(*x.columns)
-    filled = todo.groupBy("thread_id").cogroup(known.select("thread_id", "company", "role_title", "at").join(threads, "thread_id", "left_semi").groupBy("thread_id")).applyInPandas(fill, x.schema)
-    return rest.unionByName(filled)
+    with_keys = lambda df: df.withColumns({"ck": normalized_company("company"), "rk": normalized_role("role_title")})
+    todo = with_keys(x.join(threads, "thread_id", "left_semi").select(*x.columns))
+    apps = with_keys(known.select("thread_id", "company", "role_title", "at").join(threads, "thread_id", "left_semi"))
+    filled = todo.groupBy("thread_id").cogroup(apps.groupBy("thread_id")).applyInPandas(fill, todo.schema)
+    return rest.unionByName(filled.select(*x.columns))
 
 
 def keyed(x: DataFrame) -> DataFrame:
@@ -150,14 +168,16 @@ def _json(fields: list[tuple[str, Column]]) -> Column:
 
 def quoted(c: Column) -> Column:
     """A JSON string, non-ASCII characters escaped; surrogate pairs for characters beyond U+FFFF."""
+    units = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(....)", "\\\\u$1")
 
-    @F.pandas_udf(StringType())
-    def dumps(s: pd.Series) -> pd.Series:
-        import json
-
-        return s.map(json.dumps, na_action="ignore")
+    def escaped(ch: Column) -> Column:
+        out = F.when(ch.rlike(r"^[ !#-\[\]-~]$"), ch).when(ch == '"', F.lit('\\"')).when(ch == "\\", F.lit("\\\\"))
+        for sign, letter in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
+            out = out.when(ch == sign, F.lit("\\" + letter))
+        return out.otherwise(units(ch))
 
-    return dumps(c)
+    plain = c.rlike(r"^[ !#-\[\]-~]*$")
+    return F.concat(F.lit('"'), F.when(plain, c).otherwise(F.array_join(F.transform(F.split(c, ""), escaped), "")), F.lit('"'))
 
 
 def application_id() -> Column:
@@ -181,12 +201,13 @@ def roll_up(x: DataFrame, by: tuple[str, ...] = (*GROUP, "attempt_started_at"))
     The display name comes from the first mail with a company, or failing that a role, that improves on the ones before it.
     """
     first = lambda c, skip=None: F.min_by(c, F.when(F.col(c).isNotNull() & (F.lit(True) if skip is None else F.col(c) != skip), F.col("seq"))).alias(c)
+    plain = [first(c) for c in FIRST_KNOWN if c in x.columns]
     one = F.struct("seq", "company", "role_title")
     step = F.struct("at", F.coalesce("sent_at", "at").alias("sent"), "classified_at", "seq", F.col("event").alias("event"), F.col("status").alias("status"))
     skills = F.struct("seq", "tech_stack")
     g = x.groupBy(*by).agg(
         F.min("at").alias("first_seen_at"), F.max("at").alias("last_activity_at"), F.min("salary_min").alias("salary_min"), F.max("salary_max").alias("salary_max"),
-        first("currency"), first("work_mode"), F.coalesce(first("sponsorship", "unknown"), F.lit("unknown")).alias("sponsorship"), F.coalesce(first("source", "other"), F.lit("other")).alias("source"),
+        *plain, F.coalesce(first("sponsorship", "unknown"), F.lit("unknown")).alias("sponsorship"), F.coalesce(first("source", "other"), F.lit("other")).alias("source"),
         F.array_sort(F.collect_list(one)).alias("names"), F.array_sort(F.collect_list(step)).alias("steps"), F.array_sort(F.collect_list(skills)).alias("skills"), F.count("*").alias("mails"),
     )
 
@@ -205,14 +226,19 @@ def roll_up(x: DataFrame, by: tuple[str, ...] = (*GROUP, "attempt_started_at"))
     return named.withColumn("company", F.coalesce("best.company", F.lit(""))).withColumn("role_title", F.coalesce("best.role_title", F.lit(""))).drop("best", "names", "steps", "skills")
 
 
-def link(x: DataFrame, emails: DataFrame | None = None, known: DataFrame | None = None, known_threads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The whole linkage: (applications, events)."""
+def proposals(x: DataFrame, known: DataFrame | None = None, known_threads: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """The mails that count, each with its application's and its event's id."""
     spark = x.sparkSession
     known = known if known is not None else spark.createDataFrame([], "thread_id string, company string, role_title string, at timestamp_ntz")
     known_threads = known_threads if known_threads is not None else known.select("thread_id").distinct()
     kept = inherit_identity(resolved(anchored(evidence(x), known_threads)), known)
-    split = attempts(keyed(kept)).withColumn("application_id", application_id())
-    return roll_up(split, ("application_id",)), split.withColumn("event_id", event_id())
+    return attempts(keyed(kept), existing).withColumn("application_id", application_id()).withColumn("event_id", event_id())
+
+
+def link(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole linkage of a first batch: (applications, events)."""
+    split = proposals(x)
+    return roll_up(split.drop("event_id"), ("application_id",)), split
 
 
 def ghost_candidates(apps: DataFrame, events: DataFrame, not_submitted: DataFrame, cutoff: str) -> DataFrame:

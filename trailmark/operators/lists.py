@@ -48,7 +48,8 @@ def recent_events(events: DataFrame, apps: DataFrame, limit: int = schema.LIST_L
     """The newest events with their application: the top-k is taken before the join."""
     top = events.orderBy(F.desc("event_at"), F.desc("id")).limit(bounded(limit))
     a = apps.select(F.col("id").alias("application_id"), "company", "role_title")
-    return a.join(F.broadcast(top.select("id", "application_id", "event_type", "event_at")), "application_id")  # LIST_MAXIMUM rows are broadcast
+    named = a.join(F.broadcast(top.select("id", "application_id", "event_type", "event_at")), "application_id")  # LIST_MAXIMUM rows are broadcast
+    return named.orderBy(F.desc("event_at"), F.desc("id"))
 
 
 def timeline(events: DataFrame, emails: DataFrame, classes: DataFrame, application_id: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmark import schema
 from trailmark.functions.dimensions import scalar_dimensions
+from trailmark.sources.shared import cut
 
 
 def rows(one: DataFrame, name: str, value: str, columns: list[str]) -> DataFrame:
@@ -135,8 +136,18 @@ def dimension_rows(f: DataFrame, profiles: DataFrame, tech: DataFrame, dimension
     return out
 
 
+def narrow(f: DataFrame) -> DataFrame:
+    """What dimensions need of the feature table, written once: scalar dimensions, skills and a baseline all read it."""
+    columns = ["id", "company", "role_title", "source", "salary_min", "salary_max", "sponsorship", "seniority", "work_mode", "has_response", "has_interview", "has_offer", "has_success", "current_status"]
+    return cut(f.select(*columns), "features")
+
+
 def breakdown(f: DataFrame, profiles: DataFrame, tech: DataFrame, dimensions: tuple[str, ...] = schema.DIMENSIONS) -> DataFrame:
     """Counts, rates, successes and negative outcomes by dimension and value."""
+    return broken_down(narrow(f) if len(dimensions) > 1 and "tech" in dimensions else f, profiles, tech, dimensions)
+
+
+def broken_down(f: DataFrame, profiles: DataFrame, tech: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
     by = dimension_rows(f, profiles, tech, dimensions).groupBy("dimension", "value").agg(
         F.count("*").alias("application_count"),
         count_if(F.col("has_response")).alias("response_count"),
@@ -157,12 +168,14 @@ def busiest_months(f: DataFrame, zone: str = "UTC") -> DataFrame:
 
 
 def companies(f: DataFrame, limit: int = schema.LIST_LIMIT) -> DataFrame:
-    """The first companies by normalised name: applications, and roles distinct but for case, in order, first spelling shown."""
-    keyed = f.select(F.lower(F.trim("company")).alias("company"), F.trim("role_title").alias("role")).where("company <> ''")
+    """The first companies by normalised name: applications, their ids by role, and roles distinct but for case, first spelling shown."""
+    keyed = f.select(F.lower(F.trim("company")).alias("company"), F.trim("role_title").alias("role"), "id").where("company <> ''")
     first = keyed.select("company").distinct().orderBy("company").limit(min(limit, schema.LIST_MAXIMUM))
-    by_role = keyed.join(F.broadcast(first), "company").groupBy("company", F.lower("role").alias("r")).agg(F.min("role").alias("role"), F.count("*").alias("n"))  # LIST_MAXIMUM rows are broadcast
+    some = keyed.join(F.broadcast(first), "company")  # LIST_MAXIMUM rows are broadcast
+    by_role = some.groupBy("company", F.lower("role").alias("r")).agg(F.min("role").alias("role"), F.collect_list(F.struct(F.lower("role").alias("r"), "role", "id")).alias("apps"))
     roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "role"))), lambda x: x["role"]), "|")
-    return by_role.groupBy("company").agg(F.sum("n").alias("application_count"), roles.alias("role_titles"))
+    ids = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("apps"))), lambda x: x["id"]), "|")
+    return by_role.groupBy("company").agg(F.sum(F.size("apps")).alias("application_count"), roles.alias("role_titles"), ids.alias("application_ids")).orderBy("company")
 
 
 def status_counts(apps: DataFrame) -> DataFrame:
@@ -186,15 +199,6 @@ def rejected_skills(apps: DataFrame, tech: DataFrame) -> DataFrame:
     return apps.where("current_status = 'rejected'").select("id").join(skill, "id").groupBy("skill").agg(F.count("*").alias("applications"))
 
 
-def role_outcomes(f: DataFrame) -> DataFrame:
-    """By trimmed role: applications, wins, losses, and counts by status as a map."""
-    role = F.trim("role_title").alias("role")
-    by = f.groupBy(role, "current_status").agg(F.count("*").alias("n"), count_if(F.col("has_success")).alias("won"))
-    won, lost = F.sum("won").alias("wins"), F.sum(F.when(F.col("current_status").isin(*schema.NEGATIVE_STATUSES), F.col("n")).otherwise(0)).alias("losses")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("current_status", "n"))), lambda s: F.concat_ws("=", s["current_status"], s["n"])), ",")
-    return by.groupBy("role").agg(F.sum("n").alias("applications"), won, lost, text.alias("statuses"))
-
-
 def calendar_windows(clock: str) -> dict[str, tuple[str, str]]:
     """The week (from Monday), month and year around the clock, half-open."""
     at = dt.datetime.fromisoformat(clock).replace(hour=0, minute=0, second=0)

@@ -73,7 +73,7 @@ def upsert_applications(old: DataFrame, batch: DataFrame, tombstones: DataFrame)
     wide = _both(old, new, "id")
     locked = F.coalesce(F.col("o.manual_lock"), F.lit(False))
     same = F.lit(True)
-    for c in SUMMARY:
+    for c in (c for c in SUMMARY if c in old.columns):
         same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
     outcome = F.when(F.col("n.merged"), "merged_source").when(locked & same, "locked_unchanged").when(locked, "manual_conflict").otherwise("upserted")
     marked = wide.withColumn("outcome", F.when(F.col("n").isNotNull(), outcome))
@@ -112,6 +112,70 @@ def reassigned(events: DataFrame, source: str, target: str, ids: list[str] | Non
     return events.withColumn("application_id", F.when(moves, F.lit(target)).otherwise(F.col("application_id")))
 
 
+def moved(events: DataFrame, moves: DataFrame) -> DataFrame:
+    """Events go where a table of moves says: source, target, and event_id, null for all events of the source."""
+    some = moves.where("event_id IS NOT NULL").select(F.col("source").alias("application_id"), F.col("event_id").alias("id"), F.col("target").alias("to_one"))
+    all_ = moves.where("event_id IS NULL").select(F.col("source").alias("application_id"), F.col("target").alias("to_all"))
+    wide = events.join(some, ["application_id", "id"], "left").join(all_, "application_id", "left")
+    return wide.withColumn("application_id", F.coalesce("to_one", "to_all", "application_id")).select(*events.columns)
+
+
+def updated_events(events: DataFrame, updates: DataFrame) -> DataFrame:
+    """Updates: id, new_id (null: unchanged), event_type, event_at, extracted_status; rows of unknown ids change nothing."""
+    u = updates.select("id", F.struct("new_id", "event_type", "event_at", "extracted_status").alias("u"))
+    wide = events.join(u, "id", "left")
+    at = lambda c: F.when(F.col("u").isNotNull(), F.col(f"u.{c}")).otherwise(F.col(c)).alias(c)
+    return wide.select(*[F.coalesce("u.new_id", "id").alias("id") if c == "id" else at(c) if c in ("event_type", "event_at", "extracted_status") else F.col(c) for c in events.columns])
+
+
+def delete_events(events: DataFrame, wanted: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(next table, outcome of each wanted application_id and id): deleted, not_found, or manual_conflict for edited events."""
+    guard = protected_events(corrections)
+    by_id = guard.select(F.col("event_id").alias("id"), F.lit(True).alias("edited")).where("id IS NOT NULL").distinct()
+    by_mail = guard.select("email_id", F.lit(True).alias("mail_edited")).where("email_id IS NOT NULL").distinct()
+    own = events.select("application_id", "id", "email_id", F.lit(True).alias("there"))
+    judged = wanted.select("application_id", "id").distinct().join(own, ["application_id", "id"], "left").join(by_id, "id", "left").join(by_mail, "email_id", "left")
+    outcome = F.when(F.col("there").isNull(), "not_found").when(F.coalesce("edited", "mail_edited", F.lit(False)), "manual_conflict").otherwise("deleted")
+    judged = judged.select("application_id", "id", outcome.alias("outcome"))
+    return removed(events, judged.where("outcome = 'deleted'").select("id"), "id"), judged
+
+
+def delete_ghosts(events: DataFrame, ids: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(next table, application_id and outcome): an application loses its ghosts unless one of them was edited by hand."""
+    guard = protected_events(corrections).select(F.col("event_id").alias("id"), F.lit(True).alias("edited")).where("id IS NOT NULL").distinct()
+    ghosts = events.where("event_type = 'ghost_inferred'").select("application_id", "id").join(guard, "id", "left")
+    by_app = ghosts.groupBy("application_id").agg(F.max(F.coalesce("edited", F.lit(False))).alias("edited"))
+    wanted = ids.select(F.col(ids.columns[0]).alias("application_id")).distinct().join(by_app, "application_id", "left")
+    judged = wanted.select("application_id", F.when(F.col("edited").isNull(), "not_found").when(F.col("edited"), "manual_conflict").otherwise("deleted").alias("outcome"))
+    gone = judged.where("outcome = 'deleted'").select("application_id", F.lit("ghost_inferred").alias("event_type"))
+    return events.join(gone, ["application_id", "event_type"], "left_anti").select(*events.columns), judged
+
+
+def appended(log: DataFrame, new: DataFrame) -> DataFrame:
+    """An audit log or chat grows; an id that is there already isn't taken again."""
+    return first_wins(log, new, ["id"])
+
+
+def reassigned_corrections(corrections: DataFrame, moves: DataFrame) -> DataFrame:
+    """Corrections of merged applications now belong to their targets; moves: source, target."""
+    to = moves.select(F.col("source").alias("application_id"), "target")
+    return corrections.join(to, "application_id", "left").withColumn("application_id", F.coalesce("target", "application_id")).select(*corrections.columns)
+
+
+def completed_turn(chat: DataFrame, turns: DataFrame) -> DataFrame:
+    """Answers that are there already for (conversation_id, turn): the assistant's message after that user turn."""
+    answers = chat.where("role = 'assistant'").select("conversation_id", (F.col("turn") - 1).alias("turn"), F.col("content").alias("answer"))
+    return turns.select("conversation_id", "turn").join(answers, ["conversation_id", "turn"])
+
+
+def upsert_states(old: DataFrame, batch: DataFrame) -> DataFrame:
+    """Run records, cursors and progress by key; counters never go back, a cursor that is null leaves the known one."""
+    new = last_of(batch, ["id"])
+    kept = {"cursor": F.coalesce("n.cursor", "o.cursor"), "pages": F.greatest("o.pages", "n.pages"), "messages": F.greatest("o.messages", "n.messages"), "started_at": F.coalesce("o.started_at", "n.started_at")}
+    pick = [F.when(F.col("n").isNull(), F.col(f"o.{c}")).otherwise(kept.get(c, F.col(f"n.{c}"))).alias(c) for c in old.columns]
+    return _both(old, new, "id").select(*pick)
+
+
 def mark_stale(insights: DataFrame, current_hash: str) -> DataFrame:
     """Every insight of another input is stale."""
     return insights.withColumn("is_stale", F.col("is_stale") | (F.col("inputs_hash") != current_hash))

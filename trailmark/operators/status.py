@@ -1,4 +1,5 @@
-"""Counts about the pipeline itself: stages, candidates, reprocessing, reconciliation, costs, evaluation."""
+"""The pipeline itself: stages, what to do next, candidates, estimates, reprocessing, reconciliation, costs, evaluation
+(A31-A35, A38-A39, F26, F28-F29, X05-X07, X30, X36)."""
 
 from __future__ import annotations
 
@@ -110,3 +111,75 @@ def confusion(judged: DataFrame) -> DataFrame:
     one = judged.agg(count_if(e & p).alias("tp"), count_if(~e & p).alias("fp"), count_if(e & ~p).alias("fn"), count_if(~e & ~p).alias("tn"))
     rated = one.withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide("tp", F.col("tp") + F.col("fn")))
     return rated.withColumn("passed", F.coalesce((F.col("precision") >= 0.9) & (F.col("recall") >= 0.85), F.lit(False)))
+
+
+def pending_bodies(emails: DataFrame, decisions: DataFrame, provider: str) -> DataFrame:
+    """Candidates whose body wasn't fetched yet, by id."""
+    wanted = decisions.where("outcome = 'candidate'").select("id")
+    return emails.where((F.col("provider") == provider) & (F.col("body_retention_state") == "metadata_only")).join(wanted, "id", "left_semi").select("id", "thread_id").orderBy("id")
+
+
+def newest_state(states: DataFrame) -> DataFrame:
+    """The state row of each provider that was updated last."""
+    best = F.max_by(F.struct(*states.columns), F.struct("updated_at", "id")).alias("s")
+    return states.groupBy(F.col("provider").alias("_p")).agg(best).select("s.*")
+
+
+def next_action(state: DataFrame) -> DataFrame:
+    """Adds next_action and next_reason, decided in this order.
+
+    state: connected, reauth_required, sync_running, sync_failed, backfill_state, raw_emails, retained_bodies, unclassified, applications, last_error.
+    """
+    rules = [
+        (F.col("reauth_required"), "connect_mail", F.lit("authorization must be renewed")),
+        (~F.col("connected"), "connect_mail", F.lit("no account is connected")),
+        (F.col("sync_running"), "wait_for_sync", F.lit("a sync is running")),
+        (F.col("sync_failed") | F.col("backfill_state").eqNullSafe("failed"), "inspect_error", F.concat(F.lit("the last sync failed"), F.coalesce(F.concat(F.lit(": "), "last_error"), F.lit("")))),
+        (F.col("raw_emails") == 0, "run_sync", F.lit("no mail is stored")),
+        (~F.col("backfill_state").eqNullSafe("completed"), "continue_backfill", F.lit("the backfill has not finished")),
+        (F.col("unclassified") > 0, "run_classification", F.concat(F.col("unclassified").cast("string"), F.lit(" candidates wait to be classified"))),
+        ((F.col("applications") == 0) & (F.col("retained_bodies") == 0), "review_dashboard", F.lit("the filter kept no candidates")),
+        (F.col("applications") == 0, "review_dashboard", F.lit("no candidate is an application")),
+    ]
+    action, reason = F.lit("review_dashboard"), F.lit("up to date")
+    for when, a, r in reversed(rules):
+        on = F.coalesce(when, F.lit(False))
+        action, reason = F.when(on, F.lit(a)).otherwise(action), F.when(on, r).otherwise(reason)
+    return state.withColumns({"next_action": action, "next_reason": reason})
+
+
+def prompt_estimate(stats: DataFrame, chars_per_unit: int = 4, overhead: int = 300, completion: int = 500, input_rate: float | None = None, output_rate: float | None = None) -> DataFrame:
+    """Tokens and cost before a run (F29), from candidate_stats; without rates the cost is null."""
+    prompt = F.ceil(F.col("characters") / chars_per_unit) + F.col("candidates") * overhead
+    done = F.col("candidates") * completion
+    cost = F.lit(None).cast("decimal(18,6)") if input_rate is None or output_rate is None else ((prompt * input_rate + done * output_rate) / 1000).cast("decimal(18,6)")
+    return stats.select("candidates", prompt.cast("long").alias("prompt_tokens"), done.cast("long").alias("completion_tokens"), (prompt + done).cast("long").alias("total_tokens"), cost.alias("cost_usd"))
+
+
+def sync_progress(runs: DataFrame) -> DataFrame:
+    """Adds progress (0 to 1) and remaining (null without a limit, 1 at least) to runs with processed, target, finished, max_messages."""
+    progress = F.when(F.col("target").isNull(), F.col("finished").cast("double")).when(F.col("target") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("processed") / F.col("target")))
+    return runs.withColumns({"progress": progress, "remaining": F.greatest(F.lit(1), F.col("max_messages") - F.col("processed"))})
+
+
+def readable(emails: DataFrame) -> DataFrame:
+    """Mails as a reader sees them: the body only where it is retained, else what must be fetched."""
+    kept = F.col("body_retention_state").isin("retained", "debugging") & F.col("body_text").isNotNull()
+    return emails.select("id", "subject", "from_addr", "sent_at", F.when(kept, F.col("body_text")).alias("body_text"), (~F.coalesce(kept, F.lit(False))).alias("must_fetch"))
+
+
+def shown(apps: DataFrame) -> DataFrame:
+    """Names that stand in for blank ones (P20)."""
+    or_else = lambda c, text: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", text).otherwise(F.col(c))
+    return apps.withColumns({"company": or_else("company", "Unknown company"), "role_title": or_else("role_title", "Role not available")})
+
+
+def table_or_none(spark, name: str, columns: str) -> DataFrame:
+    """A catalogue table, or none of its rows where it isn't there."""
+    return spark.table(name) if spark.catalog.tableExists(name) else spark.createDataFrame([], columns)
+
+
+def normalized_terms(terms: DataFrame) -> DataFrame:
+    """term of filter terms, trimmed, lower-cased, without blanks and leading signs, once each."""
+    plain = F.lower(F.trim(F.regexp_replace(F.trim("term"), r"^[@.]+|[.]+$", "")))
+    return terms.select(plain.alias("term")).where("term <> ''").distinct()

@@ -10,6 +10,8 @@ from trailmark.sources.testdata import JobSearch, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The SQL as given, with the views that it adds: for queries whose rows are made of others'.
+RAW_SQL: dict[str, tuple[str, dict[str, str]]] = {}
 
 
 def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None) -> Callable:
@@ -21,6 +23,7 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
         QUERIES[name] = lambda spark, sf_dir: f(JobSearch(spark, sf_dir))
         if sql is not None:
             ORACLE_SQL[name] = oracle(sql, extra)
+            RAW_SQL[name] = (sql, extra or {})
         return f
 
     return register

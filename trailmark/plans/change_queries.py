@@ -96,7 +96,79 @@ query(
 query("k08_k13_cascade", "SELECT id, application_id FROM <application_events> WHERE application_id NOT IN (SELECT id FROM <applications> WHERE current_status = 'withdrawn')")(
     lambda j: snapshots.removed(j.events, j.apps.where("current_status = 'withdrawn'").select("id"), "application_id").select("id", "application_id")
 )
-query("k10_k11_reassigned", "SELECT id, CASE WHEN application_id = '1' THEN '2' ELSE application_id END AS application_id FROM <application_events>")(lambda j: snapshots.reassigned(j.events, "1", "2").select("id", "application_id"))
+_MOVES = {
+    "moves": """SELECT id AS source, CAST(CAST(id AS BIGINT) + 1 AS STRING) AS target, CAST(NULL AS STRING) AS event_id FROM <applications> WHERE CAST(id AS BIGINT) % 20 = 1
+        UNION ALL SELECT application_id, '2', id FROM <application_events> WHERE CAST(application_id AS BIGINT) % 20 = 4 AND event_type = 'offer'""",
+    "updates": "SELECT id, 'new-' || id AS new_id, 'offer' AS event_type, event_at + INTERVAL '1' DAY AS event_at, CAST(NULL AS STRING) AS extracted_status FROM <application_events> WHERE right(id, 1) = '3' UNION ALL SELECT 'none', NULL, 'offer', CAST('1998-01-01' AS {TS}), NULL",
+    "wanted_events": "SELECT DISTINCT application_id, id FROM <application_events> WHERE event_type = 'feedback' UNION ALL SELECT 'x', 'y'",
+    "edited_ids": "SELECT DISTINCT id AS event_id, email_id FROM <application_events> WHERE right(id, 1) = '5'",
+    "log": "SELECT CAST(doc_id AS STRING) AS id, CAST(doc_id % 50 AS STRING) AS application_id, quality FROM <labels> WHERE doc_id % 3 <> 0",
+    "log_new": "SELECT CAST(doc_id AS STRING) AS id, CAST(doc_id % 50 AS STRING) AS application_id, 7 AS quality FROM <labels> WHERE doc_id % 2 = 0",
+    "log_moves": "SELECT DISTINCT CAST(doc_id % 50 AS STRING) AS source, 'm' AS target FROM <labels> WHERE doc_id % 10 = 3",
+    "runs": "SELECT DISTINCT CAST(event_id % 40 AS STRING) AS id, 'p' AS provider, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'c' || CAST(event_id % 40 AS STRING) END AS cursor, event_id % 40 AS pages, 10 AS messages, CAST('1998-01-01' AS {TS}) AS started_at, CAST('1998-01-02' AS {TS}) AS updated_at FROM <events> WHERE event_id % 40 < 30",
+    "runs_new": "SELECT DISTINCT CAST(event_id % 40 AS STRING) AS id, 'p' AS provider, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'n' END AS cursor, 20 AS pages, 5 AS messages, CAST('1999-01-01' AS {TS}) AS started_at, CAST('1999-01-02' AS {TS}) AS updated_at FROM <events> WHERE event_id % 40 >= 10",
+}
+
+
+def _guard(j: JobSearch):
+    return j.view("edited_ids", _MOVES).select(F.lit("event_edit").alias("correction_type"), F.to_json(F.struct(F.struct(F.col("event_id").alias("id")).alias("event"))).alias("before_json"))
+
+
+query(
+    "k10_moved_events",
+    "SELECT e.id, coalesce(o.target, a.target, e.application_id) AS application_id FROM <application_events> e LEFT JOIN <moves> o ON o.event_id = e.id AND o.source = e.application_id LEFT JOIN <moves> a ON a.event_id IS NULL AND a.source = e.application_id",
+    _MOVES,
+)(lambda j: snapshots.moved(j.events, j.view("moves", _MOVES)).select("id", "application_id"))
+query(
+    "k11_updated_events",
+    "SELECT coalesce(u.new_id, e.id) AS id, coalesce(u.event_type, e.event_type) AS event_type, coalesce(u.event_at, e.event_at) AS event_at, CASE WHEN u.id IS NULL THEN e.extracted_status END AS extracted_status FROM <application_events> e LEFT JOIN <updates> u ON u.id = e.id",
+    _MOVES,
+)(lambda j: snapshots.updated_events(j.events, j.view("updates", _MOVES)).select("id", "event_type", "event_at", "extracted_status"))
+query(
+    "k08_delete_outcomes",
+    """SELECT w.application_id, w.id, CASE WHEN e.id IS NULL THEN 'not_found' WHEN w.id IN (SELECT event_id FROM <edited_ids>) THEN 'manual_conflict' ELSE 'deleted' END AS outcome
+       FROM <wanted_events> w LEFT JOIN (SELECT DISTINCT application_id, id FROM <application_events>) e ON e.id = w.id AND e.application_id = w.application_id""",
+    _MOVES,
+)(lambda j: snapshots.delete_events(j.events, j.view("wanted_events", _MOVES), _guard(j))[1].distinct())
+query(
+    "k09_delete_ghosts",
+    """SELECT application_id, id, event_type FROM <application_events> e WHERE NOT (event_type = 'ghost_inferred' AND CAST(application_id AS BIGINT) % 3 = 0
+       AND application_id NOT IN (SELECT application_id FROM <application_events> WHERE event_type = 'ghost_inferred' AND right(id, 1) = '5'))""",
+    _MOVES,
+)(lambda j: snapshots.delete_ghosts(j.events, j.apps.where(F.col("id").cast("long") % 3 == 0).select("id"), _guard(j))[0].select("application_id", "id", "event_type"))
+query(
+    "k05_k16_replaced",
+    "SELECT id, application_id, quality FROM <log> WHERE id NOT IN (SELECT id FROM <log_new>) UNION ALL SELECT id, application_id, quality FROM <log_new>",
+    _MOVES,
+)(lambda j: snapshots.replaced(j.view("log", _MOVES), j.view("log_new", _MOVES), ["id"]))
+query(
+    "k15_k22_appended",
+    "SELECT l.id, coalesce(m.target, l.application_id) AS application_id, l.quality FROM (SELECT * FROM <log> UNION ALL SELECT * FROM <log_new> WHERE id NOT IN (SELECT id FROM <log>)) l LEFT JOIN <log_moves> m ON m.source = l.application_id",
+    _MOVES,
+)(lambda j: snapshots.reassigned_corrections(snapshots.appended(j.view("log", _MOVES), j.view("log_new", _MOVES)), j.view("log_moves", _MOVES)))
+query("k18_removed_chunks", "SELECT email_id, chunk_index FROM <email_chunks> WHERE right(email_id, 1) <> '4'")(
+    lambda j: snapshots.removed(j.chunks, j.emails.where("right(id, 1) = '4'").select("id"), "email_id").select("email_id", "chunk_index")
+)
+query(
+    "k17_replaced_chunks",
+    "SELECT email_id, chunk_index, CASE WHEN right(email_id, 1) = '4' THEN 'new' ELSE content END AS content FROM <email_chunks> WHERE right(email_id, 1) <> '4' OR chunk_index = 0",
+)(lambda j: (lambda c: snapshots.replace_chunks(c, c.where("right(email_id, 1) = '4' AND chunk_index = 0").withColumn("content", F.lit("new"))))(j.chunks.select("email_id", "chunk_index", "content")))
+query(
+    "k22_completed_turns",
+    "SELECT u.conversation_id, u.turn, a.content AS answer FROM <chat_messages> u JOIN <chat_messages> a ON a.conversation_id = u.conversation_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'",
+)(lambda j: snapshots.completed_turn(j.chat, j.chat.where("role = 'user'")))
+query(
+    "k24_run_states",
+    """SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NULL THEN o.cursor ELSE coalesce(n.cursor, o.cursor) END AS cursor, CASE WHEN n.id IS NULL THEN o.pages ELSE greatest(o.pages, n.pages) END AS pages,
+              coalesce(o.started_at, n.started_at) AS started_at, coalesce(n.updated_at, o.updated_at) AS updated_at FROM <runs> o FULL JOIN <runs_new> n ON n.id = o.id""",
+    _MOVES,
+)(lambda j: snapshots.upsert_states(j.view("runs", _MOVES), j.view("runs_new", _MOVES)).select("id", "cursor", "pages", "started_at", "updated_at"))
+query(
+    "k20_stale_insights", "SELECT id, is_stale OR inputs_hash <> 'h1' AS is_stale FROM <insights>"
+)(lambda j: snapshots.mark_stale(j.view("insights"), "h1").select("id", "is_stale"))
+query(
+    "x04_merge_tombstones", "SELECT source AS id FROM <merge_pairs>", {"merge_pairs": "SELECT id AS target, CAST(CAST(id AS BIGINT) + 1 AS STRING) AS source FROM <applications> WHERE CAST(id AS BIGINT) % 40 = 4 AND CAST(CAST(id AS BIGINT) + 1 AS STRING) IN (SELECT id FROM <applications>)"}
+)(lambda j: snapshots.merge_tombstones(corrections.merge_records(_pairs(j), "1998-09-01")))
 query(
     "k21_changed_rows",
     """SELECT id, CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN 'delete' ELSE 'update' END AS change FROM <applications> WHERE CAST(id AS BIGINT) % 9 = 0 OR (CAST(id AS BIGINT) % 5 = 0 AND work_mode IS NOT NULL)
@@ -192,7 +264,14 @@ _DECIDED = {
 }
 _decisions = lambda j: status.filter_decisions(j.emails, ("src3.example",))
 query("p14_filter_decisions", "SELECT id, outcome, reason, score FROM <decided>", _DECIDED)(_decisions)
-query("p15_default_filter")(lambda j: status.filter_decisions(j.emails))
+_DOMAINS = " ".join(f"WHEN d = '{x}' OR d LIKE '%.{x}' THEN '{x}'" for x in status.SENDER_DOMAINS)
+_LABELS = " ".join(f"WHEN len([x FOR x IN labels IF lower(trim(x)) = '{k}']) > 0 THEN '{k}'" for k in status.EXCLUDED_LABELS)
+_BY_DEFAULT = {
+    "signals": f"""SELECT id, thread_id, CASE {_LABELS} END AS label, CASE {_DOMAINS} END AS domain, CASE {_KEY} END AS keyword
+                   FROM (SELECT *, lower(coalesce(subject, '')) AS s, lower(split_part(from_addr, '@', 2)) AS d FROM <raw_emails>) x""",
+    "decided": _DECIDED["decided"],
+}
+query("p15_default_filter", "SELECT id, outcome, reason, score FROM <decided>", _BY_DEFAULT)(lambda j: status.filter_decisions(j.emails))
 query(
     "a33_stage_counts",
     """SELECT 'raw_emails' AS stage, count(*) AS rows FROM <raw_emails> UNION ALL SELECT 'metadata_only', count(*) FROM <raw_emails> WHERE body_retention_state = 'metadata_only'
@@ -231,3 +310,60 @@ query(
            SELECT count(*) FILTER (WHERE e AND p) AS tp, count(*) FILTER (WHERE NOT e AND p) AS fp, count(*) FILTER (WHERE e AND NOT p) AS fn, count(*) FILTER (WHERE NOT e AND NOT p) AS tn
            FROM (SELECT is_job_related AS e, confidence >= 0.1 AS p FROM <email_classifications>) x) y""",
 )(lambda j: status.confusion(j.classes.select(F.col("is_job_related").alias("expected"), (F.col("confidence") >= 0.1).alias("predicted"))))
+
+_EDITS = {"status_edits": "SELECT id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'withdrawn' ELSE current_status END AS status FROM <applications> WHERE CAST(id AS BIGINT) % 5 = 0 UNION ALL SELECT 'none', 'offer'"}
+query(
+    "l17_edited_statuses",
+    "SELECT a.id, coalesce(e.status, a.current_status) AS current_status, a.manual_lock OR coalesce(e.status <> a.current_status, false) AS manual_lock FROM <applications> a LEFT JOIN <status_edits> e ON e.id = a.id",
+    _EDITS,
+)(lambda j: corrections.edited_statuses(j.apps, j.view("status_edits", _EDITS))[0].select("id", "current_status", "manual_lock"))
+query(
+    "l17_status_outcomes",
+    "SELECT e.id, CASE WHEN a.id IS NULL THEN 'not_found' WHEN a.current_status = e.status THEN 'no_change' ELSE 'edited' END AS outcome FROM <status_edits> e LEFT JOIN <applications> a ON a.id = e.id",
+    _EDITS,
+)(lambda j: corrections.edited_statuses(j.apps, j.view("status_edits", _EDITS))[1])
+_STATE = {
+    "pipeline_state": """SELECT event_id AS id, event_id % 11 <> 0 AS connected, event_id % 13 = 0 AS reauth_required, event_id % 7 = 0 AS sync_running, event_id % 17 = 0 AS sync_failed,
+        CASE WHEN event_id % 5 = 0 THEN 'failed' WHEN event_id % 5 = 1 THEN 'running' WHEN event_id % 5 = 2 THEN NULL ELSE 'completed' END AS backfill_state, event_id % 9 AS raw_emails, event_id % 4 AS retained_bodies,
+        event_id % 6 AS unclassified, event_id % 8 AS applications, CASE WHEN event_id % 2 = 0 THEN 'timeout' END AS last_error FROM <events>""",
+    "sync_runs": "SELECT event_id AS id, event_id % 70 AS processed, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 50 END AS target, event_id % 2 = 0 AS finished, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 60 END AS max_messages FROM <events>",
+    "sync_states": "SELECT CAST(event_id AS STRING) AS id, event_type AS provider, 'c' || CAST(event_id % 5 AS STRING) AS cursor, CAST('1998-01-01' AS {TS}) + (event_id % 100) * INTERVAL '1' DAY AS updated_at FROM <events>",
+}
+query(
+    "f26_next_action",
+    """SELECT id, CASE WHEN reauth_required OR NOT connected THEN 'connect_mail' WHEN sync_running THEN 'wait_for_sync' WHEN sync_failed OR backfill_state = 'failed' THEN 'inspect_error' WHEN raw_emails = 0 THEN 'run_sync'
+              WHEN coalesce(backfill_state, '') <> 'completed' THEN 'continue_backfill' WHEN unclassified > 0 THEN 'run_classification' ELSE 'review_dashboard' END AS next_action FROM <pipeline_state>""",
+    _STATE,
+)(lambda j: status.next_action(j.view("pipeline_state", _STATE)).select("id", "next_action"))
+query(
+    "f28_sync_progress",
+    "SELECT id, CASE WHEN target IS NULL THEN CASE WHEN finished THEN 1.0 ELSE 0.0 END WHEN target = 0 THEN 1.0 ELSE least(1.0, processed / target) END::DOUBLE AS progress, CASE WHEN max_messages IS NOT NULL THEN greatest(1, max_messages - processed) END AS remaining FROM <sync_runs>",
+    _STATE,
+)(lambda j: status.sync_progress(j.view("sync_runs", _STATE)).select("id", "progress", "remaining"))
+query(
+    "f29_prompt_estimate",
+    """SELECT candidates, (ceil(characters / 4) + candidates * 300)::BIGINT AS prompt_tokens, candidates * 500 AS completion_tokens, (ceil(characters / 4) + candidates * 800)::BIGINT AS total_tokens FROM (
+        SELECT count(*) AS candidates, coalesce(sum(length(body_text)), 0)::BIGINT AS characters FROM <raw_emails> m LEFT JOIN <email_classifications> c ON c.email_id = m.id
+        WHERE body_retention_state = 'retained' AND trim(body_text) <> '' AND (c.email_id IS NULL OR c.model <> 'model-1' OR c.prompt_version <> 'v2')) x""",
+)(lambda j: status.prompt_estimate(status.candidate_stats(j.emails, j.classes, *_MODEL)).drop("cost_usd"))
+query("x05_pending_bodies", "SELECT id, thread_id FROM <raw_emails> WHERE body_retention_state = 'metadata_only' AND id IN (SELECT id FROM <decided> WHERE outcome = 'candidate') ORDER BY id", _DECIDED)(
+    lambda j: status.pending_bodies(j.emails, _decisions(j), "gmail")
+)
+query("x06_x07_newest_states", "SELECT id, provider, cursor, updated_at FROM <sync_states> QUALIFY row_number() OVER (PARTITION BY provider ORDER BY updated_at DESC, id DESC) = 1", _STATE)(
+    lambda j: status.newest_state(j.view("sync_states", _STATE))
+)
+query(
+    "p19_x35_readable",
+    "SELECT id, CASE WHEN body_retention_state IN ('retained', 'debugging') THEN body_text END AS body_text, NOT (body_retention_state IN ('retained', 'debugging') AND body_text IS NOT NULL) AS must_fetch FROM <raw_emails>",
+)(lambda j: status.readable(j.emails).select("id", "body_text", "must_fetch"))
+query(
+    "p20_shown_names",
+    "SELECT id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'Unknown company' ELSE company END AS company, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'Role not available' ELSE role_title END AS role_title FROM <applications>",
+)(
+    lambda j: status.shown(
+        j.apps.withColumns({"company": F.when(F.col("id").cast("long") % 2 == 0, "  ").otherwise(F.col("company")), "role_title": F.when(F.col("id").cast("long") % 3 != 0, F.col("role_title"))})
+    ).select("id", "company", "role_title")
+)
+query("x30_normalized_terms", "SELECT DISTINCT lower(source) || '.example' AS term FROM <documents> WHERE source IS NOT NULL")(
+    lambda j: status.normalized_terms(j.view("documents").where("source IS NOT NULL").select(F.concat(F.lit(" @"), F.upper("source"), F.lit(".Example. ")).alias("term")).union(j.spark.createDataFrame([(" ",), ("@",)], "term string")))
+)

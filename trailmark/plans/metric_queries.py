@@ -203,8 +203,8 @@ _metric(
 )(lambda j: metrics.busiest_months(submitted(j.apps, j.events, j.classes), "America/New_York"))
 _metric(
     "a26_companies",
-    """SELECT company, sum(n)::BIGINT AS application_count, string_agg(role, '|' ORDER BY r, role) AS role_titles FROM (
-           SELECT lower(trim(company)) AS company, lower(trim(role_title)) AS r, min(trim(role_title)) AS role, count(*) AS n FROM <submitted> WHERE trim(company) <> '' GROUP BY 1, 2) x
+    """SELECT company, sum(n)::BIGINT AS application_count, string_agg(role, '|' ORDER BY r, role) AS role_titles, array_to_string(flatten(list(ids ORDER BY r)), '|') AS application_ids FROM (
+           SELECT lower(trim(company)) AS company, lower(trim(role_title)) AS r, min(trim(role_title)) AS role, count(*) AS n, list(id ORDER BY trim(role_title), id) AS ids FROM <submitted> WHERE trim(company) <> '' GROUP BY 1, 2) x
        GROUP BY 1 ORDER BY 1 LIMIT 20""",
 )(lambda j: metrics.companies(submitted(j.apps, j.events, j.classes)))
 _metric("a27_status_counts", f"SELECT s.status, count(a.id) AS applications FROM (VALUES {', '.join(f"('{s}')" for s in schema.STATUSES)}) s(status) LEFT JOIN <applications> a ON a.current_status = s.status GROUP BY 1")(
@@ -220,11 +220,6 @@ _metric(
     "a29_rejected_skills",
     "SELECT skill, count(*) AS applications FROM (SELECT DISTINCT a.id, trim(t.skill) AS skill FROM <applications> a JOIN <tech> t ON t.application_id = a.id WHERE a.current_status = 'rejected' AND trim(t.skill) <> '') x GROUP BY 1",
 )(lambda j: metrics.rejected_skills(j.apps, j.tech))
-_metric(
-    "a30_role_outcomes",
-    f"""SELECT role, sum(n)::BIGINT AS applications, sum(w)::BIGINT AS wins, coalesce(sum(n) FILTER (WHERE s IN {_IN(schema.NEGATIVE_STATUSES)}), 0)::BIGINT AS losses, string_agg(s || '=' || n, ',' ORDER BY s) AS statuses
-        FROM (SELECT trim(role_title) AS role, current_status AS s, count(*) AS n, count(*) FILTER (WHERE has_success) AS w FROM <flagged> GROUP BY 1, 2) x GROUP BY 1""",
-)(lambda j: metrics.role_outcomes(facts(j)))
 _metric(
     "a36_summary",
     "\nUNION ALL ".join(

@@ -1,28 +1,34 @@
-"""Ingestion as Structured Streaming: a paged, resumable source of mail metadata and a snapshot sink (S05-S06, streaming concepts).
+"""Ingestion as Structured Streaming: a paged, resumable source of mail metadata and bucketed snapshot sinks (S05-S06, streaming concepts).
 
 Pages are files in a folder.  The checkpoint is the cursor: it moves only when a micro-batch is written, so a restart takes up after
-the last whole page, and a batch that is replayed writes the same version again.
+the last whole page, and a batch that is replayed writes the same files again.  Rows of any age are taken: repeats are told by their
+ids against the table, not by a watermark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 PAGE = "id string, provider string, thread_id string, from_addr string, to_addr string, subject string, sent_at timestamp_ntz, received_at timestamp_ntz, labels array<string>"
 
 
-def pages(spark: SparkSession, folder: str, schema: str = PAGE, pages_per_batch: int = 1) -> DataFrame:
-    """New page files in the order of their modification times, ``pages_per_batch`` at a time."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", pages_per_batch).json(folder)
+def pages(spark: SparkSession, folder: str, schema: str = PAGE, pages_per_batch: int = 1, bytes_per_batch: str | None = None) -> DataFrame:
+    """New page files in the order of their modification times, ``pages_per_batch`` at a time, or as many as have ``bytes_per_batch``."""
+    source = spark.readStream.schema(schema)
+    limit = ("maxBytesPerTrigger", bytes_per_batch) if bytes_per_batch else ("maxFilesPerTrigger", str(pages_per_batch))
+    return source.option(*limit).json(folder)
 
 
-def first_seen(stream: DataFrame, horizon: str = "7 days") -> DataFrame:
-    """Incremental history: messages added twice within the horizon come once (S06); state beyond it is dropped."""
-    return stream.withColumn("sent_at", F.coalesce("sent_at", "received_at").cast("timestamp")).withWatermark("sent_at", horizon).dropDuplicatesWithinWatermark(["id"])
+def first_added(batch: DataFrame, known: DataFrame | None = None, order: tuple[str, ...] = ("received_at", "sent_at")) -> DataFrame:
+    """Incremental history: of messages added twice the first counts, and none that the table has already (S06), however old it is."""
+    w = Window.partitionBy("id").orderBy(*[F.asc_nulls_last(c) for c in order if c in batch.columns])
+    new = batch.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return new if known is None else new.join(known.select("id"), "id", "left_anti").select(*batch.columns)
 
 
 def metadata_rows(page: DataFrame) -> DataFrame:
@@ -31,17 +37,59 @@ def metadata_rows(page: DataFrame) -> DataFrame:
     return plain.withColumn("body_text", F.lit(None).cast("string")).withColumn("body_retention_state", F.lit("metadata_only"))
 
 
-def into_versions(apply: Callable[[DataFrame | None, DataFrame], DataFrame], folder: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: version n+1 is version n with batch n applied.  Replaying a batch overwrites its own version only."""
+Apply = Callable[[DataFrame | None, DataFrame], DataFrame]
+
+
+def current(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """A bucketed table as its last batches left it (those before ``before``, if given): of each bucket the newest files."""
+    files = spark.read.parquet(folder)
+    if before is not None:
+        files = files.where(F.col("batch") < before)
+    newest = files.groupBy("bucket").agg(F.max("batch").alias("batch"))  # over folder names: one row a bucket
+    return files.join(F.broadcast(newest), ["bucket", "batch"]).drop("bucket", "batch")
+
+
+def into_buckets(apply: Apply, folder: str, key: str = "id", buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: rows belong to buckets by a hash of their key, and a batch rewrites only the buckets that it touches.
+
+    ``apply`` takes the rows of those buckets (None at first) and the batch's, and returns the buckets' next rows.  A batch writes
+    one folder of its own, so replaying it writes the same again."""
+
+    def place(df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{folder}/v={batch_id}") if batch_id else None
-        apply(old, batch).write.mode("overwrite").parquet(f"{folder}/v={batch_id + 1}")
+        touched = place(batch).select("bucket").distinct()
+        old = None if batch_id == 0 else place(current(spark, folder, batch_id)).join(F.broadcast(touched), "bucket", "left_semi").drop("bucket")  # ``buckets`` rows at most
+        place(apply(old, batch)).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={batch_id}")
+
+    return write
+
+
+def with_dead_letters(sink: Callable[[DataFrame, int], None], sound: Column, folder: str) -> Callable[[DataFrame, int], None]:
+    """A sink that puts rows which aren't sound into a side table, one folder a batch, and hands the others on."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        good = F.coalesce(sound, F.lit(False))
+        batch.where(~good).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        sink(batch.where(good), batch_id)
 
     return write
 
 
+def dead_letters(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
+def resume_or_reload(resume: Callable[[], StreamingQuery], reload: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Takes a stream up from its checkpoint; where the source no longer has what that names (an expired offset), loads all again."""
+    try:
+        return resume()
+    except StreamingQueryException:
+        return reload()
+
+
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Everything there is now, then stop: what a scheduler calls again and again."""
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -57,3 +105,11 @@ def activity(stream: DataFrame, window: str = "1 day", lateness: str = "3 days",
     """Event counts by tumbling window and type; rows later than the watermark are left out."""
     timed = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness)
     return timed.groupBy(F.window(at, window), kind).agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), kind, "n")
+
+
+def late_threads(batch: DataFrame, decisions: DataFrame, emails: DataFrame) -> DataFrame:
+    """Rejected mails that count after all, as a later mail of their thread is a candidate: id (late data)."""
+    passed = decisions.where("outcome = 'candidate'").select("id").join(batch.select("id"), "id", "left_semi")
+    threads = emails.select("id", "provider", "thread_id").join(passed, "id", "left_semi").where("thread_id IS NOT NULL").select("provider", "thread_id").distinct()
+    rejected = emails.join(decisions.where("outcome = 'rejected'").select("id"), "id", "left_semi")
+    return rejected.join(threads, ["provider", "thread_id"], "left_semi").select("id")
