@@ -137,7 +137,7 @@ def split(answers: DataFrame) -> Answers:
         _text("company").alias("company"), _text("role_title").alias("role_title"), F.coalesce(_text("source"), F.lit("other")).alias("source"), _text("application_status").alias("status"),
         _text("event_type").alias("event_type"), event_time().alias("event_at"), number("salary_min"), number("salary_max"),
         *[_text(n).alias(n) for n in ("currency", "location", "work_mode", "seniority", "sponsorship")],
-        F.transform(F.try_variant_get("v", "$.tech_stack", "array<string>"), F.trim).alias("tech_stack"), _text("rejection_reason").alias("rejection_reason"),
+        F.transform(F.try_variant_get("v", "$.tech_stack", "array<string>"), lambda x: F.trim(x)).alias("tech_stack"), _text("rejection_reason").alias("rejection_reason"),
     )
     return Answers(accepted, j.where("reason IS NOT NULL").select("email_id", "model", "prompt_version", "reason"))
 

@@ -159,7 +159,7 @@ def prompt_estimate(stats: DataFrame, chars_per_unit: int = 4, overhead: int = 3
 def sync_progress(runs: DataFrame) -> DataFrame:
     """Adds progress (0 to 1) and remaining (null without a limit, 1 at least) to runs with processed, target, finished, max_messages."""
     progress = F.when(F.col("target").isNull(), F.col("finished").cast("double")).when(F.col("target") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("processed") / F.col("target")))
-    return runs.withColumns({"progress": progress, "remaining": F.greatest(F.lit(1), F.col("max_messages") - F.col("processed"))})
+    return runs.withColumns({"progress": progress, "remaining": F.when(F.col("max_messages").isNotNull(), F.greatest(F.lit(1), F.col("max_messages") - F.col("processed")))})
 
 
 def readable(emails: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ _MOVES = {
     "log_new": "SELECT CAST(doc_id AS STRING) AS id, CAST(doc_id % 50 AS STRING) AS application_id, 7 AS quality FROM <labels> WHERE doc_id % 2 = 0",
     "log_moves": "SELECT DISTINCT CAST(doc_id % 50 AS STRING) AS source, 'm' AS target FROM <labels> WHERE doc_id % 10 = 3",
     "runs": "SELECT DISTINCT CAST(event_id % 40 AS STRING) AS id, 'p' AS provider, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'c' || CAST(event_id % 40 AS STRING) END AS cursor, event_id % 40 AS pages, 10 AS messages, CAST('1998-01-01' AS {TS}) AS started_at, CAST('1998-01-02' AS {TS}) AS updated_at FROM <events> WHERE event_id % 40 < 30",
-    "runs_new": "SELECT DISTINCT CAST(event_id % 40 AS STRING) AS id, 'p' AS provider, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'n' END AS cursor, 20 AS pages, 5 AS messages, CAST('1999-01-01' AS {TS}) AS started_at, CAST('1999-01-02' AS {TS}) AS updated_at FROM <events> WHERE event_id % 40 >= 10",
+    "runs_new": "SELECT DISTINCT CAST(event_id % 40 AS STRING) AS id, 'p' AS provider, CASE WHEN (event_id % 40) % 3 = 0 THEN NULL ELSE 'n' END AS cursor, 20 AS pages, 5 AS messages, CAST('1999-01-01' AS {TS}) AS started_at, CAST('1999-01-02' AS {TS}) AS updated_at FROM <events> WHERE event_id % 40 >= 10",
 }
 
 

@@ -64,15 +64,15 @@ _WRITTEN = {
         SELECT CAST(doc_id AS STRING) AS id, doc_id % 7 AS kind, CASE doc_id % 7
             WHEN 0 THEN '1. Ask for feedback [a:1]' || chr(10) || '2. Write to two teams [a:2, a:1]' || chr(10) || '3. Rest on Sunday [a:1; a:2]'
             WHEN 1 THEN '1. Ask [a:1]' || chr(10) || '2. Write [a:2]' WHEN 2 THEN '1. Ask [a:1]' || chr(10) || '2. Write [b:9]' || chr(10) || '3. Rest [a:1]'
-            WHEN 3 THEN '1. Ask [a:1]' || chr(10) || '2. [a:2]' || chr(10) || '3. Rest [a:1]' WHEN 4 THEN 'Replies came late. [a:1] Offers came later still [a:2].'
+            WHEN 3 THEN '1. Ask [a:1]' || chr(10) || '2. [a:2]' || chr(10) || '3. Rest [a:1]' WHEN 4 THEN 'Replies came late.' || chr(10) || '[a:1]' || chr(10) || 'Offers came later still [a:2].'
             WHEN 5 THEN 'Replies came late [a:1]. Offers came later still. Nobody knows why.' ELSE 'Nothing is cited here.' END AS content FROM <labels>"""
 }
-_allowed = F.array(F.lit("a:1"), F.lit("a:2"))
-query("f19_action_problems", "SELECT id, CASE kind WHEN 0 THEN NULL WHEN 2 THEN 'a line is not numbered, cited and said' WHEN 3 THEN 'a line is not numbered, cited and said' ELSE 'not three lines' END AS problem FROM <written>", _WRITTEN)(
-    lambda j: j.view("written", _WRITTEN).select("id", insights.actions_problem(F.col("content"), _allowed).alias("problem"))
+_allowed = lambda: F.array(F.lit("a:1"), F.lit("a:2"))
+query("f19_action_problems", "SELECT id, CASE kind WHEN 0 THEN NULL WHEN 2 THEN 'a line is not numbered, cited and said' WHEN 3 THEN 'a line is not numbered, cited and said' WHEN 4 THEN 'a line is not numbered, cited and said' ELSE 'not three lines' END AS problem FROM <written>", _WRITTEN)(
+    lambda j: j.view("written", _WRITTEN).select("id", insights.actions_problem(F.col("content"), _allowed()).alias("problem"))
 )
 query("f18_x20_grounding_problems", "SELECT id, CASE kind WHEN 2 THEN 'unknown_citation' WHEN 5 THEN 'uncited_claim' WHEN 6 THEN 'no_citation' END AS problem FROM <written>", _WRITTEN)(
-    lambda j: j.view("written", _WRITTEN).select("id", insights.grounding_problem(F.col("content"), _allowed).alias("problem"))
+    lambda j: j.view("written", _WRITTEN).select("id", insights.grounding_problem(F.col("content"), _allowed()).alias("problem"))
 )
 query(
     "q09_x42_ungrounded_claims",
@@ -82,7 +82,7 @@ query(
     lambda j: (
         lambda w: questions.ungrounded(
             w.select(F.col("id").alias("answer_id"), F.lit("c").alias("claim"), insights.cited(F.col("content")).alias("citation_ids")),
-            w.select(F.col("id").alias("answer_id"), F.explode(F.when(F.col("id").cast("long") % 2 == 0, F.array(F.lit("a:1"))).otherwise(_allowed)).alias("citation_id")),
+            w.select(F.col("id").alias("answer_id"), F.explode(F.when(F.col("id").cast("long") % 2 == 0, F.array(F.lit("a:1"))).otherwise(_allowed())).alias("citation_id")),
         )
     )(j.view("written", _WRITTEN))
 )
