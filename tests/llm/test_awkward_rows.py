@@ -103,3 +103,35 @@ def test_pipeline_decides_on_rows(spark, tmp_path):
     docs = awkward(spark, [(i, t, "en", "a", len(t)) for i, t in [(None, e), (None, a), (5, e), (5, b), (6, c)]])
     got = corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).select("doc_id", "text").collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, a), (5, b), (6, c)]
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_stages_on_awkward_rows(spark, rows, empty, tmp_path):
+    """Each stage alone: nulls, empty and long texts, repeated rows, clashing columns; and no rows at all."""
+    import corpus_pipeline
+
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = awkward(spark, [] if empty else [*rows, (None, "...", "fr", "b", 3), (None, "...", "fr", "b", 3)])
+    want = {"language_id": 6, "near_dedup": 12, "decontaminate": 14, "pii": 14}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert (got.count() == 0) == empty
+            continue
+        assert got.columns == list(corpus_pipeline.COLUMNS)
+        kept = got.collect()
+        if empty:
+            assert kept == []
+        elif name != "language_id":
+            assert len(kept) == want[name], name
+            assert name == "pii" or {(r["doc_id"], r["text"]) for r in kept} == {(r[0], r[1]) for r in rows} | {(None, "...")}
+        else:
+            assert {r["doc_id"] for r in kept} <= {4, 5, 7, 8, 9, None} and all(r["text"] for r in kept)
+
+
+def test_components_of_awkward_edges(spark):
+    from trailmark.llm.components import components
+
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (None, 4), (5, None), (2, 9)], "a long, b long")
+    assert sorted(map(tuple, components(edges).collect())) == [(1, 1), (2, 1), (9, 1)]
+    assert components(edges.limit(0)).count() == 0

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, components, knn_join, license_scan, order_minhash, packing, pii, suffix_dedup, tiling, toxicity
+from trailmark.llm import bpe, components, knn_join, language_id, license_scan, order_minhash, packing, pii, suffix_dedup, tiling, token_counts, toxicity
 from trailmark.llm.queries import ORACLE_SQL, QUERIES, tokenizer_file
 from trailmark.llm.wordhash import hash_words
 
@@ -60,6 +60,33 @@ def test_repeated_passages(spark):
     assert covered == {i: t for i, t in truth.items() if t}
 
 
+def spans_of(docs: dict) -> dict:
+    """The words of each document (by id; ids that are negative stand for rows without one) in runs of 50 words that another has too."""
+    where: dict[tuple, set[int]] = {}
+    for i, d in docs.items():
+        for a in range(len(d) - 49):
+            where.setdefault(tuple(d[a : a + 50]), set()).add(i)
+    truth = {i: {x for a in range(len(d) - 49) if len(where[tuple(d[a : a + 50])]) > 1 for x in range(a, a + 50)} for i, d in docs.items()}
+    return {i: t for i, t in truth.items() if t and i >= 0}
+
+
+def test_repeated_passages_query(spark, small, documents):
+    got = QUERIES["op1_repeated_passages"](spark, small).collect()
+    covered = {r["doc_id"]: {x for s in r["spans"].split(",") for x in range(*map(int, s.split("-")))} for r in got}
+    assert covered == spans_of({r.doc_id: words_of(r.text) for r in documents.itertuples()})
+    assert all(r["n_words"] == len(covered[r["doc_id"]]) for r in got)
+
+
+def test_passages_repeat_in_rows_without_an_id(spark):
+    rng = np.random.default_rng(21)
+    say = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    shared = say(60)
+    docs = {1: say(20) + shared, -1: shared + say(9), 2: say(80), -2: say(30)}
+    df = spark.createDataFrame([(i if i > 0 else None, " ".join(d)) for i, d in docs.items()], "doc_id long, text string")
+    got = suffix_dedup.repeated_passages(df).collect()
+    assert {r["doc_id"]: r["spans"] for r in got} == {1: "20-80"} and set(spans_of(docs)) == {1}
+
+
 def test_neighbours_over_task_borders(spark):
     rows = [(k, i, p) for k in range(40) for i, p in ((1, k), (2, k))] + [(1000 + k, 1, k) for k in range(40)] + [(2000, 7, p) for p in range(30)]
     df = spark.createDataFrame(rows, "key long, id long, place int").repartition(3)
@@ -134,6 +161,12 @@ def test_near_duplicates(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_near_duplicates_query(spark, small, documents):
+    docs = documents.sort_values("doc_id", ignore_index=True)
+    got = {r["doc_id"]: r["class_id"] for r in QUERIES["op2_near_duplicates"](spark, small).collect()}
+    assert got == {d: docs["doc_id"][c] for d, c in zip(docs["doc_id"], brute_classes(docs["text"].tolist()), strict=True)}
+
+
 def test_families_whose_hub_hides_links(spark):
     """Texts that share a long passage, and so entries, with a hub that none of them is like."""
     rng = np.random.default_rng(12)
@@ -307,6 +340,13 @@ def test_leaks(spark):
     assert sorted((r["doc_id"], r["item_id"], r["tiles"]) for r in got) == [(0, 0, 1), (1, 0, 2), (4, 2, 1), (5, 1, 1)]
 
 
+def test_short_items_match_whole_and_repeats_make_no_products(spark):
+    docs = ["so ALPHA beta, gamma it is", "alpha beta and gamma", "delta", "same " * 3000, "one two three four five six", None, "", "alpha"]
+    items = ["alpha beta gamma", "Delta!", "same " * 40, "four five", "", None, "one two three four six five"]
+    got = tiling.find_leaks(frame(spark, docs), frame(spark, items).withColumnRenamed("doc_id", "item_id")).collect()
+    assert sorted((r["doc_id"], r["item_id"], round(r["coverage"], 2)) for r in got) == [(0, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0)]
+
+
 def test_leaks_query(spark, small):
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op4_decontaminate"](spark, small).collect()}
     con = duckdb.connect()
@@ -417,6 +457,28 @@ def test_packing_query(spark, small, documents):
     assert packing.padding_share(filled) < 0.02
 
 
+def test_token_query(spark, small, documents):
+    lib = library()
+    odd = pd.DataFrame({"doc_id": range(10**6, 10**6 + 5), "text": ["مرحبا بالعالم", "한국어 텍스트 🙂", "x<|endoftext|>y", None, "é" * 3000]})
+    both = pd.concat([documents[["doc_id", "text"]], odd])
+    got = {r["doc_id"]: r for r in [*QUERIES["op7_token_counts"](spark, small).collect(), *token_counts.count_tokens(spark.createDataFrame(odd), tokenizer_file()).collect()]}
+    for r in both.itertuples():
+        n = len(lib.encode(r.text, add_special_tokens=False).ids) if r.text else 0
+        assert tuple(got[r.doc_id]) == (r.doc_id, len((r.text or "").encode()), n, n > 1024)
+
+
+def test_language_scores_are_the_plain_ones(spark):
+    """Posteriors against sums over the n-grams, one at a time."""
+    texts = ["der Hund und die Katze sind hier", "the dog and the cat are here", "der Mann", "the man"]
+    docs = spark.createDataFrame([(i, t, "de" if i % 2 == 0 else "en") for i, t in enumerate(texts * 40)], "doc_id long, text string, lang string")
+    langs, table = language_id.train(docs)
+    got = language_id.predict(frame(spark, texts), langs, table).orderBy("doc_id").collect()
+    for r in got:
+        grams, first = language_id.ngram_buckets([r["text"]])
+        total = [sum(float(table[i][b]) for g in grams for b in g[: first[1] - 2]) for i in range(2)]
+        assert r["lang_pred"] == langs[int(np.argmax(total))] and r["score"] == pytest.approx(1 / sum(np.exp(t - max(total)) for t in total))
+
+
 def test_language_query(spark, small, documents):
     got = QUERIES["op8_language_id"](spark, small).toPandas().merge(documents[["doc_id", "lang"]], on="doc_id")
     assert (got["held_out"] == got["doc_id"].map(lambda d: zlib.crc32(str(d).encode()) % 4 == 2)).all()
@@ -460,6 +522,30 @@ def test_toxicity_chain(spark):
     assert got["p_toxic"].between(0, 1).all()
 
 
+def test_toxicity_query(spark, small, documents):
+    labels = duckdb.sql(f"SELECT * FROM '{small}/labels.parquet'").df()
+    got = QUERIES["op10_toxicity"](spark, small).toPandas()
+    assert sorted(got["doc_id"]) == sorted(documents["doc_id"]) and got[["p_toxic", "p_low_quality"]].stack().between(0, 1).all()
+    both = got.merge(labels.groupby("doc_id", as_index=False)["toxic"].max(), on="doc_id")
+    clean, toxic = both[both["toxic"] != 1], both[both["toxic"] == 1]
+    assert not clean["is_toxic"].any() or clean["is_toxic"].mean() < 0.05
+    assert len(toxic) < 50 or toxic["is_toxic"].mean() > 0.9  # the smallest tables have too few to learn from
+
+
+def test_toxicity_sample_is_bounded_by_documents(spark):
+    docs = spark.createDataFrame([(1, "vile words")] * 400 + [(i, "kind words") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, i % 2) for i in range(300)] + [(i, 1, 0) for i in range(2, 40)], "doc_id long, quality int, toxic int")
+    seen = []
+    keep = toxicity.fit_chain
+    toxicity.fit_chain = lambda x, y, names: (seen.append(y), keep(x, y, names))[1]
+    try:
+        toxicity.train(docs, labels, {"toxic": F.col("toxic")}, sample_rows=20)
+        toxicity.train(docs, labels, {"toxic": F.col("toxic")}, sample_rows=1000)
+    finally:
+        toxicity.fit_chain = keep
+    assert len(seen[0]) <= 20 and len(seen[1]) == 39 and seen[1].sum() == 1
+
+
 def test_pipeline(spark, small, documents):
     import corpus_pipeline
 

@@ -53,7 +53,7 @@ def release() -> None:
         libc.malloc_trim(0)
 
 
-def in_slices(make: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text", step: int = 8 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def in_slices(make: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text", step: int = 1 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that hands ``make`` at most about ``step`` bytes of text, and one row at least, at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

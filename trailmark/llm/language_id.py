@@ -114,4 +114,4 @@ def predict(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
         return pa.record_batch([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(in_slices(make, step=2 << 20), schema)
+    return rows.mapInArrow(in_slices(make, step=1 << 19), schema)

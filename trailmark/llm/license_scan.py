@@ -20,6 +20,7 @@ templates, and of one template at several places, each count.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -131,6 +132,21 @@ def template_grams(spark: SparkSession, base=None, templates=None) -> DataFrame:
     return df.select("template", "at", "k", F.when(F.col("k") < 4, pair).otherwise(F.xxhash64(pair, F.xxhash64("c", "d"))).alias("gram"), "size", "label", "is_base")
 
 
+def gram_filter(table: DataFrame) -> Callable[[Column], Column]:
+    """Whether a hash may be one of the table's: a literal of 2**16 bits, so that only likely hits become rows.  The join decides."""
+    words = [0] * 1024
+    for r in table.select("gram").distinct().collect():  # the fixed templates' hashes
+        at = r["gram"] % (1 << 16)
+        words[at >> 6] |= 1 << (at & 63)
+    bits = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words])
+
+    def may_be(gram: Column) -> Column:
+        at = gram.bitwiseAND(F.lit(65535)).cast("int")
+        return F.getbit(F.get(bits, F.shiftright(at, 6)), at.bitwiseAND(63)) == 1
+
+    return may_be
+
+
 def in_order(hits: Column, k: Column) -> Column:
     """struct(words, start, stop): template words reached by hits (place, at) in the text's order, each once, and their span in the text."""
     none = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("words"), F.lit(-1).alias("start"), F.lit(-1).alias("stop"))
@@ -151,11 +167,12 @@ def scan_licenses(docs: DataFrame, coverage: float = 0.8, slack: int = 3, base=N
     n, none = F.size("words"), F.array().cast("array<bigint>")
     paired = split.withColumn("pairs", F.when(n > 1, F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))).otherwise(none))
     fours = F.when(n > 3, F.zip_with(F.slice("pairs", F.lit(1), n - 3), F.slice("pairs", F.lit(3), n - 3), lambda a, b: F.xxhash64(a, b))).otherwise(none)
-    mark = F.array(F.xxhash64(F.lit(""), F.lit("")))
-    rolled = paired.select("row", "doc_id", n.alias("n_words"), F.posexplode(F.concat(mark, "pairs", fours)).alias("pos", "gram"))
-    # pairs stand at 1 to n - 1, runs of four words from n on
-    hits = rolled.join(F.broadcast(table), "gram").where(((F.col("template") < 0) == (F.col("pos") == 0)) & ((F.col("k") < 4) == (F.col("pos") < F.greatest("n_words", F.lit(1)))))
-    place = F.when(F.col("pos") < F.col("n_words"), F.col("pos") - 1).otherwise(F.col("pos") - F.col("n_words"))
+    likely = gram_filter(table)
+    near = lambda grams, k: F.filter(F.transform(grams, lambda g, i: F.when(likely(g), F.struct(F.lit(k).alias("run"), i.alias("place"), g.alias("gram")))), lambda x: x.isNotNull())
+    mark = F.array(F.struct(F.lit(1).alias("run"), F.lit(0).alias("place"), F.xxhash64(F.lit(""), F.lit("")).alias("gram")))
+    rolled = paired.select("row", "doc_id", n.alias("n_words"), F.explode(F.concat(mark, near(F.col("pairs"), 2), near(fours, 4))).alias("x")).select("row", "doc_id", "n_words", "x.*")
+    hits = rolled.join(F.broadcast(table), "gram").where(F.col("run") == F.col("k"))
+    place = F.col("place")
     key, of = ["row", "doc_id", "n_words"], ["template", "k", "size", "label", "is_base"]
     votes = hits.select(*key, *of, place.alias("place"), "at").groupBy(*key, *of, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_list(F.struct("place", "at")).alias("hits"))
     by = Window.partitionBy("row", "template").orderBy("diagonal")

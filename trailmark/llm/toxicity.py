@@ -81,7 +81,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(x: Rows, before: np.ndarray, y: np.ndarray, least: int = 5, sure: float = 3.0, l2: float = 0.2, steps: int = 150) -> Linear:
-    """Logistic regression by Adam over the buckets that ``least`` rows have and whose log-odds z-score is ``sure`` or more."""
+    """Logistic regression by Adam over the buckets that ``least`` rows have and whose log-odds z-score is ``sure`` or more, or, where
+    the sample is too small for such, over the 20 of largest score."""
     n, k = len(y), before.shape[1]
     if y.min(initial=1) == y.max(initial=0) or not n:
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(k), 0.0, float(y[0]) if n else 0.0)
@@ -90,7 +91,9 @@ def fit(x: Rows, before: np.ndarray, y: np.ndarray, least: int = 5, sure: float
     all_ = np.bincount(x.buckets, minlength=1 << BITS)
     p, q = (pos + 0.5) / (y.sum() + 1), (all_ - pos + 0.5) / (n - y.sum() + 1)
     z = np.abs(np.log(p / q)) / np.sqrt(1 / (pos + 0.5) + 1 / (all_ - pos + 0.5))
-    chosen = np.flatnonzero((all_ >= least) & (z >= sure))
+    z[all_ < least] = 0
+    best = np.argsort(-z, kind="stable")[: max(20, int((z >= sure).sum()))]
+    chosen = np.sort(best[z[best] > 0])
     to = np.full(1 << BITS, -1)
     to[chosen] = np.arange(len(chosen))
     keep = to[x.buckets] >= 0
@@ -120,11 +123,16 @@ class Chain:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The cut between two different probabilities that has the best F1 of those above which half the rows are positive; 0.5 where
+    there is none."""
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1, y.sum()))
-    i = int(f1.argmax()) if len(f1) else 0
-    return 0.5 if not len(f1) or not y.any() else float((p[order[i]] + (p[order[i + 1]] if i + 1 < len(p) else 0)) / 2)
+    p, hits = p[order], np.cumsum(y[order])
+    cuts = np.flatnonzero((p[:-1] > p[1:]) & (2 * hits[:-1] >= np.arange(1, len(p))))
+    if not len(cuts):
+        return 0.5
+    f1 = 2 * hits[cuts] / (cuts + 1 + y.sum())
+    i = int(cuts[f1.argmax()])
+    return float((p[i] + p[i + 1]) / 2)
 
 
 def fit_chain(x: Rows, labels: np.ndarray, names: list[str], folds: int = 4) -> Chain:
