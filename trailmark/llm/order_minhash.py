@@ -255,26 +255,33 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, functions: int = 3
     known = written(fetch_kmers(docs, written(needed, "needed")), "kmers")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = [aligned_similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) >= similarity for a, b in zip(batch.column("mine").to_pylist(), batch.column("kmers").to_pylist(), strict=True)]
-        return pa.record_batch([batch.column("hub"), batch.column("node"), pa.array(ok, pa.bool_())], names=["hub", "node", "ok"])
-
-    checked = written(_with_kmers(pairs, known).mapInArrow(in_slices(verify, "mine", SLICE), "hub long, node long, ok boolean"), "checked")
-    links = checked.where("ok").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        ok, prefix = [], []
+        for a, b in zip(batch.column("mine").to_pylist(), batch.column("kmers").to_pylist(), strict=True):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            ok.append(aligned_similarity(a, b, similarity) >= similarity)
+            prefix.append(family_prefix(a, b, similarity).tobytes())
+        return pa.record_batch([batch.column("hub"), batch.column("node"), pa.array(ok, pa.bool_()), pa.array(prefix, pa.binary())], names=["hub", "node", "ok", "prefix"])
+
+    met = pairs.union(pairs.select("hub", F.col("hub").alias("node")).distinct())  # a hub is of its own family
+    checked = written(_with_kmers(met, known).mapInArrow(in_slices(verify, "mine", SLICE), "hub long, node long, ok boolean, prefix binary"), "checked")
+    links = checked.where("ok AND hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     roots = written(components(links), "roots")
-    rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if not checked.where("NOT ok").isEmpty():
         # families of several classes: their members, by the k-mers of the family's prefix filter
-        members = rooted(checked.select("hub", "node").union(checked.select("hub", F.col("hub").alias("node")).distinct()))
-        several = lambda df, *keys: df.groupBy(*keys).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select(*keys)
-        open_ = members.join(several(members, "hub"), "hub").select("hub", "node")
+        rooted = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = lambda df, key: df.groupBy(key).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select(key)
 
         def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [family_prefix(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) for a, b in zip(batch.column("mine").to_pylist(), batch.column("kmers").to_pylist(), strict=True)]
+            found = [np.frombuffer(x, np.uint64) for x in batch.column("prefix").to_pylist()]
             n = np.array([len(x) for x in found], np.int64)
-            return pa.record_batch([pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("hub", "node")] + [pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["hub", "node", "key"])
-
-        prefixes = written(rooted(_with_kmers(open_, known).mapInArrow(in_slices(keyed, "mine", SLICE), "hub long, node long, key long")), "prefixes")
-        still = written(prefixes.join(several(prefixes, "hub", "key"), ["hub", "key"]).select("hub", "node", "root").distinct(), "open")
+            hub = np.repeat(batch.column("hub").to_numpy(), n)
+            key = mix(np.concatenate([np.zeros(0, np.uint64), *found]) ^ mix(hub.view(np.uint64)))
+            return pa.record_batch([pa.array(hub), *[pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("node", "root")], pa.array(key.view(np.int64))], names=["hub", "node", "root", "key"])
+
+        open_ = rooted(checked.join(written(several(rooted(checked.select("hub", "node")), "hub"), "several"), "hub")).select("hub", "node", "root", "prefix")
+        prefixes = written(open_.mapInArrow(in_slices(keyed, "prefix", SLICE), "hub long, node long, root long, key long"), "prefixes")
+        # these are written so that Spark knows their sizes: while they are small it doesn't shuffle the prefixes again
+        still = written(prefixes.join(written(several(prefixes, "key"), "crowded"), "key").select("hub", "node", "root").distinct(), "open")
         roots = components(links.union(_among(still, known, similarity, block)))
     named = written(placed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "rooted")
     least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
