@@ -1,14 +1,17 @@
 """Byte-level BPE of a tokenizer file, and a shortcut that gives the same ids or counts faster.
 
-The library tokenizes about 1.5 MB a second and core, so texts of common characters take another way: their pre-tokens come
-from the published pre-token pattern; for counts, only distinct pre-tokens are merged; for ids, a library that merges by rank does it.  Which characters count as common is fixed below:
-letters and signs that every Unicode version since 1.1 classes alike, so that two regular-expression engines split them alike.
-Any other text, and any text that holds a special string, goes through the library itself.
+The library tokenizes about 1.5 MB a second and core, so most texts take another way: their pre-tokens come from the published
+pre-token pattern; for counts, only distinct pre-tokens are merged; for ids, a library that merges by rank does it.  The shortcut is
+proved when the file is opened: the file must use that pattern without changing texts before, and for counts every character of the
+basic plane and of the emoji blocks is split by both regular-expression engines, beside letters, digits, signs and blanks; those that
+both split alike are common.  For ids common characters are fixed below: letters and signs that every Unicode version since 1.1 classes
+alike.  Any other text, and any text that holds a special string, goes through the library itself.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import re
 
 import numpy as np
@@ -34,6 +37,8 @@ class Bpe:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split = regex.compile(PATTERN).findall
+        self.usual = self._uses_pattern()
+        self.odd_for_counts = self._odd_characters() if self.usual else _odd
         self.whole = self._whole_tokens()
         self.counts: dict[str, int] = dict(self.whole)
         self.path: str = path
@@ -47,8 +52,28 @@ class Bpe:
         encoded = self.library.encode_batch_fast([t for t, _ in both], add_special_tokens=False)
         return {t: 1 for (t, i), e in zip(both, encoded, strict=True) if e.ids == [i]}
 
-    def plain(self, text: str) -> bool:
-        return not (_odd(text) or _long(text) or any(s in text for s in self.special))
+    def _uses_pattern(self) -> bool:
+        """The file splits texts by PATTERN, unchanged."""
+        file = json.loads(self.library.to_str())
+        how = file["pre_tokenizer"] or {}
+        return file["normalizer"] is None and how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space", True)
+
+    def _odd_characters(self):
+        """A search for characters that the two engines may split differently: all beyond the proved blocks, and those found to differ."""
+        tried = [chr(c) for c in [*range(0x20), *range(0x7F, 0xD800), *range(0xE000, 0x10000), *range(0x1F000, 0x1FC00)]]
+        different = []
+        for lo in range(0, len(tried), 4096):
+            part = tried[lo : lo + 4096]
+            text = "".join(f"a{c}1 {c}! {c}{c}b\n" for c in part)
+            theirs = [end for _, (_, end) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+            ours = np.cumsum([len(t) for t in self.split(text)])
+            for at in np.unique(np.setxor1d(theirs, ours) // 11):  # eleven characters each
+                different += part[max(0, at - 1) : at + 1]  # a border at a unit's end may be the next one's
+        apart = "|[" + re.escape("".join(dict.fromkeys(different))) + "]" if different else ""
+        return re.compile("[^\x00-\ud7ff\ue000-\uffff\U0001f000-\U0001fbff]" + apart).search
+
+    def plain(self, text: str, odd=_odd) -> bool:
+        return self.usual and not (odd(text) or _long(text) or any(s in text for s in self.special))
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text: a pre-token that is a whole token counts one, the rest are merged once each."""
@@ -58,7 +83,7 @@ class Bpe:
         split: list[tuple[int, list[str]]] = []
         rest: set[str] = set()
         for i, t in enumerate(texts):
-            if self.plain(t):
+            if self.plain(t, self.odd_for_counts):
                 split.append((i, got := self.split(t)))
                 rest.update(itertools.filterfalse(self.counts.__contains__, got))
             else:
@@ -72,8 +97,6 @@ class Bpe:
 
     def _by_rank(self, path: str):
         """The same vocabulary as ranks, if merges are in the order of their ids: then merging by rank gives the library's ids."""
-        import json
-
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
