@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark import schema
-from trailmark.functions.text import normalized_company, normalized_role, ordinal_bucket, uuid5_hex
+from trailmark.functions.text import normalized_company, normalized_role, once, ordinal_bucket, uuid5_hex
 
 # Namespaces of deterministic ids.
 APPLICATION_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
@@ -176,8 +176,10 @@ def quoted(c: Column) -> Column:
             out = out.when(ch == sign, F.lit("\\" + letter))
         return out.otherwise(units(ch))
 
-    plain = c.rlike(r"^[ !#-\[\]-~]*$")
-    return F.concat(F.lit('"'), F.when(plain, c).otherwise(F.array_join(F.transform(F.split(c, ""), escaped), "")), F.lit('"'))
+    def spelled(t: Column) -> Column:
+        return F.when(t.rlike(r"^[ !#-\[\]-~]*$"), t).otherwise(F.array_join(F.transform(F.split(t, ""), lambda ch: escaped(ch)), ""))
+
+    return F.concat(F.lit('"'), once(c, spelled), F.lit('"'))
 
 
 def application_id() -> Column:

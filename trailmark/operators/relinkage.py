@@ -129,11 +129,11 @@ def relink(x: DataFrame, told: DataFrame, apps: DataFrame, events: DataFrame, em
     left = events.join(judged.where("action = 'delete'").select("id"), "id", "left_anti").select(*events.columns)
     kept = proposed.join(blocked.select("email_id"), "email_id", "left_anti").select(*proposed.columns)
     wanted = cut(proposed_applications(kept, apps, left, emails, classes), "wanted")
-    next_apps, outcomes = snapshots.upsert_applications(apps, wanted, snapshots.merge_tombstones(corrections))
+    next_apps, outcomes = (cut(df, "upserted") for df in snapshots.upsert_applications(apps, wanted, snapshots.merge_tombstones(corrections)))
     taken = outcomes.where("outcome IN ('upserted', 'locked_unchanged')").select(F.col("id").alias("application_id"))
     new_events = _events_of(kept).dropDuplicates(["id"]).join(taken, "application_id", "left_semi")
     filled = new_events.select(*[F.col(c) if c in new_events.columns else F.lit(None).cast(k).alias(c) for c, k in events.dtypes])
-    next_events, judged_events = snapshots.upsert_events(left, filled, corrections)
+    next_events, judged_events = (cut(df, "upserted") for df in snapshots.upsert_events(left, filled, corrections))
     lost = judged.where("action = 'delete'").select(F.col("application_id").alias("id")).join(kept.select(F.col("application_id").alias("id")), "id", "left_anti")
     key = lambda kind, *parts: F.concat_ws(":", F.lit(kind), *parts)
     of_stale = blocked.select(key("application_event", "application_id", "email_id").alias("conflict_key"), F.lit("application_event").alias("conflict_type"), "application_id", F.col("email_id").alias("evidence_email_id"))

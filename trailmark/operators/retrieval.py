@@ -41,6 +41,17 @@ def mentions(chunks: DataFrame, emails: DataFrame, classes: DataFrame, term: str
     return first_mention(chunks, term).join(c.select("email_id"), "email_id", "left_semi").join(m, "email_id").orderBy(F.desc("sent_at"), "email_id")
 
 
+def eligible(emails: DataFrame, classes: DataFrame) -> DataFrame:
+    """Mails that may be indexed: job-related, with a retained body that isn't blank (P10)."""
+    related = classes.where("is_job_related").select(F.col("email_id").alias("id"))
+    return emails.where("body_retention_state = 'retained' AND trim(body_text) <> ''").join(related, "id", "left_semi")
+
+
+def applications_of_threads(apps: DataFrame, events: DataFrame, emails: DataFrame) -> DataFrame:
+    """provider, thread_id and each application of that thread, once."""
+    return thread_applications(events, emails).join(apps.withColumnRenamed("id", "application_id"), "application_id")
+
+
 def thread_applications(events: DataFrame, emails: DataFrame) -> DataFrame:
     """Which applications a thread's mails gave events to."""
     m = emails.where("trim(thread_id) <> ''").select(F.col("id").alias("email_id"), "provider", "thread_id")

@@ -183,3 +183,17 @@ def normalized_terms(terms: DataFrame) -> DataFrame:
     """term of filter terms, trimmed, lower-cased, without blanks and leading signs, once each."""
     plain = F.lower(F.trim(F.regexp_replace(F.trim("term"), r"^[@.]+|[.]+$", "")))
     return terms.select(plain.alias("term")).where("term <> ''").distinct()
+
+
+def sync_stats(emails: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row: mails, retained ones, candidates, the oldest and newest."""
+    candidates = decisions.where("outcome = 'candidate'").select("id", F.lit(True).alias("candidate"))
+    wide = emails.join(candidates, "id", "left")
+    return wide.agg(F.count("*").alias("mails"), count_if(F.col("body_retention_state").isin("retained", "debugging")).alias("retained"), count_if(F.col("candidate")).alias("candidates"), F.min("sent_at").alias("oldest"), F.max("sent_at").alias("newest"))
+
+
+def pipeline_status(stages: DataFrame, unclassified: DataFrame, state: DataFrame) -> DataFrame:
+    """The state of a pipeline with its counts and what to do next (X36).  stages: of stage_counts; unclassified: of candidate_stats; state: one row."""
+    counts = stages.groupBy().pivot("stage", ["raw_emails", "retained_bodies", "applications"]).agg(F.first("rows"))
+    wide = state.join(F.broadcast(counts)).join(F.broadcast(unclassified.select(F.col("candidates").alias("unclassified"))))  # one row each
+    return next_action(wide)

@@ -364,6 +364,23 @@ query(
         j.apps.withColumns({"company": F.when(F.col("id").cast("long") % 2 == 0, "  ").otherwise(F.col("company")), "role_title": F.when(F.col("id").cast("long") % 3 != 0, F.col("role_title"))})
     ).select("id", "company", "role_title")
 )
+query(
+    "x31_x33_sync_stats",
+    "SELECT count(*) AS mails, count(*) FILTER (WHERE body_retention_state IN ('retained', 'debugging')) AS retained, (SELECT count(*) FROM <decided> WHERE outcome = 'candidate') AS candidates, min(sent_at) AS oldest, max(sent_at) AS newest FROM <raw_emails>",
+    _DECIDED,
+)(lambda j: status.sync_stats(j.emails, _decisions(j)))
+query(
+    "x36_pipeline_status",
+    """SELECT (SELECT count(*) FROM <raw_emails>) AS raw_emails, (SELECT count(*) FROM <applications>) AS applications, u.candidates AS unclassified, CASE WHEN u.candidates > 0 THEN 'run_classification' ELSE 'review_dashboard' END AS next_action
+       FROM (SELECT count(*) AS candidates FROM <raw_emails> m LEFT JOIN <email_classifications> c ON c.email_id = m.id
+             WHERE body_retention_state = 'retained' AND trim(body_text) <> '' AND (c.email_id IS NULL OR c.model <> 'model-1' OR c.prompt_version <> 'v2')) u""",
+)(
+    lambda j: status.pipeline_status(
+        status.stage_counts(j.emails, j.emails.select("id", F.lit("candidate").alias("outcome")), j.classes, j.apps, j.events),
+        status.candidate_stats(j.emails, j.classes, *_MODEL),
+        j.spark.createDataFrame([(True, False, False, False, "completed", None)], "connected boolean, reauth_required boolean, sync_running boolean, sync_failed boolean, backfill_state string, last_error string"),
+    ).select("raw_emails", "applications", "unclassified", "next_action")
+)
 query("x30_normalized_terms", "SELECT DISTINCT lower(source) || '.example' AS term FROM <documents> WHERE source IS NOT NULL")(
     lambda j: status.normalized_terms(j.view("documents").where("source IS NOT NULL").select(F.concat(F.lit(" @"), F.upper("source"), F.lit(".Example. ")).alias("term")).union(j.spark.createDataFrame([(" ",), ("@",)], "term string")))
 )

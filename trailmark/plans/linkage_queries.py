@@ -59,6 +59,29 @@ query(
 )(lambda j: j.apps.select("id", text.normalized_role("role_title").alias("role_key")))
 query("f14_page_text")(lambda j: j.view("pages").select("page_id", text.page_text("html").alias("body")))
 query("f15_chunks")(lambda j: text.chunked(j.emails))
+#: Texts with each kind of secret or mail content, and named hard cases of company and role keys.
+_SECRETS = {
+    "secrets": """SELECT doc_id AS id, doc_id % 10 AS kind, CASE doc_id % 10 WHEN 0 THEN 'Authorization: Bearer abc.def' WHEN 1 THEN 'sent bearer xyz9, ok' WHEN 2 THEN 'api_key=abc123&x=1' WHEN 3 THEN '"password": "hunter2", "a": 1'
+        WHEN 4 THEN 'client-secret: s3cr3t next' WHEN 5 THEN '"body_text": "a private mail", "b": 2' WHEN 6 THEN 'html_body = "x y" end' WHEN 7 THEN 'raw_body = all the rest' WHEN 8 THEN 'snippet: all the rest' ELSE 'nothing to hide' END AS said FROM <documents>"""
+}
+query(
+    "f16_all_redactions",
+    """SELECT id, CASE kind WHEN 0 THEN 'Authorization: Bearer [REDACTED]' WHEN 1 THEN 'sent bearer [REDACTED], ok' WHEN 2 THEN 'api_key=[REDACTED]&x=1' WHEN 3 THEN '"password": "[REDACTED]", "a": 1' WHEN 4 THEN 'client-secret: [REDACTED] next'
+              WHEN 5 THEN '"body_text": "[REDACTED_EMAIL_CONTENT]", "b": 2' WHEN 6 THEN 'html_body = [REDACTED_EMAIL_CONTENT]' WHEN 7 THEN 'raw_body = [REDACTED_EMAIL_CONTENT]' WHEN 8 THEN 'snippet: [REDACTED_EMAIL_CONTENT]' ELSE said END AS body FROM <secrets>""",
+    _SECRETS,
+)(lambda j: j.view("secrets", _SECRETS).select("id", text.redacted(F.col("said")).alias("body")))
+_NAMES = {
+    "hard_names": """SELECT doc_id AS id, doc_id % 8 AS kind, CASE doc_id % 8 WHEN 0 THEN '  OpenAI, Inc.  ' WHEN 1 THEN 'The Example Group LLC' WHEN 2 THEN 'Johnson & Johnson' WHEN 3 THEN 'jobs.example.com LLC' WHEN 4 THEN 'Example S.A.R.L.'
+        WHEN 5 THEN 'Müller & Co. KG' WHEN 6 THEN 'jobs&#46;example&#46;com' ELSE 'www.data.ai' END AS company, CASE doc_id % 8 WHEN 0 THEN '  Senior SWE II - Backend (Remote)  ' WHEN 1 THEN 'C++ Software Engineer' WHEN 2 THEN 'Machine Learning Software Engineer'
+        WHEN 3 THEN 'Software Engineer - New York, NY' WHEN 4 THEN 'Staff Product Manager - Growth' WHEN 5 THEN 'Software Engineer IC4' WHEN 6 THEN '---' ELSE 'Frontend Engineer' END AS role FROM <documents>"""
+}
+query(
+    "f01_f02_hard_names",
+    """SELECT id, CASE kind WHEN 0 THEN 'openai' WHEN 1 THEN 'example group' WHEN 2 THEN 'johnson and johnson' WHEN 3 THEN 'example' WHEN 4 THEN 'example' WHEN 5 THEN 'muller and co kg' WHEN 6 THEN 'example' ELSE 'data' END AS company_key,
+              CASE kind WHEN 0 THEN 'back end software engineer' WHEN 1 THEN 'c plus plus software engineer' WHEN 2 THEN 'machine learning engineer' WHEN 3 THEN 'software engineer' WHEN 4 THEN 'growth product manager' WHEN 5 THEN 'software engineer'
+                        WHEN 7 THEN 'front end software engineer' END AS role_key FROM <hard_names>""",
+    _NAMES,
+)(lambda j: j.view("hard_names", _NAMES).select("id", text.normalized_company("company").alias("company_key"), text.normalized_role("role").alias("role_key")))
 query("f16_redaction", "SELECT id, regexp_replace(body_text, '(token = )(\"?)([0-9a-f]+)(\"?)', '\\1\\2[REDACTED]\\4', 'g') AS body FROM <raw_emails> WHERE body_text IS NOT NULL")(
     lambda j: j.emails.where("body_text IS NOT NULL").select("id", text.redacted(F.col("body_text")).alias("body"))
 )

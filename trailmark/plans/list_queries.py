@@ -174,3 +174,11 @@ query(
         "embed-2",
     )
 )
+query(
+    "p10_eligible_mails",
+    "SELECT m.id FROM <raw_emails> m WHERE m.body_retention_state = 'retained' AND trim(m.body_text) <> '' AND m.id IN (SELECT email_id FROM <email_classifications> WHERE is_job_related)",
+)(lambda j: retrieval.eligible(j.emails, j.classes).select("id"))
+query(
+    "j15_applications_of_threads",
+    "SELECT DISTINCT m.provider, m.thread_id, a.id AS application_id, a.company FROM <applications> a JOIN <application_events> e ON e.application_id = a.id JOIN <raw_emails> m ON m.id = e.email_id WHERE m.thread_id IS NOT NULL AND length(trim(m.thread_id)) > 0",
+)(lambda j: retrieval.applications_of_threads(j.apps, j.events, j.emails).select("provider", "thread_id", "application_id", "company"))

@@ -42,6 +42,19 @@ def _payloads(j: JobSearch) -> DataFrame:
     return j.view("pages").select("page_id", F.to_json(F.struct(F.lit("multipart/alternative").alias("mimeType"), F.array(part).alias("parts"))).alias("payload"))
 
 
+#: Payloads whose data is sound, not base64, not text, or missing.
+def _mixed(j: JobSearch) -> DataFrame:
+    data = F.when(F.col("page_id") % 4 == 0, F.lit("YWJj")).when(F.col("page_id") % 4 == 1, F.lit("//79")).when(F.col("page_id") % 4 == 2, F.lit("é"))
+    kind = F.when(F.col("page_id") % 4 == 3, "image/png").otherwise("text/plain")
+    return j.view("pages").select("page_id", F.to_json(F.struct(kind.alias("mimeType"), F.struct(data.alias("data")).alias("body"))).alias("payload"))
+
+
+query("s09_body_failures", "SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 'unsupported_content' ELSE 'invalid_body_data' END AS reason FROM <pages> WHERE page_id % 4 <> 0")(lambda j: mail.bodies_and_failures(_mixed(j))[1])
+query("s08_fetched_bodies", "SELECT page_id, 'abc' AS body_text, 'plain' AS source, false AS truncated FROM <pages> WHERE page_id % 4 = 0")(lambda j: mail.bodies_and_failures(_mixed(j))[0])
+_HTML = {"labelled_plain": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN chr(60) || 'p>kept' || chr(60) || '/p>' ELSE 'a < b and c > d ' || CAST(page_id AS STRING) END AS body_text FROM <pages>"}
+query("x25_plain_bodies", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'kept' ELSE body_text END AS body_text, CASE WHEN page_id % 2 = 0 THEN 'html_converted' ELSE 'plain' END AS source FROM <labelled_plain>", _HTML)(
+    lambda j: mail.plain_bodies(j.view("labelled_plain", _HTML))
+)
 query("s10_retained_bodies")(lambda j: _payloads(j).select("page_id", mail.retained_body(F.col("payload")).alias("b")).select("page_id", "b.*"))
 
 

@@ -9,11 +9,11 @@ from collections.abc import Iterator
 from email.utils import getaddresses, parsedate_to_datetime
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trailmark.functions.text import html_to_text
+from trailmark.functions.text import html_to_text, page_text
 
 BODY = StructType().add("body_text", "string").add("source", "string").add("truncated", "boolean").add("problem", "string")
 
@@ -80,6 +80,27 @@ def retained_body(payload_json: Column, most: int | None = None) -> Column:
     return run(payload_json)
 
 
+def bodies_and_failures(payloads: DataFrame, payload: str = "payload", most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What could be read, and what could not with its reason (S08-S09): fetched payloads are decoded row by row in parallel, and a
+    bad one goes to the side table instead of failing its batch."""
+    keys = [c for c in payloads.columns if c != payload]
+    read = payloads.select(*keys, retained_body(F.col(payload), most).alias("b")).select(*keys, "b.*")
+    good = F.col("problem").isNull()
+    return read.where(good).drop("problem"), read.where(~good).select(*keys, F.col("problem").alias("reason"))
+
+
+def is_html(body: Column) -> Column:
+    """Whether a body labelled plain is HTML after all (X25): it has a tag that ends, and no other text before it."""
+    return body.rlike(r"(?is)^\s*(?:<!doctype html|<(?:html|head|body|div|p|table|span|br|a)\b[^>]*>)")
+
+
+def plain_bodies(bodies: DataFrame) -> DataFrame:
+    """Bodies with HTML turned into text; source says which."""
+    html = F.coalesce(is_html(F.col("body_text")), F.lit(False))
+    marked = bodies.withColumn("html", F.when(html, F.col("body_text")))
+    return marked.withColumns({"body_text": F.when(html, page_text("html")).otherwise(F.col("body_text")), "source": F.when(html, "html_converted").otherwise("plain")}).drop("html")
+
+
 def addresses(header: Column) -> Column:
     """The distinct addresses of a To or From header, in order."""
 
