@@ -170,7 +170,8 @@ def fetch_kmers(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
     rows = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.col("text").cast("string"))
     found = rows.mapInArrow(in_slices(make, step=SLICE), "id long, key1 long, key2 long, kmers binary")
-    return found.join(needed, ["key1", "key2", "id"]).select("node", "kmers").groupBy("node").agg(F.first("kmers").alias("kmers"))
+    # grouped by the join's own keys too, so that a shuffled join isn't followed by another shuffle
+    return found.join(needed, ["key1", "key2", "id"]).groupBy("key1", "key2", "id", "node").agg(F.first("kmers").alias("kmers")).select("node", "kmers")
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -280,14 +281,28 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, functions: int = 3
 
         open_ = rooted(checked.join(written(several(rooted(checked.select("hub", "node")), "hub"), "several"), "hub")).select("hub", "node", "root", "prefix")
         prefixes = written(open_.mapInArrow(in_slices(keyed, "prefix", SLICE), "hub long, node long, root long, key long"), "prefixes")
-        # these are written so that Spark knows their sizes: while they are small it doesn't shuffle the prefixes again
-        still = written(prefixes.join(written(several(prefixes, "key"), "crowded"), "key").select("hub", "node", "root").distinct(), "open")
+        crowded = written(several(prefixes, "key"), "crowded")
+        still = written(_likely(prefixes, crowded).join(crowded, "key").select("hub", "node", "root").distinct(), "open")
         roots = components(links.union(_among(still, known, similarity, block)))
     named = written(placed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "rooted")
     least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return named.join(written(least, "classes"), "root").select("doc_id", "class_id")
 
 
+def _likely(prefixes: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The prefix rows whose key is in crowded, and some others: a filter of bounded size, so that not all of them are shuffled."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * crowded.count()).bit_length()))
+    keep = prefixes.sparkSession.sparkContext.broadcast(_filter_of(crowded.select(F.col("key").alias("key1"), F.lit(0).cast("long").alias("id")), bits))
+
+    def make(batches):
+        for b in batches:
+            key = b.column("key").to_numpy()
+            slot = _slots(key, np.zeros(len(key), np.int64), bits)
+            yield b.filter(pa.array((keep.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
+
+    return prefixes.mapInArrow(make, prefixes.schema)
+
+
 def _with_kmers(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """hub, node, mine (the node's k-mers), kmers (the hub's)."""
     mine, theirs = known.withColumnRenamed("kmers", "mine"), known.withColumnRenamed("node", "hub")
