@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, pick, written
+from .common import in_slices, pick, release, written
 from .wordhash import hash_words, mix, powers, rolling
 
 MIN_WORDS = 50
@@ -151,8 +151,9 @@ def _extended(window: int):
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield from make(b)
+            for lo in range(0, b.num_rows, 4096):
+                yield from make(b.slice(lo, 4096))
+        release()
 
     return run_all
 
