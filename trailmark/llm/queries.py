@@ -85,6 +85,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import linked_components
+
+    return linked_components(table(spark, sf_dir, "embeddings"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import divergence
 
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_top_k": op9_top_k,
     "op10_toxicity": op10_toxicity,
     "op11_spelling": op11_spelling,
+    "op12_embedding_duplicates": op12_embedding_duplicates,
     "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
@@ -171,6 +178,19 @@ ORACLE_SQL: dict[str, str] = {
         ), last AS (SELECT word, arg_max(root, step) AS root FROM steps GROUP BY word)
         SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed JOIN last USING (word)
     """,
+    "op12_embedding_duplicates": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+        ), reach(vec_id, other) AS (
+            SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+        ), least AS (SELECT vec_id, min(other) AS component FROM reach GROUP BY vec_id),
+        counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+        SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component, e.vec_id) AS component_id, coalesce(component, e.vec_id) = e.vec_id AS kept
+        FROM embeddings e LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
+    """,
     "op13_divergence": r"""
         WITH docs AS (
             SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
