@@ -258,3 +258,80 @@ def test_spelling_of_awkward_rows(spark):
     got = {tuple(r) for r in spelling.spelling_groups(table).collect()}
     assert got == grouped(words_of(docs))
     assert spelling.spelling_groups(table.limit(0)).collect() == []
+
+
+# -- faults found in earlier operators ---------------------------------------------------------------------------------------------
+
+
+def test_items_of_one_id_are_items_of_their_own(spark):
+    from trailmark.llm import tiling
+
+    first, second = " ".join(f"a{i}" for i in range(10)), " ".join(f"b{i}" for i in range(10))
+    halves = " ".join(first.split()[:5] + second.split()[5:])
+    docs = spark.createDataFrame([(1, halves), (2, "x " + first), (None, second)], "doc_id long, text string")
+    for ids in ((10, 11), (10, 10), (None, None)):
+        items = spark.createDataFrame([(ids[0], first), (ids[1], second), (ids[1], second)], "item_id long, text string")
+        got = sorted(((r["doc_id"], r["item_id"]) for r in tiling.find_leaks(docs, items).collect()), key=repr)
+        assert got == sorted([(2, ids[0]), (None, ids[1])], key=repr)
+
+
+def test_passages_in_documents_of_any_id(spark):
+    from trailmark.llm import suffix_dedup
+
+    text = " ".join(f"w{i * i}" for i in range(70))
+    low, high = -(2**63), 2**63 - 1
+    ids = [low, low + 1, low + 2, -(2**62) + 5, -(2**61) - 7, -(2**61), -1, 0, 3, high]
+    for some in (ids, [low + 1, 3], [low + 1, None], [-(2**62) + 5, None]):
+        docs = spark.createDataFrame([(i, " ".join([f"p{n}x{j}" for j in range(n)] + [text])) for n, i in enumerate(some)], "doc_id long, text string")
+        got = {r["doc_id"]: r["spans"] for r in suffix_dedup.repeated_passages(docs).collect()}
+        assert got == {i: f"{n}-{n + 70}" for n, i in enumerate(some) if i is not None}
+
+
+def test_samples_of_very_large_tables_are_not_empty(spark, monkeypatch):
+    """A table that claims 10**13 rows: the part of a hash's values that is sampled is small, not none."""
+    from trailmark.llm import common, language_id
+
+    docs = spark.createDataFrame([(1, "text", "en")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(docs), "count", lambda self: 10**13)
+    plan = language_id.training_rows(docs, 6000)._jdf.queryExecution().analyzed().toString()
+    bound = int(6000 / 10**13 * common.GRAIN)
+    assert bound > 10**9 and str(bound) in plan
+
+
+def test_pipeline_stage_drops_just_the_leaks(spark, small, tmp_path):
+    """The decontaminate stage against seeds compared in plain Python, for texts that hold a whole item or less than its share."""
+    import corpus_pipeline
+
+    docs, items = (duckdb.sql(f"SELECT * FROM '{small}/{t}.parquet'").df() for t in ("documents", "benchmark"))
+    docs["words"] = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) for t in docs["text"]]
+    runs = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in docs["words"]]
+    whole, clear = set(), set(docs["doc_id"])
+    for text in items["text"]:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        for d, has in zip(docs["doc_id"], runs, strict=True):
+            covered = {i + k for i in range(len(w) - 4) if tuple(w[i : i + 5]) in has for k in range(5)}
+            if len(covered) == len(w):
+                whole.add(d)
+            if len(covered) >= 0.7 * len(w):
+                clear.discard(d)
+    kept = {r["doc_id"] for r in corpus_pipeline.decontaminated(spark, spark.read.parquet(f"{small}/documents.parquet"), small).collect()}
+    assert whole and not whole & kept and clear <= kept
+
+
+def test_rows_are_numbered_alike_whenever_they_are_read(spark, small, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs.union(docs).repartition(7).write.parquet(str(tmp_path / "many"))
+    table = spark.read.parquet(str(tmp_path / "many"))
+    rows = corpus_pipeline.numbered(table)
+    assert corpus_pipeline.is_scan(table) and rows.select("doc_row").distinct().count() == 2 * docs.count()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        again = corpus_pipeline.numbered(table)
+        assert rows.select("doc_row", "doc_id", "text").exceptAll(again.select("doc_row", "doc_id", "text")).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for other in (docs.union(docs), docs.where("doc_id > 3"), docs.join(docs.select("doc_id"), "doc_id")):
+        assert not corpus_pipeline.is_scan(other)
+        assert corpus_pipeline.numbered(other).select("doc_row").distinct().count() == other.count()

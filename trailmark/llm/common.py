@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: A sample's share of all rows is taken as a part of this many values of a hash: of any number of rows some are sampled.
+GRAIN = 1 << 62
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_slices, pick
+from .common import GRAIN, in_slices, pick
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -49,7 +49,7 @@ def ngram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 def training_rows(docs: DataFrame, sample_rows: int) -> DataFrame:
     """About ``sample_rows`` labelled rows at most, none of them held out."""
     share = min(1.0, sample_rows / max(1, docs.count()))
-    kept = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)
+    kept = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(GRAIN)) < int(share * GRAIN)
     return pick(docs, "doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & kept).select("text", "lang")
 
 

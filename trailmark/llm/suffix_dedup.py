@@ -39,6 +39,8 @@ WINDOW = 25
 _NAMELESS = 1 << 61
 #: Stands for all documents that have a confirmed passage.
 _CONFIRMED = -(1 << 63) + 1
+#: Stands for the document that has this very id.
+_OF_THAT_ID = -(1 << 62) + 12345
 
 
 def minimisers(column: pa.Array, min_words: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -222,15 +224,18 @@ def shared_rows(rows: DataFrame, name: str) -> DataFrame:
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """doc_id, n_spans, n_words (in spans) and spans (start-end in words, end exclusive) of documents that share a passage."""
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    nameless = -(F.pmod(F.xxhash64(text), F.lit(_NAMELESS)) + F.lit(_NAMELESS))  # ids far below any in use
-    texts = pick(docs, "doc_id", "text").where("text IS NOT NULL").select(F.coalesce(doc_id, nameless).alias("id"), text.alias("text"))
+    nameless = -(F.pmod(F.xxhash64(text), F.lit(_NAMELESS)) + F.lit(_NAMELESS))  # a hash below -_NAMELESS
+    named = F.when(doc_id == _CONFIRMED, F.lit(_OF_THAT_ID)).otherwise(doc_id)
+    texts = pick(docs, "doc_id", "text").where("text IS NOT NULL").select(F.coalesce(named, nameless).alias("id"), text.alias("text"))
     survivors = shared_rows(suffixes(texts, min_words, window), "suffixes")
     around = survivors.groupBy("id").agg(F.collect_set("place").alias("places"))
     ordered = contexts(texts.join(around, "id"), min_words, window).repartitionByRange("key", "after", "id", "place").sortWithinPartitions("key", "after", "id", "place")
     extended = written(ordered.mapInArrow(_extended(window), "kind int, key long, id long, low int, high int"), "extended")
     more = shared_rows(extended.where("kind > 0").select("key", "id", F.col("low").alias("place")), "passages")
     found = extended.where("kind = 0").select("id", "low", "high").unionByName(more.select("id", F.col("place").alias("low"), F.col("place").alias("high")))
-    starts = found.where(F.col("id") > -_NAMELESS).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("ranges"))
+    low = pick(docs, "doc_id").select(named.alias("id")).where(F.col("id") <= -_NAMELESS).distinct()  # ids in use that look nameless
+    found = found.where(F.col("id") > -_NAMELESS).unionByName(found.where(F.col("id") <= -_NAMELESS).join(low, "id", "left_semi"))
+    starts = found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("ranges"))
 
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, words, spans = [], [], []
@@ -244,4 +249,5 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
             spans.append(",".join(f"{x}-{y}" for x, y in zip(a.tolist(), b.tolist(), strict=True)))
         return pa.record_batch([batch.column("id"), pa.array(n, pa.int64()), pa.array(words, pa.int64()), pa.array(spans, pa.string())], names=["doc_id", "n_spans", "n_words", "spans"])
 
-    return starts.mapInArrow(in_slices(merge, "ranges"), "doc_id long, n_spans long, n_words long, spans string")
+    out = starts.mapInArrow(in_slices(merge, "ranges"), "doc_id long, n_spans long, n_words long, spans string")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") == _OF_THAT_ID, F.lit(_CONFIRMED)).otherwise(F.col("doc_id")))

@@ -12,8 +12,9 @@ has; it may let others through, and the join settles those.  So nothing that gro
 shuffled: one row for each distinct seed of a text, with all its places, so words that repeat make no products of rows.  Groups are
 single document-item pairs.
 
-Null texts, and texts and items without words, match nothing.  Repeated items give a row each only if their item_ids
-differ; repeated documents give a row each.  Extra columns are left out.
+Null texts, and texts and items without words, match nothing.  Items of one item_id (or of none) with different texts are items of
+their own; repeated items of one item_id give one row, those of different ids, and repeated documents, a row each.  Extra columns are
+left out.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, pick
+from .common import in_slices, pick, written
 from .wordhash import hash_words, rolling
 
 FILTER_BITS = 24
@@ -142,11 +143,12 @@ def tile(places: np.ndarray, item_places: np.ndarray, words: int, k: int) -> lis
 
 def find_leaks(docs: DataFrame, items: DataFrame, seed: int = 5, coverage: float = 0.7) -> DataFrame:
     """doc_id, item_id, coverage, tiles, first_word for each document row and item whose tiles cover enough of the item."""
+    items = written(pick(items, "item_id", "text").distinct(), "items")
     sizes = sizes_of(items, seed)
     own = seed_rows(docs, "doc_id", sizes, seed_filter(items, sizes)).withColumnRenamed("id", "doc_id").drop("words")
-    theirs = seed_rows(items, "item_id", sizes).select(F.col("id").alias("item_id"), "words", "size", F.col("places").alias("item_places"), "seed").distinct()
+    theirs = seed_rows(items, "item_id", sizes).select(F.col("row").alias("item"), F.col("id").alias("item_id"), "words", "size", F.col("places").alias("item_places"), "seed")
     shared = own.join(theirs, ["seed", "size"])
-    pairs = shared.groupBy("row", "doc_id", "item_id", "words", "size").agg(F.collect_list("places").alias("places"), F.collect_list("item_places").alias("item_places"))
+    pairs = shared.groupBy("row", "item", "doc_id", "item_id", "words", "size").agg(F.collect_list("places").alias("places"), F.collect_list("item_places").alias("item_places"))
     likely = pairs.where(F.size(F.array_distinct(F.flatten("item_places"))) * F.col("size") >= coverage * F.col("words"))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:

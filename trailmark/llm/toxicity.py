@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, pick
+from .common import GRAIN, in_slices, pick
 from .wordhash import hash_words
 
 BITS = 20
@@ -156,10 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     names = list(categories)
     share = min(1.0, 1.2 * sample_rows / max(1, labels.count()))
     first = F.xxhash64(F.col("doc_id").cast("string"))
-    kept = F.pmod(first, F.lit(1_000_000)) < int(share * 1_000_000)
+    kept = F.pmod(first, F.lit(GRAIN)) < int(share * GRAIN)
     known = labels.where(kept & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(c.cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories.values())])
     once = known.groupBy("doc_id").agg(F.array(*[F.max(f"y{i}") for i in range(len(names))]).alias("y"))
-    sample = once.orderBy(F.pmod(first, F.lit(1_000_000)), "doc_id").limit(sample_rows)
+    sample = once.orderBy(F.pmod(first, F.lit(GRAIN)), "doc_id").limit(sample_rows)
     found = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(sample), "doc_id")  # sample_rows bounds it
     rows = found.groupBy("doc_id", "y").agg(F.min(F.col("text").cast("string")).alias("text"))
 
