@@ -13,10 +13,27 @@ from trailmark.llm.common import pick, table, written
 from trailmark.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Files whose list is broadcast, some 10 MB.
+MOST_FILES = 1 << 16
+
+
+def is_scan(docs: DataFrame) -> bool:
+    """Is docs just a table of files, so that each row has a place in a file that is its own?"""
+    plan = getattr(docs, "_jdf", None) and docs._jdf.queryExecution().analyzed()
+    return bool(plan) and plan.getClass().getSimpleName() == "LogicalRelation"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written so that it stays: doc_ids may be null or repeated, and decisions are on rows."""
+    """docs with a number for each row that is the same whenever it is read: doc_ids may be null or repeated, and decisions are on rows.
+
+    Rows of a table of files are numbered by file and place in it, if the files are ``MOST_FILES`` at most (their list is broadcast).  Rows
+    of more files, or of a DataFrame that is more than a table, are written with their numbers once."""
+    if is_scan(docs):
+        placed = docs.select(*[F.col(f"`{c}`") for c in COLUMNS], F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+        files = [r["file"] for r in placed.select("file").distinct().limit(MOST_FILES + 1).collect()]
+        if len(files) <= MOST_FILES:
+            of_file = docs.sparkSession.createDataFrame(list(enumerate(sorted(files))), "number long, file string")
+            return placed.join(F.broadcast(of_file), "file").select(*COLUMNS, (F.shiftleft("number", 44) + F.col("place")).alias("doc_row"))
     return written(pick(docs, *COLUMNS).withColumn("doc_row", F.monotonically_increasing_id()), "numbered")
 
 
