@@ -2,7 +2,8 @@
 
 ``extractions`` has one row for each classified mail: email_id, thread_id, sent_at, classified_at, category, seq (its place in the
 batch) and what was read from it.  Everything is a join, a grouped aggregate or a window, but for the two rules that depend on the
-order of a thread's or a key's mails: those run for each thread or key in ``applyInPandas``.
+order of a thread's or a key's mails: missing names are filled for each thread in ``applyInPandas``, and a key's attempts are folded in
+slices (attempts.py).
 """
 
 from __future__ import annotations
@@ -15,15 +16,12 @@ from pyspark.sql import functions as F
 
 from trailmark import schema
 from trailmark.functions.text import normalized_company, normalized_role, once, ordinal_bucket, uuid5_hex
+from trailmark.operators.attempts import GROUP, STATUS_OF_EVENT, attempts, folded_status, later
 
 # Namespaces of deterministic ids.
 APPLICATION_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 EVENT_NAMESPACE = "6ba7b812-9dad-11d1-80b4-00c04fd430c8"
-STATUS_OF_EVENT = {"applied": "applied", "response": "in_review", "assessment": "assessment", "interview_scheduled": "interview", "rejection": "rejected", "offer": "offer", "ghost_inferred": "ghosted"}
 EVENT_OF_STATUS = {"applied": "applied", "in_review": "response", "assessment": "assessment", "interview": "interview_scheduled", "offer": "offer", "rejected": "rejection"}
-TERMINAL, HARD_TERMINAL = ("offer", "rejected", "ghosted", "withdrawn"), ("offer", "rejected", "withdrawn")
-ACTIVE_EVENTS = ("assessment", "interview_scheduled", "offer")
-GROUP = ("company_key", "role_key", "thread", "bucket")
 #: Fields of an application that the first mail which tells them decides.
 FIRST_KNOWN = ("currency", "location", "work_mode", "seniority")
 
@@ -107,59 +105,6 @@ def keyed(x: DataFrame) -> DataFrame:
     return named.withColumn("bucket", F.when(F.col("thread").isNull(), ordinal_bucket(F.to_date("at"))))
 
 
-def starts_new_attempt(event: str, status: str, idle: pd.Timedelta) -> bool:
-    stale = idle >= pd.Timedelta(days=schema.STALE_ATTEMPT_DAYS)
-    if event == "applied":
-        return status in TERMINAL or stale
-    return event in ACTIVE_EVENTS and (status in HARD_TERMINAL or stale)
-
-
-def next_status(status: str, event: str, extracted: str | None) -> str:
-    to = STATUS_OF_EVENT.get(event) or extracted
-    stays = to is None or (event == "response" and status not in ("applied", "in_review", "ghosted"))
-    return status if stays else to
-
-
-def attempts(x: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Splits each key's mails into attempts (L07): adds attempt_started_at, null for a key's first attempt.
-
-    existing: the key's columns, attempt_started_at, status, first_at, last_at, email_ids of attempts that were found before; mails
-    that one owns stay with it.  A session rule that depends on state, so each key's mails are folded in order.
-    """
-    old_schema = "company_key string, role_key string, thread string, bucket date, attempt_started_at timestamp_ntz, status string, first_at timestamp_ntz, last_at timestamp_ntz, email_ids array<string>"
-    old = existing if existing is not None else x.sparkSession.createDataFrame([], old_schema)
-    out = x.withColumn("attempt_started_at", F.lit(None).cast("timestamp_ntz"))
-
-    def split(key, mails: pd.DataFrame, had: pd.DataFrame) -> pd.DataFrame:
-        mails = mails.sort_values(["at", "classified_at", "seq"], kind="stable")
-        found = [{"key": r.attempt_started_at, "status": r.status, "first": r.first_at, "last": r.last_at, "mails": set(r.email_ids)} for r in had.itertuples()]
-        keys = []
-        for r in mails.itertuples():
-            owner = next((a for a in found if r.email_id in a["mails"]), None)
-            a = owner or max((a for a in found if a["first"] <= r.at), key=lambda a: a["first"], default=None)
-            if a is None and found:
-                a = min(found, key=lambda a: a["first"])
-            elif a is None or (owner is None and r.at > a["last"] and starts_new_attempt(r.event, a["status"], r.at - a["last"])):
-                later = min((b for b in found if b["first"] > r.at), key=lambda b: b["first"], default=None)
-                if a is not None and later is not None:
-                    a = later
-                else:
-                    a = {"key": None if a is None else r.at, "status": "applied", "first": r.at, "last": r.at, "mails": set()}
-                    found.append(a)
-            keys.append(a["key"])
-            a["mails"].add(r.email_id)
-            a["last"] = max(a["last"], r.at)
-            a["status"] = next_status(a["status"], r.event, r.status)
-        mails["attempt_started_at"] = pd.to_datetime(pd.Series(keys, index=mails.index, dtype=object))
-        return mails
-
-    same = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"g_{c}") for c in GROUP]
-    left = out.select("*", *same).groupBy(*[f"g_{c}" for c in GROUP])
-    right = old.select("*", *same).groupBy(*[f"g_{c}" for c in GROUP])
-    drop = [f"g_{c}" for c in GROUP]
-    return left.cogroup(right).applyInPandas(lambda k, a, b: split(k, a, b).drop(columns=drop), out.schema)
-
-
 def _json(fields: list[tuple[str, Column]]) -> Column:
     """Canonical JSON (sorted keys, no blanks) of strings and numbers that need no escapes."""
     parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null"))) for k, v in sorted(fields, key=lambda f: f[0])]
@@ -197,35 +142,45 @@ def event_id() -> Column:
     return uuid5_hex(EVENT_NAMESPACE, _json([("application_id", quoted(F.col("application_id"))), ("email_id", quoted(F.col("email_id"))), ("event_type", quoted(F.col("event"))), ("event_at", quoted(iso))]))
 
 
+def _joined(left: DataFrame, right: DataFrame, by: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """left with right's other columns, by columns that may be null."""
+    renamed = right.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in right.columns if c not in by])
+    condition = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return left.join(renamed, condition, how).drop(*[f"_{c}" for c in by])
+
+
 def roll_up(x: DataFrame, by: tuple[str, ...] = (*GROUP, "attempt_started_at")) -> DataFrame:
     """One application for each key and attempt (L08): salary bounds, first known fields in batch order, status by the fold.
 
-    The display name comes from the first mail with a company, or failing that a role, that improves on the ones before it.
+    The display name comes from the first mail with a company, or failing that a role, that improves on the ones before it: the first
+    mail that tells both, or else of mails that tell one, the first after the last that tells the other.  So all of it is sums by key, and no
+    application's mails are gathered.
     """
     first = lambda c, skip=None: F.min_by(c, F.when(F.col(c).isNotNull() & (F.lit(True) if skip is None else F.col(c) != skip), F.col("seq"))).alias(c)
     plain = [first(c) for c in FIRST_KNOWN if c in x.columns]
-    one = F.struct("seq", "company", "role_title")
-    step = F.struct("at", F.coalesce("sent_at", "at").alias("sent"), "classified_at", "seq", F.col("event").alias("event"), F.col("status").alias("status"))
-    skills = F.struct("seq", "tech_stack")
+    setting, response = folded_status(["at", F.coalesce("sent_at", "at").alias("sent"), "classified_at", "seq"], "event", F.coalesce(_mapped(F.col("event"), STATUS_OF_EVENT), F.col("status")))
+    has_company, has_role = F.col("company").isNotNull(), F.col("role_title").isNotNull()
+    named = F.struct("seq", "company", "role_title")
     g = x.groupBy(*by).agg(
         F.min("at").alias("first_seen_at"), F.max("at").alias("last_activity_at"), F.min("salary_min").alias("salary_min"), F.max("salary_max").alias("salary_max"),
         *plain, F.coalesce(first("sponsorship", "unknown"), F.lit("unknown")).alias("sponsorship"), F.coalesce(first("source", "other"), F.lit("other")).alias("source"),
-        F.array_sort(F.collect_list(one)).alias("names"), F.array_sort(F.collect_list(step)).alias("steps"), F.array_sort(F.collect_list(skills)).alias("skills"), F.count("*").alias("mails"),
+        setting.alias("setting"), response.alias("replied"), F.count("*").alias("mails"),
+        F.min(F.when(has_company & has_role, named)).alias("both"),
+        F.max(F.when(has_company & ~has_role, F.col("seq"))).alias("last_company"), F.max(F.when(has_role & ~has_company, F.col("seq"))).alias("last_role"),
+    )
+    open_ = g.where("both IS NULL AND (last_company IS NOT NULL OR last_role IS NOT NULL)").select(*by, "last_company", "last_role")
+    tells = x.where(has_company != has_role).select(*by, "seq", "company", "role_title")
+    after = F.when(F.col("company").isNotNull(), F.coalesce(F.col("last_role"), F.lit(-(1 << 63)))).otherwise(F.coalesce(F.col("last_company"), F.lit(-(1 << 63))))
+    partial = _joined(tells, open_, by).where(F.col("seq") > after).groupBy(*by).agg(F.min(named).alias("part"))
+    skills = x.select(*by, "seq", F.posexplode("tech_stack").alias("place", "skill")).groupBy(*by, "skill").agg(F.min(F.struct("seq", "place")).alias("told"))
+    stacks = skills.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("told", "skill"))), lambda s: s["skill"]).alias("tech_stack"))
+    out = _joined(_joined(g, partial, by, "left"), stacks, by, "left")
+    best = F.coalesce("both", "part")
+    return out.select(
+        *by, "first_seen_at", "last_activity_at", "salary_min", "salary_max", *[c for c in FIRST_KNOWN if c in x.columns], "sponsorship", "source", "mails",
+        F.coalesce("tech_stack", F.array().cast("array<string>")).alias("tech_stack"), later("setting", "replied").alias("current_status"),
+        F.coalesce(best["company"], F.lit("")).alias("company"), F.coalesce(best["role_title"], F.lit("")).alias("role_title"),
     )
-
-    def better(best: Column, r: Column) -> Column:
-        gains = (r["company"].isNotNull() & best["company"].isNull()) | (r["role_title"].isNotNull() & best["role_title"].isNull())
-        return F.when(gains, r).otherwise(best)
-
-    def advance(now: Column, e: Column) -> Column:
-        to = F.coalesce(_mapped(e["event"], STATUS_OF_EVENT), e["status"])
-        stays = to.isNull() | ((e["event"] == "response") & ~now.isin("applied", "in_review", "ghosted"))
-        return F.when(stays, now).otherwise(to)
-
-    best = F.aggregate(F.slice("names", 2, F.greatest(F.lit(1), F.size("names"))), F.col("names")[0], better)
-    tech = F.array_distinct(F.flatten(F.transform("skills", lambda s: s["tech_stack"])))
-    named = g.withColumns({"best": best, "tech_stack": tech, "current_status": F.aggregate("steps", F.lit("applied"), advance)})
-    return named.withColumn("company", F.coalesce("best.company", F.lit(""))).withColumn("role_title", F.coalesce("best.role_title", F.lit(""))).drop("best", "names", "steps", "skills")
 
 
 def proposals(x: DataFrame, known: DataFrame | None = None, known_threads: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:

@@ -121,16 +121,12 @@ def latest_messages(chat: DataFrame, conversation_id: str, limit: int) -> DataFr
 
 
 def derive_status(events: DataFrame, emails: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each application's status, folded over its events in order."""
+    """Each application's status, folded over its events in order (W08, L11): two aggregates, whatever the number of its events."""
+    from trailmark.operators.attempts import STATUS_OF_EVENT, folded_status, later
     from trailmark.operators.features import ordered_events
 
-    status = F.create_map(*[F.lit(x) for pair in (("applied", "applied"), ("response", "in_review"), ("assessment", "assessment"), ("interview_scheduled", "interview"), ("rejection", "rejected"), ("offer", "offer"), ("ghost_inferred", "ghosted")) for x in pair])
+    status = F.create_map(*[F.lit(x) for pair in STATUS_OF_EVENT.items() for x in pair])
     to = F.when(F.col("event_type") == "feedback", F.col("extracted_status")).otherwise(F.try_element_at(status, F.col("event_type")))
-    steps = ordered_events(events, emails, classes).withColumn("to", to)
-    timeline = F.array_sort(F.collect_list(F.struct("event_at", "email_sent_at", "classified_at", "id", "event_type", "to")))
-
-    def advance(now: Column, e: Column) -> Column:
-        stays = e["to"].isNull() | ((e["event_type"] == "response") & ~now.isin("applied", "in_review", "ghosted"))
-        return F.when(stays, now).otherwise(e["to"])
-
-    return steps.groupBy("application_id").agg(timeline.alias("t")).select("application_id", F.aggregate("t", F.lit("applied"), advance).alias("status"))
+    setting, response = folded_status(["event_at", "email_sent_at", "classified_at", "id"], "event_type", to)
+    folded = ordered_events(events, emails, classes).groupBy("application_id").agg(setting.alias("setting"), response.alias("replied"))
+    return folded.select("application_id", later("setting", "replied").alias("status"))
