@@ -5,6 +5,7 @@ import json
 import os
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from trailmark.operators import corrections, linkage, metrics, retrieval, snapshots
@@ -145,12 +146,12 @@ def test_stream_restarts_after_the_last_page(spark, tmp_path):
 
     def run():
         ingest.run_available(ingest.pages(spark, str(folder)), sink, checkpoint)
-        return len(list((tmp_path / "out").glob("batch=*"))), sorted((r["id"], r["subject"]) for r in ingest.current(spark, out).collect())
+        return len(list((tmp_path / "out" / "data").glob("0*"))), sorted((r["id"], r["subject"]) for r in ingest.current(spark, out).collect())
 
     write_page(folder, 1, [{"id": "a", "subject": "1"}, {"id": "b", "subject": "1"}])
     write_page(folder, 2, [{"id": "b", "subject": "2"}])
     assert run() == (2, [("a", "1"), ("b", "2")])
-    assert len(list((tmp_path / "out" / "batch=1").glob("bucket=*"))) == 1  # only the bucket of b
+    assert len(list((tmp_path / "out" / "data" / "00000000-000000000001").glob("bucket=*"))) == 1  # only the bucket of b
     write_page(folder, 3, [{"id": "c", "subject": "3"}])
     assert run() == (3, [("a", "1"), ("b", "2"), ("c", "3")])
     assert run()[0] == 3  # nothing new, nothing written
@@ -181,11 +182,19 @@ def test_unsound_rows_go_aside_and_expired_offsets_reload(spark, tmp_path):
     write_page(tmp_path / "pages", 1, [{"id": "a"}, {"id": ""}, {"subject": "none"}])
     run = lambda c, s=sink: ingest.run_available(ingest.pages(spark, str(tmp_path / "pages")), s, f"{tmp_path}/{c}")
 
-    def expired(batch, batch_id):
-        raise ValueError("the offset is gone")
+    class OffsetExpired(Exception):
+        pass
 
-    ingest.resume_or_reload(lambda: run("c1", expired), lambda: run("c2"))
+    def fails(fault):
+        def sink(batch, batch_id):
+            raise fault
+
+        return sink
+
+    ingest.resume_or_reload(lambda: run("c1", fails(OffsetExpired("the offset is gone"))), lambda: run("c2"))
     assert [r["id"] for r in ingest.current(spark, good).collect()] == ["a"] and ingest.dead_letters(spark, bad).count() == 2
+    with pytest.raises(StreamingQueryException):  # a fault of the sink is no expired offset
+        ingest.resume_or_reload(lambda: run("c3", fails(ValueError("disk full"))), lambda: run("c4"))
 
 
 NOW = dt.datetime(2024, 3, 31, 22, 30, tzinfo=dt.UTC)

@@ -1,8 +1,8 @@
 """Ingestion as Structured Streaming: a paged, resumable source of mail metadata and bucketed snapshot sinks (S05-S06, streaming concepts).
 
-Pages are files in a folder.  The checkpoint is the cursor: it moves only when a micro-batch is written, so a restart takes up after
-the last whole page, and a batch that is replayed writes the same files again.  Rows of any age are taken: repeats are told by their
-ids against the table, not by a watermark.
+Pages are files in a folder, or what a mail provider hands out (mailbox.py).  The checkpoint is the cursor: it moves only when a
+micro-batch is written, so a restart takes up after the last whole page, and a batch that is replayed writes the same version of the
+table again (tables.py).  Rows of any age are taken: repeats are told by their ids against the table, not by a watermark.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from trailmark.streaming.tables import Sink, current, into_buckets, query_id  # noqa: F401  (current and into_buckets are used from here)
+
 PAGE = "id string, provider string, thread_id string, from_addr string, to_addr string, subject string, sent_at timestamp_ntz, received_at timestamp_ntz, labels array<string>"
 
 
@@ -37,68 +39,74 @@ def metadata_rows(page: DataFrame) -> DataFrame:
     return plain.withColumn("body_text", F.lit(None).cast("string")).withColumn("body_retention_state", F.lit("metadata_only"))
 
 
-Apply = Callable[[DataFrame | None, DataFrame], DataFrame]
-
+class DeadLetters:
+    """A sink that puts rows which aren't sound into a side table, one folder a checkpoint and batch, and hands the others on."""
 
-def current(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """A bucketed table as its last batches left it (those before ``before``, if given): of each bucket the newest files."""
-    files = spark.read.parquet(folder)
-    if before is not None:
-        files = files.where(F.col("batch") < before)
-    newest = files.groupBy("bucket").agg(F.max("batch").alias("batch"))  # over folder names: one row a bucket
-    return files.join(F.broadcast(newest), ["bucket", "batch"]).drop("bucket", "batch")
+    def __init__(self, sink: Sink, sound: Column, folder: str, checkpoint: str | None = None):
+        self.sink, self.sound, self.folder, self.checkpoint = sink, sound, folder, checkpoint
 
+    def of(self, checkpoint: str) -> DeadLetters:
+        return DeadLetters(bound(self.sink, checkpoint), self.sound, self.folder, checkpoint)
 
-def into_buckets(apply: Apply, folder: str, key: str = "id", buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: rows belong to buckets by a hash of their key, and a batch rewrites only the buckets that it touches.
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        good = F.coalesce(self.sound, F.lit(False))
+        source = query_id(batch.sparkSession, self.checkpoint) if self.checkpoint else "none"
+        batch.where(~good).write.mode("overwrite").parquet(f"{self.folder}/source={source}/batch={batch_id}")
+        self.sink(batch.where(good), batch_id)
 
-    ``apply`` takes the rows of those buckets (None at first) and the batch's, and returns the buckets' next rows.  A batch writes
-    one folder of its own, so replaying it writes the same again."""
 
-    def place(df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+def with_dead_letters(sink: Sink, sound: Column, folder: str) -> DeadLetters:
+    return DeadLetters(sink, sound, folder)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        touched = place(batch).select("bucket").distinct()
-        old = None if batch_id == 0 else place(current(spark, folder, batch_id)).join(F.broadcast(touched), "bucket", "left_semi").drop("bucket")  # ``buckets`` rows at most
-        place(apply(old, batch)).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={batch_id}")
-
-    return write
 
+def dead_letters(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
 
-def with_dead_letters(sink: Callable[[DataFrame, int], None], sound: Column, folder: str) -> Callable[[DataFrame, int], None]:
-    """A sink that puts rows which aren't sound into a side table, one folder a batch, and hands the others on."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        good = F.coalesce(sound, F.lit(False))
-        batch.where(~good).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-        sink(batch.where(good), batch_id)
+#: What sources call the fault that a position is no longer there.
+EXPIRED = ("OffsetExpired", "OffsetOutOfRangeException", "OFFSETS_OUT_OF_RANGE")
 
-    return write
 
+def has_expired(fault: StreamingQueryException) -> bool:
+    return any(name in str(fault) for name in EXPIRED)
 
-def dead_letters(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder)
 
+def resume_or_reload(resume: Callable[[], StreamingQuery], reload: Callable[[], StreamingQuery], expired: Callable[[StreamingQueryException], bool] = has_expired) -> StreamingQuery:
+    """Takes a stream up from its checkpoint; where the source no longer has what that names (an expired offset), loads all again.
 
-def resume_or_reload(resume: Callable[[], StreamingQuery], reload: Callable[[], StreamingQuery]) -> StreamingQuery:
-    """Takes a stream up from its checkpoint; where the source no longer has what that names (an expired offset), loads all again."""
+    Any other fault, of the sink for one, is raised."""
     try:
         return resume()
-    except StreamingQueryException:
+    except StreamingQueryException as fault:
+        if not expired(fault):
+            raise
         return reload()
 
 
-def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def bound(sink: Sink, checkpoint: str) -> Sink:
+    """The sink as it writes for this checkpoint, if that matters to it."""
+    return sink.of(checkpoint) if hasattr(sink, "of") else sink
+
+
+def run_available(stream: DataFrame, sink: Sink, checkpoint: str) -> StreamingQuery:
     """Everything there is now, then stop: what a scheduler calls again and again."""
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(bound(sink, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def run_every(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 900) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+def run_until_idle(stream: DataFrame, sink: Sink, checkpoint: str) -> StreamingQuery:
+    """Batch after batch until the source has nothing new, then stop: for sources that tell their next position one page at a time."""
+    query = stream.writeStream.foreachBatch(bound(sink, checkpoint)).option("checkpointLocation", checkpoint).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
+def run_every(stream: DataFrame, sink: Sink, checkpoint: str, seconds: int = 900) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(bound(sink, checkpoint)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
 def activity(stream: DataFrame, window: str = "1 day", lateness: str = "3 days", at: str = "ts", kind: str = "event_type") -> DataFrame:
