@@ -131,9 +131,10 @@ _ASKED = {
 query(
     "f24_q05_question_facets",
     """SELECT id, CASE kind WHEN 0 THEN 'calendar_year' WHEN 1 THEN 'last_month' WHEN 2 THEN 'rolling_days' WHEN 6 THEN 'this_week' END AS window_kind, CASE WHEN kind = 2 THEN 45 END AS window_days, CASE WHEN kind = 0 THEN 1997 END AS window_year,
-              CASE kind WHEN 0 THEN 90000 WHEN 2 THEN 80000 END AS salary_min, CASE kind WHEN 0 THEN 120000 WHEN 6 THEN 95500 END AS salary_max FROM <asked>""",
+              CASE kind WHEN 0 THEN 90000 WHEN 2 THEN 80000 END AS salary_min, CASE kind WHEN 0 THEN 120000 WHEN 6 THEN 95500 END AS salary_max,
+              CASE kind WHEN 1 THEN 15 WHEN 2 THEN 45 WHEN 0 THEN 100 WHEN 6 THEN 95 ELSE 20 END AS list_limit FROM <asked>""",
     _ASKED,
-)(lambda j: questions.facets(j.view("asked", _ASKED)).select("id", "window_kind", "window_days", "window_year", "salary_min", "salary_max"))
+)(lambda j: questions.facets(j.view("asked", _ASKED)).select("id", "window_kind", "window_days", "window_year", "salary_min", "salary_max", "list_limit"))
 query(
     "v07_retrieval_modes",
     """SELECT id, CASE kind WHEN 3 THEN 'exhaustive_mentions' WHEN 4 THEN 'exhaustive_companies' WHEN 5 THEN 'latest_company_email' ELSE 'semantic' END AS mode, CASE kind WHEN 3 THEN 'visa' WHEN 4 THEN 'relocation' END AS term,
