@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators import router
+from trailmark.operators import names, router
 
 # Phrases of newest mail, and words and beginnings that lean on an earlier question.
 RECENCY = ("last email", "latest email", "most recent email")
@@ -29,15 +29,8 @@ def words(text: Column) -> Column:
 
 
 def mentioned_companies(texts: DataFrame, companies: DataFrame, key: str, text: str) -> DataFrame:
-    """key, company: companies whose name stands in a text as whole words, whatever its case.
-
-    Names and texts meet on the name's first word, so every text word is compared only with names that begin so; the whole name is
-    then looked for, signs included."""
-    names = companies.select("company").distinct().withColumn("word", F.get(words(F.col("company")), F.lit(0))).where("word IS NOT NULL")
-    said = texts.select(key, text, F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
-    inside = F.lower(F.col(text)).contains(F.lower(F.col("company")))
-    quoted = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.col("company"), F.lit(r"\E(?!\w)"))
-    return said.join(names, "word").where(inside & F.regexp_like(F.col(text), quoted)).select(key, "company").distinct()
+    """key, company: companies whose name stands in a text as whole words, whatever its case."""
+    return names.mentioned_names(texts, companies, key, text)
 
 
 def lean(text: Column) -> Column:

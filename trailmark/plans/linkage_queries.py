@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmark import schema
 from trailmark.functions import text
+from trailmark.functions.redaction import redacted_records
 from trailmark.operators import linkage
 from trailmark.operators.filters import not_submitted
 from trailmark.operators.features import features
@@ -70,6 +71,24 @@ query(
               WHEN 5 THEN '"body_text": "[REDACTED_EMAIL_CONTENT]", "b": 2' WHEN 6 THEN 'html_body = [REDACTED_EMAIL_CONTENT]' WHEN 7 THEN 'raw_body = [REDACTED_EMAIL_CONTENT]' WHEN 8 THEN 'snippet: [REDACTED_EMAIL_CONTENT]' ELSE said END AS body FROM <secrets>""",
     _SECRETS,
 )(lambda j: j.view("secrets", _SECRETS).select("id", text.redacted(F.col("said")).alias("body")))
+
+
+def _records(j: JobSearch):
+    """The said texts as records: a struct with a secret field, a list of structs, a map and a field of mail content."""
+    said = j.view("secrets", _SECRETS)
+    user = F.struct(F.col("said").alias("note"), F.col("id").alias("api_key"), F.array(F.struct(F.col("said").alias("text"), F.lit("x").alias("Refresh-Token"))).alias("notes"))
+    headers = F.create_map(F.lit("Accept"), F.col("said"), F.lit("X-Auth-Token"), F.lit("abc"), F.lit("raw_body"), F.col("said"))
+    return said.select("id", user.alias("user"), headers.alias("headers"), F.col("said").alias("body_text"))
+
+
+_HIDDEN = """CASE kind WHEN 0 THEN 'Authorization: Bearer [REDACTED]' WHEN 1 THEN 'sent bearer [REDACTED], ok' WHEN 2 THEN 'api_key=[REDACTED]&x=1' WHEN 3 THEN '\"password\": \"[REDACTED]\", \"a\": 1' WHEN 4 THEN 'client-secret: [REDACTED] next'
+             WHEN 5 THEN '\"body_text\": \"[REDACTED_EMAIL_CONTENT]\", \"b\": 2' WHEN 6 THEN 'html_body = [REDACTED_EMAIL_CONTENT]' WHEN 7 THEN 'raw_body = [REDACTED_EMAIL_CONTENT]' WHEN 8 THEN 'snippet: [REDACTED_EMAIL_CONTENT]' ELSE said END"""
+query(
+    "x44_nested_redaction",
+    """SELECT id, chr(123) || '"note":"' || escaped || '","api_key":"[REDACTED]","notes":[' || chr(123) || '"text":"' || escaped || '","Refresh-Token":"[REDACTED]"' || chr(125) || ']' || chr(125) AS "user",
+              chr(123) || '"Accept":"' || escaped || '","X-Auth-Token":"[REDACTED]","raw_body":"[REDACTED_EMAIL_CONTENT]"' || chr(125) AS headers, '[REDACTED_EMAIL_CONTENT]' AS body_text FROM <hidden>""",
+    _SECRETS | {"hidden": f"SELECT id, replace({_HIDDEN}, '\"', chr(92) || '\"') AS escaped FROM <secrets>"},
+)(lambda j: redacted_records(_records(j)).select("id", F.to_json("user").alias("user"), F.to_json("headers").alias("headers"), "body_text"))
 _NAMES = {
     "hard_names": """SELECT doc_id AS id, doc_id % 8 AS kind, CASE doc_id % 8 WHEN 0 THEN '  OpenAI, Inc.  ' WHEN 1 THEN 'The Example Group LLC' WHEN 2 THEN 'Johnson & Johnson' WHEN 3 THEN 'jobs.example.com LLC' WHEN 4 THEN 'Example S.A.R.L.'
         WHEN 5 THEN 'Müller & Co. KG' WHEN 6 THEN 'jobs&#46;example&#46;com' ELSE 'www.data.ai' END AS company, CASE doc_id % 8 WHEN 0 THEN '  Senior SWE II - Backend (Remote)  ' WHEN 1 THEN 'C++ Software Engineer' WHEN 2 THEN 'Machine Learning Software Engineer'

@@ -5,16 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[tempfile.TemporaryDirectory] = []
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to spark.checkpoint.dir: plans that use it more than once read it, and its lineage ends there.
-
-    In local mode alone, where that is unset, a temporary folder stands in."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in spark.checkpoint.dir; in local mode alone, where that is unset, in a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.conf.get("spark.master", "local").startswith("local"):
@@ -22,6 +19,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         if not _local:
             _local.append(tempfile.TemporaryDirectory(prefix="trailmark-", ignore_cleanup_errors=True))
         folder = f"file://{_local[0].name}"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written to spark.checkpoint.dir: plans that use it more than once read it, and its lineage ends there."""
+    spark = df.sparkSession
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
