@@ -1,12 +1,14 @@
-"""Registered queries that go through kept indexes, built from the tables and changed once before they are asked."""
+"""Registered queries that go through kept indexes and a kept dashboard, built from the tables and changed before they are asked."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trailmark.operators.dashboard import Dashboard
 from trailmark.operators.text_index import TextIndex
 from trailmark.operators.vector_index import VectorIndex
-from trailmark.plans.catalog import query
+from trailmark.plans.catalog import RAW_SQL, query
+from trailmark.plans.metric_queries import CLOCK
 from trailmark.sources.shared import fresh_folder
 from trailmark.sources.testdata import JobSearch
 
@@ -50,3 +52,19 @@ query(
     "SELECT t.term, c.email_id, min(c.chunk_index) AS chunk_index FROM <search_terms> t JOIN <indexed_chunks> c ON instr(lower(c.content), t.term) > 0 WHERE t.term <> '' GROUP BY 1, 2",
     _VIEWS,
 )(_mentions)
+
+
+def _kept(j: JobSearch) -> Dashboard:
+    """A dashboard that took the applications up in two batches, and some of them once more, with other statuses in between."""
+    board = Dashboard(j.spark, fresh_folder(j.spark, "dashboard"), buckets=8)
+    part = lambda n, r: j.apps.where(F.col("id").cast("long") % n == r).select("id")
+    odd = j.apps.withColumn("current_status", F.lit("withdrawn")).withColumn("company", F.lit("Another"))
+    board.update(part(2, 0), j.apps, j.events, j.emails, j.classes, 0)
+    board.update(part(2, 1), odd, j.events.where("event_type <> 'offer'"), j.emails, j.classes, 1)
+    board.update(part(2, 1).union(part(3, 0)), j.apps, j.events, j.emails, j.classes, 2)
+    return board
+
+
+query("a36_k21_kept_summary", *RAW_SQL["a36_summary"])(lambda j: _kept(j).summary(CLOCK))
+query("a16_k21_kept_rates", *RAW_SQL["a16_rates"])(lambda j: _kept(j).rates(CLOCK))
+query("a17_k21_kept_funnel", *RAW_SQL["a17_funnel"])(lambda j: _kept(j).funnel(CLOCK))

@@ -68,6 +68,11 @@ class BucketedTable:
         wanted = [r for r in self.manifest(version or known[-1]) if r["folder"] and (buckets is None or r["bucket"] in buckets)]
         return self.spark.read.parquet(*[f"{self.folder}/data/{r['folder']}/bucket={r['bucket']}" for r in wanted]) if wanted else None
 
+    def rows_before(self, epoch: int, batch: int, buckets: set[int] | None = None) -> DataFrame | None:
+        """The rows that a batch builds on, whether it has been written or not."""
+        before = [v for v in self.versions() if v < f"{epoch:08d}-{batch:012d}"]
+        return self.rows(before[-1], buckets) if before else None
+
     def epoch_of(self, source: str) -> int:
         """The epoch of a checkpoint: the one that it has, if that is the last, or else one after all."""
         newest: dict[str, int] = {}
