@@ -335,3 +335,34 @@ def test_rows_are_numbered_alike_whenever_they_are_read(spark, small, tmp_path):
     for other in (docs.union(docs), docs.where("doc_id > 3"), docs.join(docs.select("doc_id"), "doc_id")):
         assert not corpus_pipeline.is_scan(other)
         assert corpus_pipeline.numbered(other).select("doc_row").distinct().count() == other.count()
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_licenses_in_parts(spark, as_table):
+    """Notices with words put in, and with halves swapped, keep their label; scattered pieces get none."""
+    from trailmark.llm import license_scan
+
+    notice = re.findall("[a-z0-9]+", lower(license_scan.TEMPLATES[0][0]))
+    n, rng = len(notice), np.random.default_rng(4)
+    say = lambda k: [f"w{x}" for x in rng.integers(0, 10**6, k)]
+    texts = {
+        "four": say(9) + notice[:20] + say(4) + notice[20:], "ten": notice[: n // 2] + say(10) + notice[n // 2 :] + say(3), "swapped": say(2) + notice[n // 2 :] + notice[: n // 2], "whole and a piece": notice + say(9) + notice[:6],
+        "twice": notice + say(40) + notice, "half": notice[: n // 2] + say(60), "half twice": notice[: n // 2] + say(5) + notice[: n // 2], "far apart": notice[: n // 2] + say(n) + notice[n // 2 :], "scattered": sum((notice[i : i + 6] + say(12) for i in range(0, n, 6)), []),
+    }
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    templates = spark.createDataFrame([(t, label) for t, label in license_scan.TEMPLATES], "text string, label string") if as_table else None
+    got = {list(texts)[r["doc_id"]]: r for r in license_scan.scan_licenses(docs, templates=templates).collect()}
+    for name in ("four", "ten", "swapped", "whole and a piece", "twice"):
+        assert got[name]["labels"] == "mit" and got[name]["score"] >= 0.8, name
+    for name in ("half", "half twice", "far apart", "scattered"):
+        assert got[name]["labels"] == "" and got[name]["score"] < 0.8, name
+    assert got["swapped"]["spans"] == f"mit:2:{2 + n}" and got["four"]["spans"] == f"mit:9:{9 + n + 4}" and got["whole and a piece"]["spans"] == f"mit:0:{n}"
+    assert got["twice"]["spans"] == f"mit:0:{n},mit:{n + 40}:{2 * n + 40}"
+
+
+def test_licenses_of_an_empty_table(spark):
+    from trailmark.llm import license_scan
+
+    docs = spark.createDataFrame([(1, license_scan.TEMPLATES[0][0]), (2, None)], "doc_id long, text string")
+    templates = spark.createDataFrame([], "text string, label string")
+    assert {(r["doc_id"], r["labels"], r["score"]) for r in license_scan.scan_licenses(docs, templates=templates).collect()} == {(1, "", 0.0), (2, "", 0.0)}

@@ -6,10 +6,13 @@ its place in the text less its place in the template.  Votes are summed by row,
 exactly where one diagonal has all its votes.  Neighbouring diagonals (at most ``slack`` words apart: words put in or left out) are
 merged, and the merged span is verified: its hits are taken in the text's order, and each must go on in the template; only template
 words that are reached so, each once, count.  A span gives its template's label if these words are ``coverage`` or more both of the
-template and of the span's own words; a short template must be there with all its words.  Where more than half of such a span lies in
-one that reaches more words, of a license worded alike, the latter counts alone.
+template and of the span's own words; a short template must be there with all its words.  A notice with more words put in, or with its
+parts in another order, lies on diagonals far apart: spans of one template that have an eighth of its words at least, and stand no more
+than a quarter of its size from one another, also count together, by the template words that any of them reaches.  Where more than half
+of a span lies in one that reaches more words, of a license worded alike, the latter counts alone.
 
-The templates are a fixed table of notices and phrases (about a thousand hashes), so broadcasting them is bounded whatever the corpus.
+The templates are a fixed table of notices and phrases (about a thousand hashes), or a table of texts and labels.  They are broadcast while
+they have ``MOST_GRAMS`` hashes at most; a larger table is joined.
 One narrow pass reads the texts; only hits, and one row for each document, are shuffled, keyed by row number: no group is larger than
 one document's hits.
 
@@ -109,6 +112,8 @@ TEMPLATES = [
 ]
 #: Templates of so many words or more vote with runs of 4 words, shorter ones with pairs.
 LONG = 8
+#: Hashes of templates that are broadcast, some 60 MB.
+MOST_GRAMS = 1 << 20
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -118,10 +123,21 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _SEPARATORS), "")
 
 
+def table_grams(templates: DataFrame) -> DataFrame:
+    """The grams of a table of templates (text, label), numbered after all fixed ones."""
+    texts = templates.select(words_of(F.col("text")).alias("w"), F.col("label").cast("string").alias("label")).where(F.size("w") > 1)
+    numbered = texts.select("*", (F.row_number().over(Window.orderBy("label", "w")) + 1_000_000).alias("template"), F.size("w").alias("size"))
+    rows = numbered.withColumn("k", F.when(F.col("size") >= LONG, 4).otherwise(2)).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("k"))))
+    pair = lambda i: F.xxhash64(F.get("w", F.col("at") + i), F.get("w", F.col("at") + i + 1))
+    return rows.select("template", "at", "k", F.when(F.col("k") < 4, pair(0)).otherwise(F.xxhash64(pair(0), pair(2))).alias("gram"), "size", "label", F.lit(False).alias("is_base"))
+
+
 def template_grams(spark: SparkSession, base=None, templates=None) -> DataFrame:
     """template, at, k, gram (hash), size in words, label, is_base; and template -1, which every document hits once."""
+    if isinstance(templates, DataFrame):
+        return template_grams(spark, base, []).unionByName(table_grams(templates))
     rows, number = [(-1, 0, 1, "", "", "", "", 0, "", False)], 0
-    for is_base, phrases in ((True, base or BASE), (False, templates or TEMPLATES)):
+    for is_base, phrases in ((True, base or BASE), (False, TEMPLATES if templates is None else templates)):
         for phrase, label in phrases:
             w = [x for x in re.split(_SEPARATORS, phrase.lower()) if x]
             k = 4 if len(w) >= LONG and not is_base else 2
@@ -135,8 +151,8 @@ def template_grams(spark: SparkSession, base=None, templates=None) -> DataFrame:
 def gram_filter(table: DataFrame) -> Callable[[Column], Column]:
     """Whether a hash may be one of the table's: a literal of 2**16 bits, so that only likely hits become rows.  The join decides."""
     words = [0] * 1024
-    for r in table.select("gram").distinct().collect():  # the fixed templates' hashes
-        at = r["gram"] % (1 << 16)
+    for r in table.select(F.col("gram").bitwiseAND(F.lit(65535)).alias("gram")).distinct().collect():  # 2**16 rows at most
+        at = r["gram"]
         words[at >> 6] |= 1 << (at & 63)
     bits = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words])
 
@@ -171,7 +187,8 @@ def scan_licenses(docs: DataFrame, coverage: float = 0.8, slack: int = 3, base=N
     near = lambda grams, k: F.filter(F.transform(grams, lambda g, i: F.when(likely(g), F.struct(F.lit(k).alias("run"), i.alias("place"), g.alias("gram")))), lambda x: x.isNotNull())
     mark = F.array(F.struct(F.lit(1).alias("run"), F.lit(0).alias("place"), F.xxhash64(F.lit(""), F.lit("")).alias("gram")))
     rolled = paired.select("row", "doc_id", n.alias("n_words"), F.explode(F.concat(mark, near(F.col("pairs"), 2), near(fours, 4))).alias("x")).select("row", "doc_id", "n_words", "x.*")
-    hits = rolled.join(F.broadcast(table), "gram").where(F.col("run") == F.col("k"))
+    small = not isinstance(templates, DataFrame) or table.count() <= MOST_GRAMS
+    hits = rolled.join(F.broadcast(table) if small else table, "gram").where(F.col("run") == F.col("k"))
     place = F.col("place")
     key, of = ["row", "doc_id", "n_words"], ["template", "k", "size", "label", "is_base"]
     votes = hits.select(*key, *of, place.alias("place"), "at").groupBy(*key, *of, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_list(F.struct("place", "at")).alias("hits"))
@@ -187,9 +204,23 @@ def scan_licenses(docs: DataFrame, coverage: float = 0.8, slack: int = 3, base=N
     )
     seen = spans.withColumn("s", F.when(F.col("template") >= 0, in_order(F.col("hits"), F.col("k"))))
     share = F.when(F.col("template") >= 0, F.col("s.words") / F.greatest("size", F.col("s.stop") - F.col("s.start"))).otherwise(0.0)
-    scored = seen.withColumn("share", share)
-    own = ~F.col("is_base") & (F.col("share") >= coverage) & ((F.col("size") >= LONG) | (F.col("s.words") == F.col("size")))
-    found = F.collect_set(F.when(own, F.struct("s.start", "s.stop", "s.words", "label")))
+    part_of = ~F.col("is_base") & (F.col("size") >= LONG) & (F.col("s.words") * 8 >= F.col("size"))
+    within = lambda c: F.when(part_of, c)
+    of_template, in_text = Window.partitionBy("row", "template"), (F.asc_nulls_last(within(F.col("s.start"))), "part")
+    stopped = F.max(within(F.col("s.stop"))).over(of_template.orderBy(*in_text).rowsBetween(Window.unboundedPreceding, -1))
+    far = F.coalesce(within(F.col("s.start") - stopped > F.col("size") / 4).cast("int"), F.lit(0))
+    near_by = seen.withColumns({"part_share": share, "far": far}).withColumn("cluster", F.sum("far").over(of_template.orderBy(*in_text).rowsBetween(Window.unboundedPreceding, 0)))
+    together = Window.partitionBy("row", "template", "cluster")
+    reached = F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + F.col("k") - 1)))
+    joined = F.struct(
+        F.min(within(F.col("s.start"))).over(together).alias("start"), F.max(within(F.col("s.stop"))).over(together).alias("stop"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(within(reached)).over(together)))).alias("words"), F.col("label").alias("label"),
+    )
+    clustered = near_by.withColumns({"joined": joined, "most": F.max(within(F.col("s.words"))).over(together)})
+    all_share = F.when(part_of & (F.col("joined.words") > F.col("most")), F.col("joined.words") / F.greatest("size", F.col("joined.stop") - F.col("joined.start")))
+    scored = clustered.withColumn("all_share", all_share).withColumn("share", F.greatest("part_share", F.coalesce("all_share", F.lit(0.0))))
+    own = ~F.col("is_base") & (F.col("part_share") >= coverage) & ((F.col("size") >= LONG) | (F.col("s.words") == F.col("size")))
+    found = F.array_union(F.collect_set(F.when(own, F.struct("s.start", "s.stop", "s.words", "label"))), F.collect_set(F.when(F.col("all_share") >= coverage, F.col("joined"))))
     by_row = scored.groupBy(*key).agg(
         F.sum("n_whole").alias("n_base"),
         F.min("first").cast("long").alias("first_word"),
