@@ -202,3 +202,27 @@ def test_rolled_up_fields_are_those_of_plain_folds(spark):
     assert set(got) == set(groups)
     for app, mails in groups.items():
         check_rolled(got[app], mails)
+
+
+def test_cache_identity_is_a_hash_over_sorted_rows(spark, small):
+    """l22_f11: equal for any order of rows, another for any other value; the sums by the standard library."""
+    import hashlib
+
+    from trailmark.operators import insights
+    from trailmark.plans import insight_queries  # noqa: F401
+
+    def plain(df):
+        columns = sorted(df.columns)
+        texts = [r[0] for r in df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})).collect()]
+        hashes = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+        parts = [str(sum(int(h[8 * i : 8 * i + 8], 16) for h in hashes)) for i in range(8)]
+        return hashlib.sha256("|".join([str(len(texts)), *parts]).encode()).hexdigest()
+
+    rows = spark.createDataFrame([(i, None if i % 3 else "x", float(i)) for i in range(50)], "id long, b string, a double")
+    one = insights.fingerprint(rows).first()[0]
+    assert one == plain(rows) == insights.fingerprint(rows.orderBy(F.desc("id")).repartition(5)).first()[0]
+    assert one != insights.fingerprint(rows.where("id > 0")).first()[0] and one != insights.fingerprint(rows.withColumn("a", F.col("a") + (F.col("id") == 7).cast("int"))).first()[0]
+    (got,) = QUERIES["l22_f11_cache_identity"](spark, small).collect()
+    j = JobSearch(spark, small)
+    facts, e = insights.role_outcomes(insight_queries._evidence(j, "role_fit")), insight_queries._evidence(j, "story")
+    assert got["inputs_hash"] == hashlib.sha256("|".join(["v1", "story", plain(facts), plain(e)]).encode()).hexdigest()

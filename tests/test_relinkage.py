@@ -136,7 +136,14 @@ def test_a_processing_run_takes_all_batches(spark):
         content = F.create_map(*[F.lit(x) for p in said.items() for x in p])
         return df.select(F.col("id").alias("email_id"), F.try_element_at(content, F.col("id")).alias("content"), F.lit("stop").alias("finish_reason"), F.lit("model-1").alias("model"), F.lit("v1").alias("prompt_version"), F.col("sent_at").alias("classified_at"))
 
-    done, malformed = processing.run(tables, classify, "model-1", "v1", "2024-06-01 00:00:00", size=3)
+    part = processing.run(tables, classify, "model-1", "v1", "2024-06-01 00:00:00", size=3, most=1)
+    assert sorted(r["email_id"] for r in part.pending.collect()) == ["m3", "m4"] and part.reindex is None  # what is left is told
+    state = spark.createDataFrame([("m0", "old", "p", "e"), ("gone", "x", "p", "e")], "email_id string, content_hash string, provider string, model string")
+    one = processing.run(tables, classify, "model-1", "v1", "2024-06-01 00:00:00", index_state=state, index_provider="p", index_model="e")
+    assert sorted(map(tuple, one.reindex.collect())) == [("gone", "delete"), ("m0", "embed"), ("m3", "embed"), ("m4", "embed")] and one.pending.isEmpty()
+    got = processing.run(tables, classify, "model-1", "v1", "2024-06-01 00:00:00", size=3)
+    done, malformed = got.tables, got.malformed
+    assert sorted(map(tuple, one.tables.events.collect())) == sorted(map(tuple, done.events.collect()))  # one pass or batches
     assert [tuple(r) for r in malformed.collect()] == [("m2", "model-1", "v1", "invalid_json")]
     assert [(r["company"], r["current_status"]) for r in done.apps.collect()] == [("Acme", "interview")] and done.classes.count() == 4
     assert sorted(r["event_type"] for r in done.events.collect()) == ["applied", "assessment", "interview_scheduled"]  # it was answered, so no ghost

@@ -1,7 +1,7 @@
-"""The processing run: classify what is pending in batches, link it, infer and retract ghosts.
+"""The processing run: classify what is pending, link it, infer and retract ghosts, tell what to index anew.
 
 The classifier is external: a function from candidate mails to raw answers (see ``extraction``), to be run by Spark, for example with
-``mapInPandas``.  The loop is over bounded batches; each is a few Spark jobs, and every step writes its tables before the next.
+``mapInPandas``.  A run is one pass over all that is pending, or batches of a size; every step writes its tables before the next.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.operators import extraction, linkage, lists, relinkage, snapshots
+from trailmark import schema
+from trailmark.functions import text
+from trailmark.operators import extraction, linkage, lists, relinkage, retrieval, snapshots
 from trailmark.operators.features import features
 from trailmark.operators.filters import not_submitted
 from trailmark.sources.shared import cut
@@ -36,7 +38,7 @@ def classified(tables: Tables, answers: extraction.Answers) -> DataFrame:
     return snapshots.replaced(tables.classes, new, ["email_id"])
 
 
-def batch(tables: Tables, classify: Classifier, model: str, prompt_version: str, size: int, tried: DataFrame | None = None) -> tuple[Tables, DataFrame, int]:
+def batch(tables: Tables, classify: Classifier, model: str, prompt_version: str, size: int | None, tried: DataFrame | None = None) -> tuple[Tables, DataFrame, int]:
     """The tables after one batch, its malformed answers, and how many mails it had."""
     mails = cut(lists.candidates_to_classify(tables.emails, tables.classes, model, prompt_version, size, tried), "candidates")
     n = mails.count()
@@ -65,14 +67,44 @@ def with_ghosts(tables: Tables, now: str) -> Tables:
     return dataclasses.replace(kept, events=cut(snapshots.first_wins(left, filled, ["id"]), "events"))
 
 
-def run(tables: Tables, classify: Classifier, model: str, prompt_version: str, now: str, size: int = 500, most: int = 1000) -> tuple[Tables, DataFrame]:
-    """Batches until nothing is pending (``most`` of them at most), then ghosts; malformed answers come back, and aren't tried again."""
+@dataclass(frozen=True)
+class Run:
+    """What a run made: the tables, its malformed answers, the mails that are still pending (email_id), and what an index lacks."""
+
+    tables: Tables
+    malformed: DataFrame
+    pending: DataFrame
+    reindex: DataFrame | None = None
+
+
+def pending(tables: Tables, model: str, prompt_version: str, tried: DataFrame) -> DataFrame:
+    """email_id of candidates that have no classification by this model and prompt, and weren't tried."""
+    left = lists.candidates_to_classify(tables.emails, tables.classes, model, prompt_version, None, tried.select(F.col("email_id").alias("id")))
+    return left.select(F.col("id").alias("email_id"))
+
+
+def reindexed(tables: Tables, state: DataFrame, provider: str, model: str, most: int = schema.CHUNK_CHARS, overlap: int = schema.CHUNK_OVERLAP) -> DataFrame:
+    """What an index lacks or has too much after a run (email_id, action): all eligible mails' chunks against its state."""
+    chunks = text.chunked(retrieval.eligible(tables.emails, tables.classes), most, overlap)
+    return retrieval.reconcile(retrieval.content_hash(chunks), state, provider, model)
+
+
+def run(tables: Tables, classify: Classifier, model: str, prompt_version: str, now: str, size: int | None = None, most: int | None = None, index_state: DataFrame | None = None, index_provider: str = "", index_model: str = "") -> Run:
+    """Classifies what is pending, links it, infers and retracts ghosts, and tells what an index has to take up.
+
+    All that is pending is one pass, a table however large: mails are linked in the order of their events anyway.  With ``size``, batches of
+    so many mails, for a classifier that has to be stopped between them, and ``most`` of these; what is left then is reported as pending.
+    Malformed answers come back, and aren't tried again in this run."""
     spark = tables.emails.sparkSession
     quarantined = spark.createDataFrame([], "email_id string, model string, prompt_version string, reason string")
-    for _ in range(most):
-        tried = quarantined.select(F.col("email_id").alias("id"))
-        tables, malformed, n = batch(tables, classify, model, prompt_version, size, tried)
+    done = 0
+    while most is None or done < most:
+        tables, malformed, n = batch(tables, classify, model, prompt_version, size, quarantined.select(F.col("email_id").alias("id")))
         if not n:
             break
-        quarantined = cut(quarantined.unionByName(malformed), "quarantined")
-    return with_ghosts(tables, now), quarantined
+        quarantined, done = cut(quarantined.unionByName(malformed), "quarantined"), done + 1
+        if size is None:
+            break
+    tables = with_ghosts(tables, now)
+    reindex = None if index_state is None else reindexed(tables, index_state, index_provider, index_model)
+    return Run(tables, quarantined, pending(tables, model, prompt_version, quarantined), reindex)

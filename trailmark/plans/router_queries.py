@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailmark.operators import router
+from trailmark.operators import router, windows
 from trailmark.plans.catalog import query
 
 #: Questions with route, insight, template, dimension, and filters or limits as text (name=value, sorted).
@@ -129,3 +129,25 @@ def _lean():
     from trailmark.operators.questions import lean
 
     return lean(F.col("question")).alias("leans")
+#: Requests with a window each, in different zones, asked at the events' times.
+_REQUESTS = {
+    "window_requests": """SELECT event_id AS request_id, CASE event_id % 9 WHEN 0 THEN 'this_week' WHEN 1 THEN 'last_week' WHEN 2 THEN 'this_month' WHEN 3 THEN 'last_month' WHEN 4 THEN 'this_year' WHEN 5 THEN 'last_year' WHEN 6 THEN 'rolling_days' WHEN 7 THEN 'calendar_year' ELSE 'custom' END AS kind,
+                                 CASE WHEN event_id % 9 = 6 THEN CAST(1 + event_id % 500 AS INT) END AS days, CASE WHEN event_id % 9 = 7 THEN CAST(1992 + event_id % 8 AS INT) END AS year,
+                                 CASE WHEN event_id % 9 = 8 THEN CAST(DATE '1993-01-01' + CAST(event_id % 900 AS INT) AS DATE) END AS start_day, CASE WHEN event_id % 9 = 8 THEN CAST(DATE '1993-01-01' + CAST(event_id % 900 + 1 + event_id % 70 AS INT) AS DATE) END AS end_day,
+                                 CASE event_id % 5 WHEN 0 THEN 'UTC' WHEN 1 THEN 'Europe/Berlin' WHEN 2 THEN 'America/New_York' WHEN 3 THEN 'Asia/Kathmandu' ELSE 'Australia/Lord_Howe' END AS zone, ts - INTERVAL '28' YEAR AS now FROM <events>"""
+}
+_LOCAL = {
+    "window_today": "SELECT *, CAST(timezone(zone, timezone('UTC', now)) AS DATE) AS today FROM <window_requests>",
+    "window_days": """SELECT *, CAST(CASE kind WHEN 'this_week' THEN date_trunc('week', today) WHEN 'last_week' THEN date_trunc('week', today) - INTERVAL 7 DAY WHEN 'this_month' THEN date_trunc('month', today) WHEN 'last_month' THEN date_trunc('month', today) - INTERVAL 1 MONTH
+                               WHEN 'this_year' THEN date_trunc('year', today) WHEN 'last_year' THEN date_trunc('year', today) - INTERVAL 1 YEAR WHEN 'rolling_days' THEN today - (days - 1) * INTERVAL 1 DAY WHEN 'calendar_year' THEN make_date(year, 1, 1) ELSE start_day END AS TIMESTAMP) AS first_day,
+                            CAST(CASE kind WHEN 'this_week' THEN date_trunc('week', today) + INTERVAL 7 DAY WHEN 'last_week' THEN date_trunc('week', today) WHEN 'this_month' THEN date_trunc('month', today) + INTERVAL 1 MONTH WHEN 'last_month' THEN date_trunc('month', today)
+                               WHEN 'this_year' THEN date_trunc('year', today) + INTERVAL 1 YEAR WHEN 'last_year' THEN date_trunc('year', today) WHEN 'rolling_days' THEN today + INTERVAL 1 DAY WHEN 'calendar_year' THEN make_date(year + 1, 1, 1) ELSE end_day END AS TIMESTAMP) AS after_day FROM <window_today>""",
+    "window_bounds": "SELECT request_id, timezone('UTC', timezone(zone, first_day)) AS first_at, timezone('UTC', timezone(zone, after_day)) AS after_at FROM <window_days>",
+}
+_bounds = lambda j: windows.bounded(j.view("window_requests", _REQUESTS))
+query("f23_window_bounds", "SELECT request_id, first_at, after_at FROM <window_bounds>", _REQUESTS | _LOCAL)(lambda j: _bounds(j).select("request_id", "first_at", "after_at"))
+query(
+    "q03_f23_counted_requests",
+    "SELECT b.request_id, count(a.id) AS n FROM <window_bounds> b LEFT JOIN <applications> a ON a.first_seen_at >= b.first_at AND a.first_seen_at < b.after_at GROUP BY 1",
+    _REQUESTS | _LOCAL,
+)(lambda j: windows.counted(_bounds(j), j.apps, "first_seen_at"))
