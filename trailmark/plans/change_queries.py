@@ -384,3 +384,13 @@ query(
 query("x30_normalized_terms", "SELECT DISTINCT lower(source) || '.example' AS term FROM <documents> WHERE source IS NOT NULL")(
     lambda j: status.normalized_terms(j.view("documents").where("source IS NOT NULL").select(F.concat(F.lit(" @"), F.upper("source"), F.lit(".Example. ")).alias("term")).union(j.spark.createDataFrame([(" ",), ("@",)], "term string")))
 )
+
+
+def _optional(j: JobSearch):
+    """Counts of a table that the catalogue has and of one that it lacks."""
+    j.view("documents").createOrReplaceTempView("trailmark_there")
+    counted = [status.table_or_none(j.spark, f"trailmark_{name}", "doc_id long").agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name in ("there", "missing")]
+    return counted[0].unionByName(counted[1])
+
+
+query("p21_optional_tables", "SELECT 'there' AS name, count(*) AS rows FROM <documents> UNION ALL SELECT 'missing', 0")(_optional)
