@@ -84,7 +84,7 @@ def _search(queries: DataFrame, graphs: DataFrame) -> DataFrame:
     return queries.groupBy("shard", "part").cogroup(graphs.groupBy("shard", "part")).applyInArrow(make, "row long, links long, a long, b long")
 
 
-def linked_components(vectors: DataFrame, least: float = 0.9, target: float = 0.99, shard_rows: int = 1 << 15, query_rows: int = 1 << 13) -> DataFrame:
+def linked_components(vectors: DataFrame, least: float = 0.9, target: float = 0.99, shard_rows: int = 1 << 15, query_rows: int = 1 << 14) -> DataFrame:
     """vec_id, n_links (other vectors linked with it), component_id (smallest vec_id that links lead to), kept: one row per vector."""
     rows, shards = _sharded(vectors, shard_rows)
     built = written(_graphs(rows.where("sound"), least, target), "graphs")

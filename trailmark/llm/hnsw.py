@@ -253,14 +253,15 @@ class Graph:
 
     def dumped(self) -> bytes:
         n, to = len(self.node), io.BytesIO()
-        np.savez(to, rows=self.rows, unit=self.unit, ball=self.ball, node=self.node, radius=self.radius, vectors=self.vectors, facts=np.array([self.least, self.ef, self.recall, self.top]), **{f"links{i}": x[:n] for i, x in enumerate(self.links)})
+        np.savez(to, rows=self.rows, unit=self.unit, ball=self.ball, node=self.node, radius=self.radius, facts=np.array([self.least, self.ef, self.recall, self.top]), **{f"links{i}": x[:n] for i, x in enumerate(self.links)})
         return to.getvalue()
 
     @classmethod
     def loaded(cls, data: bytes) -> Graph:
         out, had = cls.__new__(cls), np.load(io.BytesIO(data))
-        for name in ("rows", "unit", "ball", "node", "radius", "vectors"):
+        for name in ("rows", "unit", "ball", "node", "radius"):
             setattr(out, name, had[name])
+        out.vectors = out.unit[out.node].astype(np.float32)
         least, ef, out.recall, top = had["facts"].tolist()
         out.least, out.ef, out.top, out.angle = least, int(ef), int(top), float(np.arccos(min(1.0, least)))
         out.links = [had[f"links{i}"] for i in range(out.top + 1)]
