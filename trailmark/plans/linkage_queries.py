@@ -59,7 +59,31 @@ query(
     "SELECT id, trim(regexp_replace(lower(regexp_replace(role_title, '^[0-9]-', '')), '(not specified|[a-z]+) engineer', '\\1 engineer')) AS role_key FROM <applications>",
 )(lambda j: j.apps.select("id", text.normalized_role("role_title").alias("role_key")))
 query("f14_page_text")(lambda j: j.view("pages").select("page_id", text.page_text("html").alias("body")))
-query("f15_chunks")(lambda j: text.chunked(j.emails))
+#: The fold over paragraphs, a step each: what is closed, and the chunk that is still open.
+_WINDOWS = f"list_filter([regexp_replace(substring(long, k * {schema.CHUNK_CHARS - schema.CHUNK_OVERLAP} + 1, {schema.CHUNK_CHARS}), '^\\s+|\\s+$', '', 'g') FOR k IN range(0, CAST(floor(greatest(0, length(long) - {schema.CHUNK_OVERLAP} - 1) / {schema.CHUNK_CHARS - schema.CHUNK_OVERLAP}) AS BIGINT) + 1)], lambda x: x <> '')"
+_CHUNKED = f"""
+    SELECT email_id, CAST(unnest(range(len(c))) AS INTEGER) AS chunk_index, unnest(c) AS content FROM (
+        WITH RECURSIVE p AS (
+            SELECT id AS email_id, list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN string_split(regexp_replace(body_text, chr(13) || chr(10) || '?', chr(10), 'g'), chr(10) || chr(10))], lambda x: x <> '') AS ps
+            FROM <raw_emails> WHERE trim(body_text) <> ''
+        ), f(email_id, i, done, held) AS (
+            SELECT email_id, 0, CAST([] AS VARCHAR[]), '' FROM p
+            UNION ALL
+            SELECT email_id, i + 1,
+                   CASE WHEN kind = 'long' THEN done || (CASE WHEN held = '' THEN CAST([] AS VARCHAR[]) ELSE [held] END) || {_WINDOWS} WHEN kind = 'windows' THEN done || [held] || {_WINDOWS} WHEN kind = 'new' THEN done || [held] ELSE done END,
+                   CASE kind WHEN 'long' THEN '' WHEN 'first' THEN x WHEN 'more' THEN held || chr(10) || chr(10) || x WHEN 'windows' THEN '' ELSE opened END
+            FROM (SELECT *, CASE WHEN length(x) > {schema.CHUNK_CHARS} THEN 'long' WHEN held = '' THEN 'first' WHEN length(held) + 2 + length(x) <= {schema.CHUNK_CHARS} THEN 'more' WHEN length(opened) > {schema.CHUNK_CHARS} THEN 'windows' ELSE 'new' END AS kind,
+                         CASE WHEN length(x) > {schema.CHUNK_CHARS} THEN x ELSE opened END AS long
+                  FROM (SELECT f.email_id, i, done, held, ps[i + 1] AS x, right(held, {schema.CHUNK_OVERLAP}) || chr(10) || chr(10) || ps[i + 1] AS opened FROM f JOIN p ON p.email_id = f.email_id WHERE i < len(ps)) y) z
+        )
+        SELECT f.email_id, done || (CASE WHEN held = '' THEN CAST([] AS VARCHAR[]) ELSE [held] END) AS c FROM f JOIN p ON p.email_id = f.email_id WHERE i = len(ps)) w"""
+query("f15_chunks", _CHUNKED)(lambda j: text.chunked(j.emails))
+#: The same of pages of paragraphs of many lengths: empty ones, and longer ones than a chunk.
+_PARAGRAPHS = {
+    "raw_pages": """SELECT CAST(doc_id AS STRING) AS id, repeat(substring(text, 1, CAST(1 + doc_id % 900 AS INT)), CAST(1 + doc_id % 3 AS INT)) || chr(10) || chr(10) || '  ' || chr(13) || chr(10) || chr(13) || chr(10) || substring(text, 7, CAST(doc_id % 1300 AS INT))
+                           || chr(10) || chr(10) || repeat(CAST(doc_id AS STRING) || ' é' || chr(10), CAST(doc_id % 70 AS INT)) || chr(10) || chr(10) || 'end ' AS body_text FROM <documents> WHERE length(text) > 0"""
+}
+query("f15_chunked_paragraphs", _CHUNKED.replace("<raw_emails>", "<raw_pages>"), _PARAGRAPHS)(lambda j: text.chunked(j.view("raw_pages", _PARAGRAPHS)))
 #: Texts with each kind of secret or mail content, and named hard cases of company and role keys.
 _SECRETS = {
     "secrets": """SELECT doc_id AS id, doc_id % 10 AS kind, CASE doc_id % 10 WHEN 0 THEN 'Authorization: Bearer abc.def' WHEN 1 THEN 'sent bearer xyz9, ok' WHEN 2 THEN 'api_key=abc123&x=1' WHEN 3 THEN '"password": "hunter2", "a": 1'
