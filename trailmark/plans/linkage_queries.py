@@ -128,7 +128,17 @@ query(
 query("f16_redaction", "SELECT id, regexp_replace(body_text, '(token = )(\"?)([0-9a-f]+)(\"?)', '\\1\\2[REDACTED]\\4', 'g') AS body FROM <raw_emails> WHERE body_text IS NOT NULL")(
     lambda j: j.emails.where("body_text IS NOT NULL").select("id", text.redacted(F.col("body_text")).alias("body"))
 )
-query("f17_excerpts")(lambda j: j.emails.where("body_text IS NOT NULL").select("id", text.relevant_excerpt(F.col("body_text"), "What did they say about the position?").alias("excerpt")))
+_TERMS = "['position', 'the', 'they']"  # what counts of the question below
+_AT = "coalesce(nullif(length(regexp_extract(lower({s}), '(?s)^(.*?)\\b' || t || '\\b', 0)) - length(t) + 1, 1 - length(t)), 0)"  # the place of t as a word, 0 if it isn't there
+_EXCERPTS = f"""
+    SELECT id, CASE WHEN length(flat) <= 280 THEN flat WHEN best IS NULL THEN substring(flat, 1, 280) WHEN length(best) <= 280 THEN best
+                    ELSE (CASE WHEN first_at > 0 THEN '... ' ELSE '' END) || trim(substring(best, first_at + 1, 280)) || (CASE WHEN first_at + 280 < length(best) THEN ' ...' ELSE '' END) END AS excerpt
+    FROM (
+        SELECT id, flat, best, CAST(greatest(0, least(list_min(list_filter([{_AT.replace("{s}", "best")} FOR t IN {_TERMS}], lambda x: x > 0)) - 1 - 140, length(best) - 280)) AS BIGINT) AS first_at
+        FROM (
+            SELECT id, flat, list_max(list_filter([{{'weight': list_sum([CASE WHEN {_AT.replace("{s}", "sentences[i]")} > 0 THEN length(t) ELSE 0 END FOR t IN {_TERMS}]), 'at': -i, 'text': trim(sentences[i])}} FOR i IN range(1, len(sentences) + 1)], lambda x: x.weight > 0)).text AS best
+            FROM (SELECT id, flat, regexp_extract_all(flat, '[^.!?]+[.!?]?') AS sentences FROM (SELECT id, trim(regexp_replace(body_text, '\\s+', ' ', 'g')) AS flat FROM <raw_emails> WHERE body_text IS NOT NULL) a) b) c) d"""
+query("f17_excerpts", _EXCERPTS)(lambda j: j.emails.where("body_text IS NOT NULL").select("id", text.relevant_excerpt(F.col("body_text"), "What did they say about the position?").alias("excerpt")))
 query(
     "f10_split_ids",
     "SELECT application_id, 'manual-split-' || substring(sha256(application_id || chr(0) || string_agg(id, chr(0) ORDER BY id)), 1, 16) AS split_id FROM <application_events> GROUP BY 1",
