@@ -7,10 +7,11 @@ more, in whatever order the document has them.
 
 An item of fewer than ``seed`` words counts as leaked where all its words stand in a row.
 
-Before the join a Bloom filter of fixed size (2**FILTER_BITS bits, whatever the benchmark's size) drops document seeds that no item
-has; it may let others through, and the join settles those.  So nothing that grows is broadcast, and only seeds of likely leaks are
-shuffled: one row for each distinct seed of a text, with all its places, so words that repeat make no products of rows.  Groups are
-single document-item pairs.
+Before the join a Bloom filter of bounded size (16 bits for each seed of the items, within 2**LEAST_BITS and 2**MOST_BITS bits) drops
+document seeds that no item has; it may let others through, and the join settles those.  So nothing that grows is broadcast, and only seeds of
+likely leaks are shuffled: one row for each distinct seed of a text, with all its places, so words that repeat make no products of rows.
+Pairs of a document and an item are first counted, by the item's places that their seeds cover; only pairs with enough of them get the places
+themselves, so a seed that is common in both costs a number a pair, summed before it is shuffled.  Groups are single pairs.
 
 Null texts, and texts and items without words, match nothing.  Items of one item_id (or of none) with different texts are items of
 their own; repeated items of one item_id give one row, those of different ids, and repeated documents, a row each.  Extra columns are
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import in_slices, pick, written
 from .wordhash import hash_words, rolling
 
-FILTER_BITS = 24
+LEAST_BITS, MOST_BITS = 24, 27
 _SEEDS = "row long, id long, words int, size int, seed long, places array<int>"
 
 
@@ -55,6 +56,10 @@ def sizes_of(items: DataFrame, seed: int) -> list[int]:
     return sorted({seed, *(r["n"] for r in short)})
 
 
+def _bits(keep: np.ndarray) -> int:
+    return len(keep).bit_length() + 2  # bytes, a power of two
+
+
 def seed_rows(texts: DataFrame, id_column: str, sizes: list[int], keep: np.ndarray | None = None) -> DataFrame:
     """row, id, words, size, seed, places for the distinct seeds of each text (of those in the filter ``keep``, if given).
 
@@ -66,7 +71,7 @@ def seed_rows(texts: DataFrame, id_column: str, sizes: list[int], keep: np.ndarr
         for k in sizes:
             row, place, h, words = seeds_of(batch.column("text"), k)
             if kept.value is not None:
-                slot = h >> np.uint64(64 - FILTER_BITS)
+                slot = h >> np.uint64(64 - _bits(kept.value))
                 hit = np.flatnonzero(kept.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
             else:
                 hit = np.flatnonzero((words[row] == k) | (k == sizes[-1]))
@@ -89,19 +94,18 @@ def seed_rows(texts: DataFrame, id_column: str, sizes: list[int], keep: np.ndarr
     return rows.mapInArrow(in_slices(make), _SEEDS)
 
 
-def seed_filter(items: DataFrame, sizes: list[int]) -> np.ndarray:
-    """The Bloom filter of the items' seeds, or-ed from at most eight parts of fixed size."""
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """The Bloom filter of the items' seeds, or-ed from at most eight parts of bounded size."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * seeds.count()).bit_length()))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        found = np.zeros(1 << bits, bool)
         for batch in batches:
-            for k in sizes:
-                row, _, h, words = seeds_of(batch.column("text"), k)
-                bits[h[(words[row] == k) | (k == sizes[-1])] >> np.uint64(64 - FILTER_BITS)] = True
-        yield pa.record_batch([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+            found[batch.column("seed").to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
+        yield pa.record_batch([pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for part in pick(items, "text").select(F.col("text").cast("string")).coalesce(8).mapInArrow(make, "bits binary").toLocalIterator():
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for part in seeds.select("seed").coalesce(8).mapInArrow(make, "bits binary").toLocalIterator():
         out |= np.frombuffer(part["bits"], np.uint8)
     return out
 
@@ -145,11 +149,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, seed: int = 5, coverage: float
     """doc_id, item_id, coverage, tiles, first_word for each document row and item whose tiles cover enough of the item."""
     items = written(pick(items, "item_id", "text").distinct(), "items")
     sizes = sizes_of(items, seed)
-    own = seed_rows(docs, "doc_id", sizes, seed_filter(items, sizes)).withColumnRenamed("id", "doc_id").drop("words")
-    theirs = seed_rows(items, "item_id", sizes).select(F.col("row").alias("item"), F.col("id").alias("item_id"), "words", "size", F.col("places").alias("item_places"), "seed")
-    shared = own.join(theirs, ["seed", "size"])
-    pairs = shared.groupBy("row", "item", "doc_id", "item_id", "words", "size").agg(F.collect_list("places").alias("places"), F.collect_list("item_places").alias("item_places"))
-    likely = pairs.where(F.size(F.array_distinct(F.flatten("item_places"))) * F.col("size") >= coverage * F.col("words"))
+    theirs = written(seed_rows(items, "item_id", sizes).select(F.col("row").alias("item"), F.col("id").alias("item_id"), "words", "size", F.col("places").alias("item_places"), "seed"), "item_seeds")
+    own = written(seed_rows(docs, "doc_id", sizes, seed_filter(theirs)).withColumnRenamed("id", "doc_id").drop("words"), "seeds")
+    counted = own.select("row", "seed", "size").join(theirs.select("item", "words", "size", "seed", F.size("item_places").alias("n")), ["seed", "size"])
+    enough = counted.groupBy("row", "item", "words", "size").agg(F.sum("n").alias("n")).where(F.col("n") * F.col("size") >= coverage * F.col("words")).select("row", "item")
+    shared = own.join(theirs, ["seed", "size"]).join(written(enough, "pairs"), ["row", "item"], "left_semi")
+    likely = shared.groupBy("row", "item", "doc_id", "item_id", "words", "size").agg(F.collect_list("places").alias("places"), F.collect_list("item_places").alias("item_places"))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
