@@ -82,3 +82,22 @@ def test_many_names_that_begin_alike(spark):
     texts = spark.range(2_000).select("id", F.concat(F.lit("the the THE Company "), F.col("id").cast("string"), F.lit(" and the company 7, the company 77777777")).alias("said"))
     got = names.mentioned_names(texts, companies, "id", "said")
     assert got.count() == 2_000 * 2 - 1
+
+
+def test_many_vectors_without_cells_of_their_own_meet_in_groups(spark, tmp_path, monkeypatch):
+    from trailmark.operators import vector_index
+
+    monkeypatch.setattr(vector_index, "GROUP_QUERIES", 40)
+    monkeypatch.setattr(vector_index, "PART_ROWS", 100)
+    r = random.Random(8)
+    rows = [(f"m{i:03}", 0, [float(r.randint(-3, 3)) for _ in range(6)]) for i in range(300)]  # small whole numbers: many ties
+    df = spark.createDataFrame(rows, "email_id string, chunk_index int, embedding array<float>")
+    index = VectorIndex.created(df, str(tmp_path / "index"), cells=9)
+    asked = spark.createDataFrame([(i, v) for i, (_, _, v) in enumerate(rows[::2])], "query_id long, vector array<double>")
+    got = {}
+    for x in index.nearest(asked, 5).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["email_id"]))
+    assert len(got) == 150
+    for i, (_, _, q) in enumerate(rows[::2]):
+        want = sorted((sum((a - b) ** 2 for a, b in zip(q, v, strict=True)), m) for m, _, v in rows)[:5]
+        assert sorted(got[i]) == [(n + 1, m) for n, (_, m) in enumerate(want)]

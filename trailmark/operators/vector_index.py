@@ -1,9 +1,10 @@
 """A kept index of embeddings in cells, for exact nearest chunks of many vectors at once.
 
 A sample of vectors are the cells' centres; a row lies in the cell of its nearest centre and knows how far from it.  Files are kept by
-cell.  No row of a cell is nearer to a query than the centre's distance less the cell's radius; and no row nearer than the
-difference of its own and the query's distance from the centre.  A query first meets the nearest cells that have k rows, which bounds its k-th
-distance, and then the rows that these two bounds don't rule out: the result is that of a scan, ties included.
+cell.  No row of a cell is nearer to a query than the centre's distance less the cell's radius, so a cell matters only while that is within the
+k-th distance that a query has found.  Queries of neighbouring cells form groups, which first meet the nearest cells that have k rows for each of
+them, which bounds k-th distances, and then the cells that bounds don't rule out.  A group meets its rows in parts: inner products leave out what
+is farther than the bound, and the few that are left are measured plainly.  The result is that of a scan, ties included.
 
 Changes come as generations over the same centres, like those of ``text_index``.
 """
@@ -15,20 +16,29 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators.retrieval import distance
 from trailmark.sources.shared import cut
 from trailmark.streaming.tables import BucketedTable
 
 MOST_CELLS = 1024
+#: How many queries a group has, and rows a part of those that it meets, about.
+GROUP_QUERIES, PART_ROWS = 1 << 12, 1 << 14
 #: What rounding may add to a distance, as a share of it.
 SLACK = 1e-9
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array([np.asarray(v, float) for v in column.to_pylist()]).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _plain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances row by row, summed component after component as ``retrieval.distance`` does."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total += (a[:, i] - b[:, i]) ** 2
+    return np.sqrt(total)
 
 
 def _distances(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -100,44 +110,99 @@ class VectorIndex:
         known = np.array([c in facts for c in cells.tolist()], bool)
         cells, centres = cells[known], centres[known]
         size, radius = (np.array([facts[c][i] for c in cells.tolist()], float) for i in (0, 1))
+        parts = max(1, -(-int(size.sum()) // PART_ROWS))
+        shape = "query_id long, vector array<double>, own long"
         model = self.spark.sparkContext.broadcast((cells, centres, size, radius))
-        asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+
+        def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells, centres, _, _ = model.value
+            for b in batches:
+                if b.num_rows and len(cells):
+                    own = _distances(_matrix(b.column("vector")), centres).argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], names=[*b.schema.names, "own"])
+
+        placed = cut(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(home, shape), "asked")
+        asked = placed.withColumn("group", self._groups(placed, centres))
 
         def choose(first: bool):
+            """group, cell: which cells the queries of each batch need."""
+
             def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cells, centres, size, radius = model.value
                 for b in batches:
-                    if not b.num_rows or not len(cells):
+                    if not b.num_rows:
                         continue
                     d = _distances(_matrix(b.column("vector")), centres)
-                    order = np.argsort(d, axis=1, kind="stable")
-                    had = np.cumsum(size[order], axis=1) - size[order] < k
-                    near = np.zeros(d.shape, bool)
-                    np.put_along_axis(near, order, had, axis=1)
-                    if not first:
+                    if first:
+                        order = np.argsort(d, axis=1, kind="stable")
+                        near = np.zeros(d.shape, bool)
+                        np.put_along_axis(near, order, np.cumsum(size[order], axis=1) - size[order] < k, axis=1)
+                    else:
                         bound = b.column("bound").to_numpy(zero_copy_only=False)[:, None]
                         bound = np.where(np.isnan(bound), np.inf, bound)
-                        near = ~near & (d - radius[None] <= bound + SLACK * (bound + d + 1))
+                        near = d - radius[None] <= bound + SLACK * (bound + d + 1)
                     i, j = np.nonzero(near)
-                    take = pa.array(i)
-                    yield pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns], pa.array(cells[j]), pa.array(d[i, j])], names=[*b.schema.names, "cell", "centre_off"])
+                    pair = np.unique(np.stack([b.column("group").to_numpy()[i], cells[j]], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["group", "cell"])
 
             return make
 
-        shape = "query_id long, vector array<double>, bound double, cell long, centre_off double"
-        rank = Window.partitionBy("query_id").orderBy("distance", "email_id", "chunk_index")
-
-        def meet(chosen: DataFrame) -> DataFrame:
-            sent = cut(chosen, "sent")
-            few = [r["cell"] for r in sent.select("cell").distinct().limit(MOST_CELLS).collect()]
-            inside = F.abs(F.col("off") - F.col("centre_off")) <= F.col("bound") + F.lit(SLACK) * (F.col("bound") + F.col("off") + F.col("centre_off") + 1)
-            met = self.rows_of(few).join(sent, "cell").where(F.coalesce(inside, F.lit(True)))
-            scored = met.select("query_id", "email_id", "chunk_index", distance(F.col("embedding"), F.col("vector")).alias("distance"))
-            return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+        def measure(asked: pa.Table, rows: pa.Table) -> pa.Table:
+            """For each query its k nearest of these rows, and those equally far, as far as its bound lets them in."""
+            ids, found = asked.column("query_id").to_numpy(), []
+            if asked.num_rows and rows.num_rows:
+                q, v = _matrix(asked.column("vector").combine_chunks()), _matrix(rows.column("embedding").combine_chunks())
+                bound = asked.column("bound").to_numpy()
+                bound = np.where(np.isnan(bound), np.inf, bound)
+                v_square = (v**2).sum(axis=1)
+                for lo in range(0, len(q), 256):
+                    part = q[lo : lo + 256]
+                    sizes = (part**2).sum(axis=1)[:, None] + v_square[None]
+                    rough, error = sizes - 2 * (part @ v.T), SLACK * sizes
+                    limit = bound[lo : lo + 256] ** 2
+                    if v.shape[0] > k:
+                        limit = np.minimum(limit, np.partition(rough + error, k - 1, axis=1)[:, k - 1])
+                    i, j = np.nonzero(~(rough - error > (limit * (1 + SLACK))[:, None]))
+                    found.append((i + lo, j, _plain(part[i], v[j])))
+            i, j, d = (np.concatenate([x[n] for x in found] or [np.zeros(0, np.int64)]) for n in range(3))
+            return pa.table([pa.array(ids[i], pa.int64()), *[rows.column(c).take(pa.array(j, pa.int64())) for c in ("email_id", "chunk_index")], pa.array(d, pa.float64())], names=["query_id", "email_id", "chunk_index", "distance"])
 
-        tried = cut(meet(asked.withColumn("bound", F.lit(None).cast("double")).mapInArrow(choose(True), shape)).drop("rank"), "tried")
+        rank = Window.partitionBy("query_id").orderBy("distance", "email_id", "chunk_index")
+        best = lambda df: df.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+
+        def meet(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+            few = [r["cell"] for r in pairs.select("cell").distinct().limit(MOST_CELLS).collect()]
+            part = F.pmod(F.xxhash64("email_id", "chunk_index"), F.lit(parts)).cast("int").alias("part")
+            rows = self.rows_of(few).join(pairs, "cell").select("group", part, "email_id", "chunk_index", "embedding")
+            sent = asked.join(pairs.select("group").distinct(), "group", "left_semi").select("group", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "query_id", "vector", "bound")
+            met = sent.groupBy("group", "part").cogroup(rows.groupBy("group", "part"))
+            return best(met.applyInArrow(measure, "query_id long, email_id string, chunk_index int, distance double")).drop("rank")
+
+        blind = asked.withColumn("bound", F.lit(None).cast("double"))
+        pairs = cut(blind.mapInArrow(choose(True), "group long, cell long").distinct(), "pairs")
+        tried = cut(meet(blind, pairs), "tried")
         bounds = tried.groupBy("query_id").agg(F.max("distance").alias("bound"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("bound")).alias("bound"))
-        further = meet(asked.join(bounds, "query_id", "left").select("query_id", "vector", "bound").mapInArrow(choose(False), shape)).drop("rank")
-        best = tried.unionByName(further).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-        out = best.select("query_id", F.col("rank").cast("int").alias("rank"), "email_id", "chunk_index", "distance")
+        bounded = cut(asked.join(bounds, "query_id", "left"), "bounded")
+        further = cut(bounded.mapInArrow(choose(False), "group long, cell long").distinct().join(pairs, ["group", "cell"], "left_anti"), "pairs")
+        out = best(tried.unionByName(meet(bounded, further))).select("query_id", F.col("rank").cast("int").alias("rank"), "email_id", "chunk_index", "distance")
         return out if max_distance is None else out.where(F.col("distance") <= max_distance)
+
+    @staticmethod
+    def _groups(placed: DataFrame, centres: np.ndarray) -> Column:
+        """The group of a query: neighbouring cells, in the order of the centres' main direction, make up about ``GROUP_QUERIES``; more in one cell are dealt out."""
+        asked = {r["own"]: r["n"] for r in placed.groupBy("own").agg(F.count("*").alias("n")).collect()}  # a row a cell
+        if not asked:
+            return F.lit(0).cast("long")
+        apart = centres - centres.mean(axis=0)
+        along = apart @ np.linalg.svd(apart, full_matrices=False)[2][0]
+        first, deal, now, held = {}, {}, 0, 0
+        for own in sorted(asked, key=lambda i: along[i]):
+            n = asked[own]
+            if held and held + n > GROUP_QUERIES:
+                now, held = now + 1, 0
+            first[own], deal[own] = now, max(1, -(-n // GROUP_QUERIES))
+            held += n
+            if deal[own] > 1:
+                now, held = now + deal[own], 0
+        table = lambda d: F.create_map(*[F.lit(int(x)) for pair in d.items() for x in pair])[F.col("own").cast("int")]
+        return (table(first) + F.pmod(F.xxhash64("query_id"), table(deal))).cast("long")
