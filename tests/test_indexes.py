@@ -101,3 +101,14 @@ def test_many_vectors_without_cells_of_their_own_meet_in_groups(spark, tmp_path,
     for i, (_, _, q) in enumerate(rows[::2]):
         want = sorted((sum((a - b) ** 2 for a, b in zip(q, v, strict=True)), m) for m, _, v in rows)[:5]
         assert sorted(got[i]) == [(n + 1, m) for n, (_, m) in enumerate(want)]
+
+
+def test_first_places_carry_no_texts(spark, tmp_path):
+    rows = [("a", 0, "One token here"), ("a", 1, "TOKEN and token"), ("b", 0, "nothing"), ("b", 1, "a to-do"), ("c", 0, None)]
+    df = spark.createDataFrame(rows, CHUNK)
+    index = TextIndex(spark, str(tmp_path / "index"), buckets=2)
+    index.update(df, df.select("email_id").distinct().withColumn("action", F.lit("embed")))
+    asked = spark.createDataFrame([(1, "token"), (2, "to"), (3, "T"), (4, "absent")], "term_id long, term string")
+    places = index.first_places(df, asked)
+    assert {tuple(x) for x in places.collect()} == {(1, "a", 0), (2, "a", 0), (2, "b", 1), (3, "a", 0), (3, "b", 0)}
+    assert {(x["term_id"], x["email_id"], x["content"]) for x in index.first_mentions(df, asked).collect()} >= {(1, "a", "One token here"), (2, "b", "a to-do")}

@@ -2,8 +2,8 @@
 
 Postings are rows (gram, email_id, chunk_index): each place of a chunk's lower-cased text begins a gram of up to three characters, so a term
 of three or more has all its grams in a chunk that holds it, and a shorter one begins some gram.  Rows are kept in the order of
-grams, so a search reads the parts of files that its grams lie in.  Of a term's grams only the rarest are looked up; chunks that have these
-are read and compared with the term itself.
+grams, so a search reads the parts of files that its grams lie in.  Of a term's grams only the rarest is looked up; chunks that have it are
+read and compared with the term itself.
 
 Changes come as generations: a batch writes the postings of its mails, and a table tells which generation of a mail counts.  ``compacted``
 writes all that counts as one generation again.
@@ -68,8 +68,10 @@ class TextIndex:
         totals = counts.groupBy("gram").agg(F.sum("n").alias("n"))
         rarest = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), 1, most_grams)
         chosen = long.join(totals, "gram", "left").groupBy("term_id", "term").agg(rarest.alias("g")).select("term_id", "term", F.size("g").alias("needs"), F.explode("g.gram").alias("gram"))
-        begun = short.join(totals.select("gram", F.substring("gram", 1, 1).alias("first")), F.col("first") == F.substring("low", 1, 1)).where(F.startswith("gram", "low")).select("term_id", "term", F.lit(1).alias("needs"), "gram")
-        wanted = chosen.unionByName(begun)
+        first = F.explode(F.array(F.struct(F.substring("gram", 1, 1).alias("begin"), "gram"), F.struct(F.substring("gram", 1, 2).alias("begin"), "gram"))).alias("b")
+        begins = short.select(F.col("low").alias("begin")).distinct()
+        begun = totals.select(first).select("b.begin", "b.gram").distinct().join(begins, "begin")
+        wanted = chosen.select("gram").unionByName(begun.select("gram"))
         live = self.state.rows()
         if live is None:
             return terms.select("term_id", "term", F.lit("").alias("email_id"), F.lit(0).alias("chunk_index")).limit(0)
@@ -77,16 +79,29 @@ class TextIndex:
         few = wanted.select("gram").distinct().limit(1001).collect()
         if len(few) <= 1000:  # then the scan itself leaves out what other grams lie in
             postings = postings.where(F.col("gram").isin([r["gram"] for r in few]))
-        found = postings.join(wanted, "gram").groupBy("term_id", "term", "needs", "generation", "email_id", "chunk_index").agg(F.count_distinct("gram").alias("has")).where("has >= needs")
-        counted = found.join(live.withColumnRenamed("since", "generation"), ["email_id", "generation"], "left_semi")
-        return counted.select("term_id", "term", "email_id", "chunk_index")
+        counted = postings.join(live.withColumnRenamed("since", "generation"), ["email_id", "generation"], "left_semi").select("gram", "email_id", "chunk_index")
+        found = counted.join(chosen, "gram").select("term_id", "term", "needs", "email_id", "chunk_index")
+        if most_grams > 1:  # of one gram a chunk has one row
+            found = found.groupBy("term_id", "term", "needs", "email_id", "chunk_index").agg(F.count("*").alias("has")).where("has >= needs")
+        # a chunk has many grams that begin with a short term: what they begin with is made one row before terms meet it
+        places = counted.join(begun, "gram").select("begin", "email_id", "chunk_index").distinct()
+        brief = places.join(short, F.col("begin") == F.col("low"))
+        return found.select("term_id", "term", "email_id", "chunk_index").unionByName(brief.select("term_id", "term", "email_id", "chunk_index"))
+
+    def _held(self, chunks: DataFrame, terms: DataFrame) -> DataFrame:
+        """term_id, email_id, chunk_index of all chunks that hold a term: the rarest gram tells which are read."""
+        near = self.candidates(terms, most_grams=1)
+        texts = chunks.select("email_id", "chunk_index", F.lower("content").alias("said"))
+        return texts.join(near, ["email_id", "chunk_index"]).where(F.col("said").contains(F.lower("term"))).select("term_id", "email_id", "chunk_index")
 
     def search(self, chunks: DataFrame, terms: DataFrame) -> DataFrame:
         """term_id, email_id, chunk_index, content of all chunks that hold a term, whatever its case."""
-        near = self.candidates(terms)
-        return chunks.join(near, ["email_id", "chunk_index"]).where(F.lower("content").contains(F.lower("term"))).select("term_id", "email_id", "chunk_index", "content")
+        return self._held(chunks, terms).join(chunks.select("email_id", "chunk_index", "content"), ["email_id", "chunk_index"]).select("term_id", "email_id", "chunk_index", "content")
+
+    def first_places(self, chunks: DataFrame, terms: DataFrame) -> DataFrame:
+        """term_id, email_id, chunk_index of the first chunk of each mail that holds a term; no text is carried along."""
+        return self._held(chunks, terms).groupBy("term_id", "email_id").agg(F.min("chunk_index").alias("chunk_index"))
 
     def first_mentions(self, chunks: DataFrame, terms: DataFrame) -> DataFrame:
         """The first chunk of each mail that holds a term (W01), for many terms at once."""
-        first = F.min(F.struct("chunk_index", "content")).alias("c")
-        return self.search(chunks, terms).groupBy("term_id", "email_id").agg(first).select("term_id", "email_id", "c.*")
+        return self.first_places(chunks, terms).join(chunks.select("email_id", "chunk_index", "content"), ["email_id", "chunk_index"]).select("term_id", "email_id", "chunk_index", "content")

@@ -36,7 +36,7 @@ def _mentions(j: JobSearch):
     index.update(j.chunks, j.chunks.select("email_id").distinct().withColumn("action", F.lit("embed")))
     _changed(j, index)
     terms = j.view("search_terms", _VIEWS).where("term <> ''").withColumn("term_id", F.col("term"))
-    return index.first_mentions(j.chunks, terms).select(F.col("term_id").alias("term"), "email_id", "chunk_index")
+    return index.first_places(j.chunks, terms).select(F.col("term_id").alias("term"), "email_id", "chunk_index")
 
 
 query(
