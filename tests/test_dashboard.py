@@ -63,3 +63,17 @@ def test_deltas_equal_full_queries(spark, tmp_path):
             for got, want in ((board.summary(clock), metrics.summary(f, clock)), (board.rates(clock), metrics.rates(f, cutoff)), (board.funnel(clock), metrics.funnel(f))):
                 nothing = lambda x: [tuple(0 if v is None and i == 1 else v for i, v in enumerate(t)) for t in map(tuple, x.collect())]
                 assert sorted(nothing(got), key=repr) == sorted(nothing(want), key=repr), batch
+
+
+def test_facts_of_changed_applications_read_events_once(spark, small):
+    from trailmark.operators.dashboard import facts_of
+    from trailmark.operators.features import features, submitted_features
+    from trailmark.operators.filters import submitted
+    from trailmark.sources.testdata import JobSearch
+
+    j = JobSearch(spark, small)
+    got, want = submitted_features(j.apps, j.events, j.emails, j.classes), features(submitted(j.apps, j.events, j.classes), j.events, j.emails, j.classes)
+    assert got.columns == want.columns
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and 0 < got.count() < j.apps.count()
+    plan = facts_of(j.apps, j.events, j.emails, j.classes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_shipdate") and plan.count("l_linenumber") and sum("Relation" in x and "l_linenumber" in x for x in plan.splitlines()) == 1

@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark import schema
-from trailmark.operators.features import features
-from trailmark.operators.filters import submitted
+from trailmark.operators.features import submitted_features
 from trailmark.operators.metrics import calendar_windows, rows
 from trailmark.sources.shared import cut
 from trailmark.streaming.tables import BucketedTable
@@ -28,7 +27,7 @@ _DAYS = {"seen": "first_seen_at", "waiting": "waiting_since", "live": "last_acti
 
 def facts_of(apps: DataFrame, events: DataFrame, emails: DataFrame, classes: DataFrame) -> DataFrame:
     """What counts of each submitted application."""
-    f = features(submitted(apps, events, classes), events, emails, classes)
+    f = submitted_features(apps, events, emails, classes)
     waits = F.when(F.col("latest_applied").isNotNull() & ~F.col("answered"), F.col("latest_non_ghost.event_at"))
     company = F.nullif(F.lower(F.trim("company")), F.lit(""))
     return f.withColumns({"company": company, "waiting_since": waits, "is_live": F.coalesce(F.col("current_status").isin(*schema.LIVE_STATUSES), F.lit(False))}).select(*_FACTS)
@@ -72,9 +71,9 @@ class Dashboard:
 
         The other tables are as they are now; only rows of changed applications are looked at.  Batches are numbered from 0."""
         ids = cut(changed.select("id").distinct(), "changed")
-        e = events.join(ids.withColumnRenamed("id", "application_id"), "application_id", "left_semi")
-        mails = e.where("email_id IS NOT NULL").select("email_id").distinct()
-        new = cut(facts_of(apps.join(ids, "id", "left_semi"), e, emails.join(mails.withColumnRenamed("email_id", "id"), "id", "left_semi"), classes.join(mails, "email_id", "left_semi")), "facts")
+        narrow = events.select("id", "application_id", "email_id", "event_type", "event_at")
+        e = narrow.join(ids.withColumnRenamed("id", "application_id"), "application_id", "left_semi")
+        new = cut(facts_of(apps.join(ids, "id", "left_semi"), e, emails, classes), "facts")
         touched = {r["bucket"] for r in self.facts.place(ids).select("bucket").distinct().collect()}
         before = self.facts.rows_before(0, batch, touched)
         old = None if before is None else before.select(*_FACTS).join(ids, "id", "left_semi")
