@@ -171,6 +171,25 @@ def test_linked_components(spark, shard_rows, query_rows):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == linked(rows)
 
 
+def test_graphs_are_sent_in_pieces_to_a_bounded_number_of_parts(spark):
+    rows = planted()
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    numbered, _ = embed_dedup._sharded(table, 150)
+    built = embed_dedup._graphs(numbered.where("sound"), 0.9, 0.99, 4096)
+    assert built.where("piece IS NOT NULL").agg(F.max(F.length("graph"))).first()[0] == 4096
+    got = embed_dedup.linked_components(table, shard_rows=150, query_rows=50, most_parts=3, piece_bytes=4096)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == linked(rows)
+
+
+def test_wide_beams_are_searched_for_fewer_rows_at_a_time():
+    graph, met = Graph.__new__(Graph), []
+    graph.ef, graph.angle, graph.radius, graph.node = 1 << 15, 0.45, np.zeros(1 << 15), np.arange(1 << 15)
+    graph.unit = np.zeros((1 << 15, 2))
+    graph._descend = lambda q, ef: met.append(len(q) * ef) or {0: (np.full((len(q), 1), -1), np.full((len(q), 1), -np.inf, np.float32))}
+    graph.within(np.ones((600, 2)))
+    assert max(met) <= 1 << 21
+
+
 def test_awkward_embeddings(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0])]
     rows += [(7, [1.0, 1.0]), (8, [2.0, 2.0, 0.0]), (8, [2.0, 2.0, 0.0]), (9, [-1.0, -1.0]), (10, [1e300, 1e300]), (11, [1e-300, 1e-300]), (12, [0.0, 0.0, 5.0])]

@@ -175,7 +175,7 @@ class Graph:
         rows = np.arange(len(q))
         out: list[tuple[np.ndarray, np.ndarray]] = []
         while len(rows) and len(self.node):
-            block = max(16, min(256, (1 << 24) // len(self.node)))
+            block = max(16, min(256, (1 << 24) // len(self.node), (1 << 21) // ef))  # what is seen, and the beams, stay bounded
             again = []
             for lo in range(0, len(rows), block):
                 part = rows[lo : lo + block]
