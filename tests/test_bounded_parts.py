@@ -25,6 +25,7 @@ def test_parts_grow_with_rows(spark, small, monkeypatch):
     parts = -(-j.events.count() // 300)
     assert parts > 10
     assert insights.dated_events(j.apps, j.events, insights.SCOPES["role_fit"]).rdd.getNumPartitions() == parts
+    assert insights.scoped("story", j.apps, j.events, j.emails).rdd.getNumPartitions() == parts == insights.scoped("role_fit", j.apps, j.events, j.emails).rdd.getNumPartitions()
     assert features.ordered_events(j.events, j.emails, j.classes).rdd.getNumPartitions() == parts
 
 
