@@ -56,3 +56,18 @@ def test_unsound_windows(spark):
     assert got == {0: "unknown kind", 1: "wrong fields", 2: "wrong fields", 3: "days out of range", 4: "start not before end", 5: "unknown kind", 6: "wrong fields", 7: None}
     rows = spark.createDataFrame([(dt.datetime(2024, 5, 1),)], "at timestamp_ntz")
     assert {x["request_id"]: x["n"] for x in windows.counted(bounded, rows, "at").collect()} == {**dict.fromkeys(range(7), 0), 7: 1}
+
+
+def test_requests_of_one_window_are_counted_once(spark, monkeypatch):
+    met, cut = {}, windows.cut
+
+    def seen(df, name):
+        out = cut(df, name)
+        met[name] = out.count()
+        return out
+
+    monkeypatch.setattr(windows, "cut", seen)
+    asked = [(i, "calendar_year", None, 2024 + i % 2, None, None, "UTC", dt.datetime(2024, 1, 1)) for i in range(500)]
+    rows = spark.createDataFrame([(dt.datetime(2024, 5, 1),)] * 3, "at timestamp_ntz")
+    counts = {x["request_id"]: x["n"] for x in windows.counted(windows.bounded(spark.createDataFrame(asked, REQUEST)), rows, "at").collect()}
+    assert counts == {i: 0 if i % 2 else 3 for i in range(500)} and met["distinct_windows"] == 2
