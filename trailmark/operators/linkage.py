@@ -2,15 +2,19 @@
 
 ``extractions`` has one row for each classified mail: email_id, thread_id, sent_at, classified_at, category, seq (its place in the
 batch) and what was read from it.  Everything is a join, a grouped aggregate or a window, but for the two rules that depend on the
-order of a thread's or a key's mails: missing names are filled for each thread in ``applyInPandas``, and a key's attempts are folded in
-slices (attempts.py).
+order of a thread's or a key's mails: missing names are filled while a thread's mails stream through a task, and a key's attempts are
+folded in slices (attempts.py).
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,10 @@ EVENT_NAMESPACE = "6ba7b812-9dad-11d1-80b4-00c04fd430c8"
 EVENT_OF_STATUS = {"applied": "applied", "in_review": "response", "assessment": "assessment", "interview": "interview_scheduled", "offer": "offer", "rejected": "rejection"}
 #: Fields of an application that the first mail which tells them decides.
 FIRST_KNOWN = ("currency", "location", "work_mode", "seniority")
+#: Identities of a thread that are moved at a time, at most twice as many.
+BLOCK = 2048
+#: Stands for a missing time or place in the batch.
+_LAST = (1 << 63) - 1
 
 
 def _mapped(c: Column, pairs: dict[str, str]) -> Column:
@@ -49,52 +57,96 @@ def resolved(x: DataFrame) -> DataFrame:
     return x.withColumn("event", kind).withColumn("at", F.coalesce("event_at", "sent_at", "classified_at"))
 
 
+class _Dated:
+    """Identities by (at, turn), as numbers in blocks, so that a new one moves few of the others and each takes 24 bytes."""
+
+    def __init__(self) -> None:
+        self.starts: list[tuple[int, int]] = []
+        self.blocks: list[tuple[array, array, array]] = []
+
+    def add(self, at: int, turn: int, who: int) -> None:
+        k = max(bisect_right(self.starts, (at, turn)) - 1, 0)
+        if not self.blocks or (len(self.blocks[k][0]) >= BLOCK and k == len(self.blocks) - 1 and (at, turn) >= (self.blocks[k][0][-1], self.blocks[k][1][-1])):
+            k = len(self.blocks)
+            self.blocks.append((array("q"), array("q"), array("q")))
+            self.starts.append((at, turn))
+        block = self.blocks[k]
+        i = bisect_right(block[1], turn, bisect_left(block[0], at), bisect_right(block[0], at))
+        for column, value in zip(block, (at, turn, who), strict=True):
+            column.insert(i, value)
+        if len(block[0]) > 2 * BLOCK:
+            self.blocks[k : k + 1] = [tuple(c[:BLOCK] for c in block), tuple(c[BLOCK:] for c in block)]
+            self.starts.insert(k + 1, (self.blocks[k + 1][0][0], self.blocks[k + 1][1][0]))
+        self.starts[k] = (self.blocks[k][0][0], self.blocks[k][1][0])
+
+    def pick(self, at: int) -> int:
+        """The last one by then, or else the last of those that are first."""
+        at = max(at, self.blocks[0][0][0])
+        times, _, whose = self.blocks[bisect_right(self.starts, (at, _LAST)) - 1]
+        return whose[bisect_right(times, at) - 1]
+
+
+class _Thread:
+    """The identities that a thread's mails may take, by what is known of them."""
+
+    def __init__(self) -> None:
+        self.found: dict[tuple, _Dated] = {}
+        self.numbers: dict[tuple, int] = {}
+        self.whole: list[tuple] = []
+
+    def add(self, at: int, turn: int, identity: tuple) -> None:
+        who = self.numbers.setdefault(identity, len(self.whole))
+        if who == len(self.whole):
+            self.whole.append(identity)
+        for known in (("any",), ("company", identity[2]), ("role", identity[3])):
+            self.found.setdefault(known, _Dated()).add(at, turn, who)
+
+    def fill(self, at: int, turn: int, c, r, ck, rk) -> tuple:
+        dated = self.found.get(("company", ck) if c is not None else ("role", rk) if r is not None else ("any",))
+        if dated is None:
+            return c, r
+        best = self.whole[dated.pick(at)]
+        filled = c or best[0], r or best[1]
+        self.add(at, turn, (*filled, ck if c is not None else best[2], rk if r is not None else best[3]))
+        return filled
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by thread in, identities by time before what is to fill in the batch's order; mails with the names that they take out."""
+    thread, state = None, None
+    for b in batches:
+        company, role = b.column("company").to_pylist(), b.column("role_title").to_pylist()
+        read = [b.column(c).to_pylist() for c in ("thread_id", "_phase", "_turn", "ck", "rk")]
+        for i, (at, own, phase, turn, ck, rk) in enumerate(zip(b.column("at").cast(pa.int64()).to_pylist(), *read, strict=True)):
+            if state is None or own != thread:
+                thread, state = own, _Thread()
+            at = _LAST if at is None else at
+            if phase < 2:
+                state.add(at, turn, (company[i], role[i], ck, rk))
+            else:
+                company[i], role[i] = state.fill(at, -turn, company[i], role[i], ck, rk)
+        names = {"company": company, "role_title": role}
+        out = pa.RecordBatch.from_arrays([pa.array(names[f.name], f.type) if f.name in names else b.column(f.name) for f in b.schema], schema=b.schema)
+        yield out.filter(pc.greater(b.column("_phase"), 0))
+
+
 def inherit_identity(x: DataFrame, known: DataFrame) -> DataFrame:
     """Fills a missing company or role from the same thread (L05): the latest earlier identity that fits, else the earliest.
 
     x is resolved; known: thread_id, company, role_title, at of applications.  Mails are taken in the batch's order, and a filled one
-    counts as an identity for those after it.  Only threads with something to fill are grouped.
+    counts as an identity for those after it.  Only threads with something to fill are sorted; their rows stream through a task, which
+    keeps 72 bytes for each identity of the thread at hand, and its different names.
     """
     sparse = F.col("company").isNull() | F.col("role_title").isNull()
     threads = x.where(sparse & F.col("thread_id").isNotNull()).select("thread_id").distinct()
     rest = x.join(threads, "thread_id", "left_anti").select(*x.columns)
-
-    def fill(key, mails: pd.DataFrame, apps: pd.DataFrame) -> pd.DataFrame:
-        mails = mails.sort_values("seq", kind="stable").reset_index(drop=True)
-        found: dict[tuple, list] = {}  # the identities that fit, by what is known, in order of time, later ones of a tie first
-
-        def add(order: int, c, r, ck, rk, at) -> None:
-            for known in (("any",), ("company", ck), ("role", rk)):
-                insort(found.setdefault(known, []), (at, -order, c, r, ck, rk), key=lambda o: o[:2])
-
-        def pick(known: tuple, at):
-            fits = found.get(known, [])
-            i = bisect_right(fits, at, key=lambda o: o[0])
-            return fits[i - 1] if i else fits[bisect_right(fits, fits[0][0], key=lambda o: o[0]) - 1] if fits else None
-
-        n = len(apps)
-        for i, o in enumerate(apps.itertuples()):
-            if o.company and o.role_title:
-                add(i, o.company, o.role_title, o.ck, o.rk, o.at)
-        own = list(zip(mails["company"], mails["role_title"], mails["ck"], mails["rk"], mails["at"], strict=True))
-        for i, (c, r, ck, rk, at) in enumerate(own):
-            if c is not None and r is not None:
-                add(n + i, c, r, ck, rk, at)
-        company, role = list(mails["company"]), list(mails["role_title"])
-        for i, (c, r, ck, rk, at) in enumerate(own):
-            if c is not None and r is not None:
-                continue
-            best = pick(("company", ck) if c is not None else ("role", rk) if r is not None else ("any",), at)
-            if best is not None:
-                company[i], role[i] = c or best[2], r or best[3]
-                add(n + i, company[i], role[i], ck if c is not None else best[4], rk if r is not None else best[5], at)
-        mails["company"], mails["role_title"] = company, role
-        return mails
-
-    with_keys = lambda df: df.withColumns({"ck": normalized_company("company"), "rk": normalized_role("role_title")})
-    todo = with_keys(x.join(threads, "thread_id", "left_semi").select(*x.columns))
-    apps = with_keys(known.select("thread_id", "company", "role_title", "at").join(threads, "thread_id", "left_semi"))
-    filled = todo.groupBy("thread_id").cogroup(apps.groupBy("thread_id")).applyInPandas(fill, todo.schema)
+    seq = F.coalesce("seq", F.lit(_LAST))
+    mails = x.join(threads, "thread_id", "left_semi").select(*x.columns, F.when(sparse, 2).otherwise(1).alias("_phase"), F.when(sparse, seq).otherwise(-seq).alias("_turn"))
+    apps = known.select("thread_id", "company", "role_title", "at").where("company <> '' AND role_title <> ''").join(threads, "thread_id", "left_semi")
+    rows = mails.unionByName(apps.withColumns({"_phase": F.lit(0), "_turn": F.lit(_LAST)}), allowMissingColumns=True)
+    rows = rows.withColumns({"ck": normalized_company("company"), "rk": normalized_role("role_title")})
+    in_order = ["thread_id", F.col("_phase") == 2, F.asc_nulls_last(F.when(F.col("_phase") < 2, F.col("at"))), "_turn", "at", "company", "role_title"]
+    filled = rows.repartition("thread_id").sortWithinPartitions(*in_order).mapInArrow(_filled, rows.schema)
     return rest.unionByName(filled.select(*x.columns))
 
 
