@@ -1,18 +1,22 @@
 """Which tools and templates questions ask for: an ordered decision list over what each question says.
 
-What a question says is a set of names: of phrases that it holds, and of a few shapes.  A rule is a row of data, a template with the names
-that call for it; rules are tried in order, all questions in one pass over their table.  Amounts, periods and limits are read from the question's
-tokens by small rules that look at a place and those after it.
+What a question says is a set of names: of phrases that it holds, and of a few shapes, a bit each.  A rule is a row of data, a template with
+the names that call for it; rules are tried in order, all questions in one pass over their table.  Amounts, periods and limits are read from the
+question's tokens by small rules that look at a place and those after it; tokens are slow to look at, so this is left out where a question
+lacks a word that its rule needs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.functions.text import once
+
 # The phrases by which questions are told apart.
 PHRASES: dict[str, tuple[str, ...]] = {
     "counted": ("how many", "count", "rate", "funnel", "conversion", "waiting on", "overdue", "follow-up", "follow up"),
@@ -71,6 +75,12 @@ DIMENSIONS = (
 PERIODS = (("last week", "last_week"), ("this week", "this_week"), ("last month", "last_month"), ("this month", "this_month"), ("last year", "last_year"), ("this year", "this_year"))
 NOT_ROLES = ("hybrid", "on site", "on-site", "onsite", "remote")
 CURRENT = "Current user question:"
+#: What a question may say: phrases, and shapes (``routed``).
+NAMES = (*PHRASES, "newest_listed", "two_sources", "dimension", "two_sources_ever")
+
+
+def _bits(*names: str) -> Column:
+    return F.lit(sum(1 << NAMES.index(n) for n in names)).cast("long")
 
 
 @dataclass(frozen=True)
@@ -82,9 +92,9 @@ class Rule:
     together: tuple[tuple[str, ...], ...] = ()
 
     def holds(self, said: Column) -> Column:
-        out = F.arrays_overlap(said, F.array(*[F.lit(s) for s in self.says])) if self.says else F.lit(False)
+        out = said.bitwiseAND(_bits(*self.says)) != 0
         for names in self.together:
-            out = out | (F.size(F.array_except(F.array(*[F.lit(n) for n in names]), said)) == 0)
+            out = out | (said.bitwiseAND(_bits(*names)) == _bits(*names))
         return out
 
 
@@ -149,25 +159,25 @@ def _digits(t: Column, i: Column, least: int, most: int) -> Column:
 
 def requested_limit(t: Column) -> Column:
     """The first number of up to three digits, within bounds; else the default (Q05)."""
-    n = _first(t, lambda t, i: _digits(t, i, 1, 3))
-    return F.when(n.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(MOST_LIMIT), n))).otherwise(F.lit(DEFAULT_LIMIT))
+    n = F.coalesce(_first(t, lambda t, i: _digits(t, i, 1, 3)), F.lit(DEFAULT_LIMIT))
+    return F.greatest(F.lit(1), F.least(F.lit(MOST_LIMIT), n))
 
 
 def period(q: Column, t: Column) -> tuple[Column, Column, Column]:
     """kind, days, year of the period that a question and its tokens name: a calendar one, the past days, or a year (Q05)."""
     named = F.coalesce(*[F.when(q.contains(phrase), kind) for phrase, kind in PERIODS])
-    days = _first(t, lambda t, i: F.when(_is(t, i, "past", "last") & _is(t, i + 2, "day", "days"), _digits(t, i + 1, 1, 4)))
-    year = _first(t, lambda t, i: F.when(_is(t, i, "in", "during") & F.coalesce(_digits(t, i + 1, 4, 4), F.lit(0)).between(1900, 2099), _digits(t, i + 1, 4, 4)))
+    days = F.when(q.contains("day") & _holds(q, ("past", "last")), _first(t, lambda t, i: F.when(_is(t, i, "past", "last") & _is(t, i + 2, "day", "days"), _digits(t, i + 1, 1, 4))))
+    year = F.when(q.rlike(r"\d{4}"), _first(t, lambda t, i: F.when(_is(t, i, "in", "during") & F.coalesce(_digits(t, i + 1, 4, 4), F.lit(0)).between(1900, 2099), _digits(t, i + 1, 4, 4))))
     kind = F.coalesce(named, F.when(days.isNotNull(), "rolling_days"), F.when(year.isNotNull(), "calendar_year"))
     return kind, F.when(kind == "rolling_days", days), F.when(kind == "calendar_year", year)
 
 
 def amounts(q: Column) -> Column:
-    """Tokens with each amount of money as one: '=' and its value, thousands spelled out."""
+    """Tokens with each amount of money as one: '=' and its value, thousands spelled out.  Null where no salary is spoken of."""
     plain = F.regexp_replace(q, r"(?<=\d),(?=\d)", "")
     pieces = F.regexp_extract_all(F.regexp_replace(plain, r"[$£€]\s*(?=\d)", ""), F.lit(r"\d+(?:\.\d+)?(?:\s*k\b)?|[a-z]+|[^\sa-z\d]"), F.lit(0))
     value = lambda p: (F.regexp_extract(p, r"^[\d.]+", 0).cast("double") * F.when(p.endswith("k"), 1000).otherwise(1)).cast("long")
-    return F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("="), value(p).cast("string"))).otherwise(p))
+    return F.when(q.contains("salary"), F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("="), value(p).cast("string"))).otherwise(p)))
 
 
 def salary_range(t: Column) -> tuple[Column, Column]:
@@ -191,17 +201,23 @@ def salary_range(t: Column) -> tuple[Column, Column]:
     both = _first(t, ranged)
     low = _first(t, bounded(("over", "above", "from"), "at", "least"))
     high = F.coalesce(_first(t, bounded(("under", "below"), "at", "most")), _first(t, bounded((), "up", "to")))
-    sound = both.isNotNull() & (both["low"] <= both["high"])
-    lower = F.when(sound, both["low"]).when(both.isNull(), low)
-    return lower, F.when(sound, both["high"]).when(both.isNull() & low.isNull(), high)
+
+    def judged(s: Column) -> Column:
+        both, low, high = s["both"], s["low"], s["high"]
+        sound = both.isNotNull() & (both["low"] <= both["high"])
+        return F.struct(F.when(sound, both["low"]).when(both.isNull(), low).alias("lower"), F.when(sound, both["high"]).when(both.isNull() & low.isNull(), high).alias("upper"))
+
+    told = F.when(t.isNotNull(), once(F.struct(both.alias("both"), low.alias("low"), high.alias("high")), judged))
+    return told["lower"], told["upper"]
 
 
 def requested_role(q: Column) -> Column:
     """The role that a question asks for: in quotes after 'role' or 'job title', or between 'application(s) for' and 'role', 'position' or 'job'."""
+    speaks = _holds(q, ("role", "position", "job"))
     quoted = [F.regexp_extract(q, rf"\b(?:role|job title) (?:is )?{mark}([^'\"]{{1,100}}){mark}", 1) for mark in ("'", '"')]
     told = F.regexp_extract(F.regexp_replace(q, r"\s+", " "), r"\bapplications? for (?:an? )?(.{1,100}?) (?:role|position|job)s?\b", 1)
     plain = F.nullif(F.trim(told), F.lit(""))
-    return F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in quoted], F.when(~plain.isin(*NOT_ROLES), plain))
+    return F.when(speaks, F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in quoted], F.when(~plain.isin(*NOT_ROLES), plain)))
 
 
 # -- questions -------------------------------------------------------------------------------------------------------------------
@@ -214,13 +230,18 @@ def _holds(q: Column, phrases: tuple[str, ...]) -> Column:
     return out
 
 
-def _named(q: Column, table: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
-    """The values of a table that a question names, in the table's order."""
-    return F.filter(F.array(*[F.when(_holds(q, phrases), value) for value, phrases in table]), lambda x: x.isNotNull())
+def _count(q: Column, table: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
+    """How many values of a table a question names."""
+    return reduce(Column.__add__, [F.when(_holds(q, phrases), 1).otherwise(0) for _, phrases in table])
+
+
+def _first_named(q: Column, table: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
+    """The first value, in the table's order, that a question names."""
+    return F.coalesce(*[F.when(_holds(q, phrases), value) for value, phrases in table])
 
 
-def _only(values: Column) -> Column:
-    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+def _only(q: Column, table: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
+    return F.when(_count(q, table) == 1, _first_named(q, table))
 
 
 def _newest(t: Column, nouns: tuple[str, ...], counted: bool) -> Column:
@@ -245,13 +266,14 @@ def routed(questions: DataFrame, text: str = "question") -> DataFrame:
     A null question is an empty one.  The route and the template go by the whole text, filters, period and limit by what is asked now."""
     said_now = F.lower(current_question(F.coalesce(F.col(text), F.lit(""))))
     step = questions.withColumns({"_q": F.lower(F.coalesce(F.col(text), F.lit(""))), "_now": said_now})
-    step = step.withColumns({"_t": tokens(F.col("_q")), "_tn": tokens(F.col("_now")), "_money": amounts(F.col("_now"))})
+    may_ask = F.col("_q").contains("application") & _holds(F.col("_q"), ("latest", "last", "recent"))
+    step = step.withColumns({"_t": F.when(may_ask, tokens(F.col("_q"))), "_money": amounts(F.col("_now"))})
     q, now, t, tn = (F.col(c) for c in ("_q", "_now", "_t", "_tn"))
-    newest, one = _newest(t, ("application", "applications"), True), _newest(tn, ("application",), False)
-    sources = _named(now, SOURCES)
-    shapes = {"newest_listed": newest, "two_sources": F.size(sources) > 1, "dimension": F.size(_named(q, DIMENSIONS)) > 0, "two_sources_ever": F.size(_named(q, SOURCES)) > 1}
-    names = F.array(*[F.when(_holds(q, phrases), name) for name, phrases in PHRASES.items()], *[F.when(holds, name) for name, holds in shapes.items()])
-    step = step.withColumns({"_said": F.filter(names, lambda x: x.isNotNull()), "_dimensions": _named(q, DIMENSIONS), "_sources": sources, "_one": one, "insight": F.get(_named(q, INSIGHTS), F.lit(0))})
+    newest = F.coalesce(_newest(t, ("application", "applications"), True), F.lit(False))
+    shapes = {"newest_listed": newest, "two_sources": _count(now, SOURCES) > 1, "dimension": _first_named(q, DIMENSIONS).isNotNull(), "two_sources_ever": _count(q, SOURCES) > 1}
+    held = {name: _holds(q, phrases) for name, phrases in PHRASES.items()} | shapes
+    bits = reduce(Column.bitwiseOR, [F.when(held[name], _bits(name)).otherwise(F.lit(0).cast("long")) for name in NAMES])
+    step = step.withColumns({"_said": bits, "_dimension": _first_named(q, DIMENSIONS), "insight": _first_named(q, INSIGHTS)})
     said = F.col("_said")
     numbers = Rule("", ("counted", "listed", "recent", "dimension", "two_sources_ever")).holds(said)
     for rule in _BY_RULE:
@@ -264,22 +286,22 @@ def routed(questions: DataFrame, text: str = "question") -> DataFrame:
     template = F.coalesce(*[F.when(rule.holds(said), rule.template) for rule in RULES], F.lit(OTHERWISE))
     kind, days, year = period(now, tn)
     low, high = salary_range(F.col("_money"))
-    step = step.withColumns({"route": route, "template": template, "_modes": _named(now, WORK_MODES), "_compared": _named(now, DIMENSIONS), "_statuses": _named(now, STATUSES), "_kind": kind})
-    kind, status = F.col("_kind"), _only(F.col("_statuses"))
-    modes, of_mode = F.col("_modes"), F.array_contains("_compared", "work_mode")
-    sponsorship = F.when(~F.array_contains("_compared", "sponsorship"), F.get(_named(now, SPONSORSHIPS), F.lit(0)))
+    step = step.withColumns({"route": route, "template": template, "_status": _only(now, STATUSES)})
+    step = step.withColumn("_tn", F.when(now.rlike(r"\d") | (F.col("template") == "application_list"), tokens(now))).withColumn("_kind", kind)
+    kind, status, compared = F.col("_kind"), F.col("_status"), dict(DIMENSIONS)
+    sponsorship = F.when(~_holds(now, compared["sponsorship"]), _first_named(now, SPONSORSHIPS))
     chosen = F.col("template")
     return step.withColumns(
         {
-            "dimension": F.when(chosen == "breakdown", F.when(any_of("two_sources"), "source").otherwise(F.get("_dimensions", F.lit(0)))),
+            "dimension": F.when(chosen == "breakdown", F.when(any_of("two_sources"), "source").otherwise(F.col("_dimension"))),
             "window_kind": F.when(chosen.isin(*DATED), kind), "window_days": F.when(chosen.isin(*DATED), days), "window_year": F.when(chosen.isin(*DATED), year),
-            "list_limit": F.when(chosen.isin(*LIMITED), F.when((chosen == "application_list") & F.col("_one"), 1).otherwise(requested_limit(tn))),
-            "source": _only(F.col("_sources")), "work_mode": F.when(~of_mode, _only(modes)),
+            "list_limit": F.when(chosen.isin(*LIMITED), F.when((chosen == "application_list") & _newest(tn, ("application",), False), 1).otherwise(requested_limit(tn))),
+            "source": _only(now, SOURCES), "work_mode": F.when(~_holds(now, compared["work_mode"]), _only(now, WORK_MODES)),
             "sponsorship": F.when(chosen != "sponsorship_response_impact", sponsorship),
             "status": F.when(~((chosen == "negative_outcome_segments") & F.coalesce(status.isin("rejected", "ghosted"), F.lit(False))), status),
             "role": requested_role(now), "salary_min": low, "salary_max": high,
         }
-    ).drop("_q", "_now", "_t", "_tn", "_money", "_said", "_dimensions", "_sources", "_one", "_modes", "_compared", "_statuses", "_kind")
+    ).drop("_q", "_now", "_t", "_tn", "_money", "_said", "_dimension", "_status", "_kind")
 
 
 def seen_between(kind: Column, year: Column, at: Column) -> tuple[Column, Column]:
