@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from trailmark.operators import names, retrieval
+from trailmark.operators import names, retrieval, text_index
 from trailmark.operators.text_index import TextIndex
 from trailmark.operators.vector_index import VectorIndex
 
@@ -112,3 +112,56 @@ def test_first_places_carry_no_texts(spark, tmp_path):
     places = index.first_places(df, asked)
     assert {tuple(x) for x in places.collect()} == {(1, "a", 0), (2, "a", 0), (2, "b", 1), (3, "a", 0), (3, "b", 0)}
     assert {(x["term_id"], x["email_id"], x["content"]) for x in index.first_mentions(df, asked).collect()} >= {(1, "a", "One token here"), (2, "b", "a to-do")}
+
+
+def _moved(node) -> int:
+    """Rows that the shuffles of an executed plan wrote."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+        return _moved(node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan())
+    own = node.metrics().get("shuffleRecordsWritten").get().value() if name == "ShuffleExchangeExec" else 0
+    return own + sum(_moved(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_first_places_of_many_terms(spark, tmp_path, monkeypatch):
+    r = random.Random(11)
+    words = [f"{a}{b}{c}{d}" for a in "pq" for b in "aeiou" for c in "xyzé" for d in "stu"]
+    rows = [(f"m{i // 2}", i % 2, " ".join(r.sample(words, 90)).upper()) for i in range(160)]
+    df = spark.createDataFrame(rows, CHUNK)
+    index = TextIndex(spark, str(tmp_path / "index"), buckets=2)
+    index.update(df, df.select("email_id").distinct().withColumn("action", F.lit("embed")))
+    terms = [w[i : i + n] for w in words for i, n in ((0, 4), (0, 3), (1, 3), (0, 2), (3, 1))] + [f"{a} {b}" for a in words[:40] for b in words[-40:]]
+    terms = [(i, t) for i, t in enumerate(dict.fromkeys(terms))] + [(0, "qu"), (1, "absent")]  # one id may have two terms
+    asked = spark.createDataFrame(terms, "term_id long, term string")
+    want = {}
+    for m, c, said in rows:
+        for i, t in terms:
+            if t in said.lower():
+                want[i, m] = min(c, want.get((i, m), c))
+    for most in (1 << 17, 300):  # terms in one part and in several
+        monkeypatch.setattr(text_index, "MOST_TERMS", most)
+        assert {((x["term_id"], x["email_id"]), x["chunk_index"]) for x in index.first_places(df, asked).collect()} == set(want.items())
+
+
+def test_pairs_of_terms_and_chunks_are_not_shuffled(spark, tmp_path):
+    r = random.Random(12)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(150))
+    df = spark.createDataFrame([(f"m{i}", 0, f"{i} {passage}") for i in range(80)], CHUNK)
+    index = TextIndex(spark, str(tmp_path / "index"), buckets=2)
+    index.update(df, df.select("email_id").distinct().withColumn("action", F.lit("embed")))
+    asked = [(i, t) for i, t in enumerate(sorted({passage[i : i + n] for n in range(4, 16) for i in range(150 - n)}))]
+    places = index.first_places(df, spark.createDataFrame(asked, "term_id long, term string"))
+    pairs = len(places.collect())
+    assert pairs == 80 * len(asked) > 100_000
+    assert _moved(places._jdf.queryExecution().executedPlan()) < pairs // 3
+
+
+def test_pieces_of_a_text(monkeypatch):
+    monkeypatch.setattr(text_index, "FEW", 3)
+    monkeypatch.setattr(text_index, "WINDOW", 4)
+    r = random.Random(2)
+    for size in (0, 1, 2, 3, 9, 40):
+        said = bytes(r.choice(b"abc") for _ in range(size))
+        for n in (1, 2, 3, 5):
+            asked = [bytes(r.choice(b"abc") for _ in range(n)) for _ in range(r.choice([2, 30]))]
+            assert text_index._pieces(said, n, asked) == {t for t in asked if t in said}

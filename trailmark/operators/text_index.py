@@ -5,18 +5,36 @@ of three or more has all its grams in a chunk that holds it, and a shorter one b
 grams, so a search reads the parts of files that its grams lie in.  Of a term's grams only the rarest is looked up; chunks that have it are
 read and compared with the term itself.
 
+Terms times chunks may be far more rows than both tables have, so pairs are made where a mail's chunks are and go nowhere from there: what is
+shuffled are postings, once, the chunks' texts and the terms, which each part of the mails gets a copy of.
+
 Changes come as generations: a batch writes the postings of its mails, and a table tells which generation of a mail counts.  ``compacted``
 writes all that counts as one generation again.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from trailmark.sources.shared import cut
 from trailmark.streaming.tables import BucketedTable
 
 GRAM = 3
+#: Grams that a scan is asked for by name; grams that are broadcast at most.
+MOST_NAMED, MOST_BROADCAST = 1000, 1 << 18
+#: Terms that a task keeps, and about how many postings it sorts.
+MOST_TERMS, MOST_POSTINGS = 1 << 17, 1 << 19
+#: Up to so many terms of one length are looked for one by one; more are looked up among the pieces of the text, at so many places at a time.
+FEW, WINDOW = 128, 1 << 16
+_TERM, _LIVE, _POSTING, _TEXT = range(4)
 
 
 def grams(text: Column) -> Column:
@@ -26,6 +44,75 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.transform(chars, lambda c, i: F.concat(c, at(chars, i + 1), at(chars, i + 2))))
 
 
+def _pieces(said: bytes, n: int, asked: list[bytes]) -> set[bytes]:
+    """Those of the asked terms, all n bytes long, that the text holds."""
+    if len(asked) <= FEW:
+        return {t for t in asked if t in said}
+    found, ends = set(), len(said) - n + 1
+    for at in range(0, ends, WINDOW):
+        found |= {said[i : i + n] for i in range(at, min(at + WINDOW, ends))}.intersection(asked)
+    return found
+
+
+def _meeting(first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """term_id, email_id, chunk_index of each chunk that holds a term, or of the ``first`` one of each mail.
+
+    Takes some terms, then mail by mail its generation that counts and, chunk by chunk, the chunk's postings and its text."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, more, short = defaultdict(list), defaultdict(lambda: defaultdict(list)), defaultdict(list)  # terms by gram; of them those that are longer, and terms without one, by length
+        numbers, ids, rows = defaultdict(list), [], 0  # each term's places in ids
+        alive = since = key = None
+        held, seen = [], set()
+        mails, places, sizes, found = [], [], [], []
+
+        def out(b: pa.RecordBatch) -> pa.RecordBatch:
+            of = pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64())
+            columns = [pa.concat_arrays(ids).take(pa.array(found, pa.int64()))]
+            columns += [pa.array(x, b.schema.field(c).type).take(of) for x, c in ((mails, "email_id"), (places, "chunk_index"))]
+            for x in (mails, places, sizes, found):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["term_id", "email_id", "chunk_index"])
+
+        for b in batches:
+            kinds = b.column("kind").to_pylist()
+            if _TERM in kinds:
+                ids.append(b.column("term_id").slice(0, kinds.count(_TERM)))
+            values = [b.column("email_id").to_numpy(zero_copy_only=False), *[b.column(c).fill_null(0).to_numpy() for c in ("chunk_index", "generation")], *[b.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "body")]]
+            for kind, mail, at, generation, gram, body in zip(kinds, *[v.tolist() for v in values], strict=True):
+                if kind == _POSTING:
+                    if mail == alive and generation == since:
+                        if (mail, at) != key:
+                            key, held = (mail, at), []
+                        held.append(gram)
+                elif kind == _TEXT and mail == alive:
+                    maybe, has = defaultdict(list, {n: list(t) for n, t in short.items()}), set()
+                    for g in held if (mail, at) == key else ():
+                        has.update(told.get(g, ()))
+                        for n, t in more[g].items() if g in more else ():
+                            maybe[n] += t
+                    for n, asked in maybe.items():
+                        has |= _pieces(body, n, asked)
+                    if first:
+                        has -= seen
+                        seen |= has
+                    hits = list(chain.from_iterable(map(numbers.__getitem__, has)))
+                    mails.append(mail), places.append(at), sizes.append(len(hits)), found.extend(hits)
+                    if len(found) > WINDOW:
+                        yield out(b)
+                elif kind == _LIVE:
+                    alive, since, key, held, seen = mail, generation, None, [], set()
+                elif kind == _TERM:
+                    if body not in numbers:
+                        (short[len(body)] if gram is None else told[gram] if gram.encode() == body else more[gram][len(body)]).append(body)
+                    numbers[body].append(rows)
+                    rows += 1
+        if found:
+            yield out(b)
+
+    return make
+
+
 class TextIndex:
     """An index in a folder: generations of postings, their counts by gram, and each mail's generation."""
 
@@ -59,26 +146,38 @@ class TextIndex:
         out.update(chunks, live.select("email_id", F.lit("embed").alias("action")))
         return out
 
+    def _long(self, said: DataFrame) -> DataFrame:
+        """Each gram of terms (low) that have one."""
+        return said.where(F.char_length("low") >= GRAM).withColumn("gram", F.explode(F.filter(grams(F.col("low")), lambda g: F.char_length(g) == GRAM)))
+
+    def _begun(self, said: DataFrame, totals: DataFrame) -> DataFrame:
+        """begin, gram: the grams that begin with a term (low) which is shorter than they are."""
+        begins = said.where(F.char_length("low") < GRAM).select(F.col("low").alias("begin")).distinct()
+        first = F.explode(F.array(F.struct(F.substring("gram", 1, 1).alias("begin"), "gram"), F.struct(F.substring("gram", 1, 2).alias("begin"), "gram"))).alias("b")
+        return totals.select(first).select("b.begin", "b.gram").distinct().join(begins, "begin")
+
+    def _totals(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/counts").groupBy("gram").agg(F.sum("n").alias("n"))
+
+    def _postings(self, wanted: DataFrame) -> tuple[DataFrame, bool]:
+        """All postings, or those of the wanted grams if the scan itself can leave out what other grams lie in; and whether it can."""
+        postings = self.spark.read.parquet(f"{self.folder}/postings")
+        few = wanted.select("gram").distinct().limit(MOST_NAMED + 1).collect()
+        named = len(few) <= MOST_NAMED
+        return (postings.where(F.col("gram").isin([r["gram"] for r in few])) if named else postings), named
+
     def candidates(self, terms: DataFrame, most_grams: int = 3) -> DataFrame:
         """term_id, term, email_id, chunk_index of chunks that have the rarest grams of each term.  terms: term_id, term, none empty."""
         said = terms.select("term_id", "term", F.lower("term").alias("low")).where("low <> ''")
-        long = said.where(F.char_length("low") >= GRAM).select("term_id", "term", F.explode(F.filter(grams(F.col("low")), lambda g: F.char_length(g) == GRAM)).alias("gram"))
         short = said.where(F.char_length("low") < GRAM)
-        counts = self.spark.read.parquet(f"{self.folder}/counts")
-        totals = counts.groupBy("gram").agg(F.sum("n").alias("n"))
+        totals = self._totals()
         rarest = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), 1, most_grams)
-        chosen = long.join(totals, "gram", "left").groupBy("term_id", "term").agg(rarest.alias("g")).select("term_id", "term", F.size("g").alias("needs"), F.explode("g.gram").alias("gram"))
-        first = F.explode(F.array(F.struct(F.substring("gram", 1, 1).alias("begin"), "gram"), F.struct(F.substring("gram", 1, 2).alias("begin"), "gram"))).alias("b")
-        begins = short.select(F.col("low").alias("begin")).distinct()
-        begun = totals.select(first).select("b.begin", "b.gram").distinct().join(begins, "begin")
-        wanted = chosen.select("gram").unionByName(begun.select("gram"))
+        chosen = self._long(said).join(totals, "gram", "left").groupBy("term_id", "term").agg(rarest.alias("g")).select("term_id", "term", F.size("g").alias("needs"), F.explode("g.gram").alias("gram"))
+        begun = self._begun(said, totals)
         live = self.state.rows()
         if live is None:
             return terms.select("term_id", "term", F.lit("").alias("email_id"), F.lit(0).alias("chunk_index")).limit(0)
-        postings = self.spark.read.parquet(f"{self.folder}/postings")
-        few = wanted.select("gram").distinct().limit(1001).collect()
-        if len(few) <= 1000:  # then the scan itself leaves out what other grams lie in
-            postings = postings.where(F.col("gram").isin([r["gram"] for r in few]))
+        postings, _ = self._postings(chosen.select("gram").unionByName(begun.select("gram")))
         counted = postings.join(live.withColumnRenamed("since", "generation"), ["email_id", "generation"], "left_semi").select("gram", "email_id", "chunk_index")
         found = counted.join(chosen, "gram").select("term_id", "term", "needs", "email_id", "chunk_index")
         if most_grams > 1:  # of one gram a chunk has one row
@@ -88,11 +187,44 @@ class TextIndex:
         brief = places.join(short, F.col("begin") == F.col("low"))
         return found.select("term_id", "term", "email_id", "chunk_index").unionByName(brief.select("term_id", "term", "email_id", "chunk_index"))
 
-    def _held(self, chunks: DataFrame, terms: DataFrame) -> DataFrame:
-        """term_id, email_id, chunk_index of all chunks that hold a term: the rarest gram tells which are read."""
-        near = self.candidates(terms, most_grams=1)
-        texts = chunks.select("email_id", "chunk_index", F.lower("content").alias("said"))
-        return texts.join(near, ["email_id", "chunk_index"]).where(F.col("said").contains(F.lower("term"))).select("term_id", "email_id", "chunk_index")
+    def _held(self, chunks: DataFrame, terms: DataFrame, first: bool = False) -> DataFrame:
+        """term_id, email_id, chunk_index of all chunks that hold a term, or of the first one of each mail."""
+        kinds = {"email_id": chunks.schema["email_id"].dataType, "chunk_index": chunks.schema["chunk_index"].dataType, "generation": "int", "gram": "string", "body": "binary", "term_id": terms.schema["term_id"].dataType}
+        shape = StructType([StructField(c, kinds[c]) for c in ("term_id", "email_id", "chunk_index")])
+        live = self.state.rows()
+        if live is None:
+            return self.spark.createDataFrame([], shape)
+        said, totals = terms.select("term_id", F.lower("term").alias("low")).where("low <> ''").distinct(), self._totals()
+        rarest = self._long(said).join(totals, "gram", "left").groupBy("term_id", "low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")
+        short = said.where(F.char_length("low") < GRAM).select("term_id", "low", F.lit(None).cast("string").alias("gram"))
+        chosen = cut(rarest.select("term_id", "low", "g.gram").unionByName(short), "chosen")
+        postings, named = self._postings(chosen.select("gram").where("gram IS NOT NULL").unionByName(self._begun(chosen, totals).select("gram")))
+        texts = chunks.where("email_id IS NOT NULL AND chunk_index IS NOT NULL AND content IS NOT NULL").select("email_id", "chunk_index", F.lower("content").cast("binary").alias("body"))
+        if named:
+            texts = texts.join(postings.select("email_id", "chunk_index").distinct(), ["email_id", "chunk_index"], "left_semi")
+        wanted = chosen.select("gram").distinct().join(totals, "gram")
+        size = wanted.agg(F.count("*").alias("grams"), F.sum("n").alias("rows")).first()
+        if not named:  # short terms are compared with the texts and need no postings
+            postings = postings.join(F.broadcast(wanted) if size["grams"] <= MOST_BROADCAST else wanted, "gram", "left_semi")
+        parts = max(2 * self.spark.sparkContext.defaultParallelism, -(-(size["rows"] or 0) // MOST_POSTINGS))
+        asked = chosen.count()
+        shares = max(1, -(-asked // MOST_TERMS))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        part = F.pmod(F.xxhash64("email_id"), F.lit(parts)).cast("int")
+        share = lambda c: F.pmod(F.xxhash64(c), F.lit(shares)).cast("int")
+
+        def sent(kind: int, df: DataFrame, **columns: Column) -> DataFrame:
+            return df.select((F.col("part") * shares + F.col("share")).alias("cell"), F.lit(kind).alias("kind"), *[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+        col = lambda *names: {c: F.col(c) for c in names}
+        rows = sent(_TERM, chosen.withColumn("share", share(F.coalesce("gram", "low"))).withColumn("part", every(parts)), body=F.col("low").cast("binary"), **col("gram", "term_id"))
+        rows = rows.unionByName(sent(_LIVE, live.withColumn("part", part).withColumn("share", every(shares)), generation=F.col("since"), **col("email_id")))
+        rows = rows.unionByName(sent(_POSTING, postings.where("chunk_index IS NOT NULL").withColumn("part", part).withColumn("share", share("gram")), **col("email_id", "chunk_index", "generation", "gram")))
+        rows = rows.unionByName(sent(_TEXT, texts.withColumn("part", part).withColumn("share", every(shares)), **col("email_id", "chunk_index", "body")))
+        met = rows.repartitionById(parts * shares, "cell").sortWithinPartitions("email_id", "chunk_index", "kind").drop("cell").mapInArrow(_meeting(first), shape)
+        if first and asked > chosen.select("term_id").distinct().count():  # several terms of one id
+            met = met.groupBy("term_id", "email_id").agg(F.min("chunk_index").alias("chunk_index"))
+        return met
 
     def search(self, chunks: DataFrame, terms: DataFrame) -> DataFrame:
         """term_id, email_id, chunk_index, content of all chunks that hold a term, whatever its case."""
@@ -100,7 +232,7 @@ class TextIndex:
 
     def first_places(self, chunks: DataFrame, terms: DataFrame) -> DataFrame:
         """term_id, email_id, chunk_index of the first chunk of each mail that holds a term; no text is carried along."""
-        return self._held(chunks, terms).groupBy("term_id", "email_id").agg(F.min("chunk_index").alias("chunk_index"))
+        return self._held(chunks, terms, first=True)
 
     def first_mentions(self, chunks: DataFrame, terms: DataFrame) -> DataFrame:
         """The first chunk of each mail that holds a term (W01), for many terms at once."""
