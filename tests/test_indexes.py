@@ -165,3 +165,9 @@ def test_pieces_of_a_text(monkeypatch):
         for n in (1, 2, 3, 5):
             asked = [bytes(r.choice(b"abc") for _ in range(n)) for _ in range(r.choice([2, 30]))]
             assert text_index._pieces(said, n, asked) == {t for t in asked if t in said}
+        asked = [bytes(r.choice(b"abc\x00\xff") for _ in range(n)) for n in (1, 2, 3, 7, 8, 9) for _ in range(30)] + [said[i : i + n] for n in (2, 6, 7, 8, 10) for i in range(size - n)]
+        asked += asked[:5]
+        terms = text_index._Terms(asked, ["g" if t[:1] == b"a" else None for t in asked])
+        rows = lambda grams: sorted(terms.rows_of(terms.held(said, grams)).tolist())
+        assert rows({None, "g", "h"}) == [i for i, t in enumerate(asked) if t in said]
+        assert rows({"g"}) == [i for i, t in enumerate(asked) if t in said and t[:1] == b"a"]

@@ -34,6 +34,8 @@ MOST_NAMED, MOST_BROADCAST = 1000, 1 << 18
 MOST_TERMS, MOST_POSTINGS = 1 << 17, 1 << 19
 #: Up to so many terms of one length are looked for one by one; more are looked up among the pieces of the text, at so many places at a time.
 FEW, WINDOW = 128, 1 << 16
+#: Terms of so many bytes at most are looked up as numbers.
+CODED = 7
 _TERM, _LIVE, _POSTING, _TEXT = range(4)
 
 
@@ -54,23 +56,67 @@ def _pieces(said: bytes, n: int, asked: list[bytes]) -> set[bytes]:
     return found
 
 
+def _codes(said: bytes, lengths: set[int]) -> np.ndarray:
+    """The pieces of a text that have one of these lengths, up to ``CODED`` bytes, as numbers that tell their lengths too; in order."""
+    chars = np.frombuffer(said, np.uint8).astype(np.int64)
+    code, codes = np.zeros(len(chars), np.int64), [np.zeros(0, np.int64)]
+    for n in range(1, min(CODED, len(chars)) + 1):
+        code = code[: len(chars) - n + 1] | chars[n - 1 :] << 8 * (n - 1)
+        if n in lengths:
+            codes.append(code | n << 56)
+    return np.sort(np.concatenate(codes))
+
+
+class _Terms:
+    """Terms by the gram that tells where they may be (None: anywhere); equal ones are one, with the places of all."""
+
+    def __init__(self, terms: list[bytes], grams: list[str | None]):
+        self.number = {t: i for i, t in enumerate(dict.fromkeys(terms))}
+        rows = np.array([self.number[t] for t in terms], np.int64)
+        self.rows, self.many = np.argsort(rows, kind="stable"), np.bincount(rows, minlength=len(self.number))
+        self.begin = np.cumsum(self.many) - self.many
+        self.code = np.array([int.from_bytes(t, "little") | len(t) << 56 if len(t) <= CODED else 0 for t in self.number], np.int64)
+        self.lengths = {len(t) for t in self.number if len(t) <= CODED}
+        coded, self.longer = defaultdict(list), defaultdict(list)
+        for t, g in dict(zip(terms, grams, strict=True)).items():
+            coded[g].append(self.number[t]) if len(t) <= CODED else self.longer[g].append(t)
+        self.coded = {g: np.array(x, np.int64) for g, x in coded.items()}
+
+    def held(self, said: bytes, grams: set[str | None]) -> np.ndarray:
+        """The numbers of the terms of these grams that the text holds."""
+        near = np.concatenate([np.zeros(0, np.int64), *[self.coded[g] for g in grams if g in self.coded]])
+        asked, hit = self.code[near], np.zeros(len(near), bool)
+        for at in range(0, len(said), WINDOW) if len(near) else ():
+            codes = _codes(said[at : at + WINDOW + CODED - 1], self.lengths)
+            if len(codes):
+                hit |= codes[np.minimum(np.searchsorted(codes, asked), len(codes) - 1)] == asked
+        longer = defaultdict(list)
+        for g in grams:
+            for t in self.longer.get(g, ()):
+                longer[len(t)].append(t)
+        return np.concatenate([near[hit], np.array([self.number[t] for n, x in longer.items() for t in _pieces(said, n, x)], np.int64)])
+
+    def rows_of(self, numbers: np.ndarray) -> np.ndarray:
+        many = self.many[numbers]
+        return self.rows[np.repeat(self.begin[numbers] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+
+
 def _meeting(first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """term_id, email_id, chunk_index of each chunk that holds a term, or of the ``first`` one of each mail.
 
     Takes some terms, then mail by mail its generation that counts and, chunk by chunk, the chunk's postings and its text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told, more, short = defaultdict(list), defaultdict(lambda: defaultdict(list)), defaultdict(list)  # terms by gram; of them those that are longer, and terms without one, by length
-        numbers, ids, rows = defaultdict(list), [], 0  # each term's places in ids
+        ids, said, near, terms = [], [], [], None
         alive = since = key = None
-        held, seen = [], set()
-        mails, places, sizes, found = [], [], [], []
+        held, seen = [], None
+        mails, places, found, size = [], [], [], 0
 
         def out(b: pa.RecordBatch) -> pa.RecordBatch:
-            of = pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64())
-            columns = [pa.concat_arrays(ids).take(pa.array(found, pa.int64()))]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            columns = [pa.concat_arrays(ids).take(pa.array(np.concatenate(found)))]
             columns += [pa.array(x, b.schema.field(c).type).take(of) for x, c in ((mails, "email_id"), (places, "chunk_index"))]
-            for x in (mails, places, sizes, found):
+            for x in (mails, places, found):
                 x.clear()
             return pa.RecordBatch.from_arrays(columns, names=["term_id", "email_id", "chunk_index"])
 
@@ -86,28 +132,23 @@ def _meeting(first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                             key, held = (mail, at), []
                         held.append(gram)
                 elif kind == _TEXT and mail == alive:
-                    maybe, has = defaultdict(list, {n: list(t) for n, t in short.items()}), set()
-                    for g in held if (mail, at) == key else ():
-                        has.update(told.get(g, ()))
-                        for n, t in more[g].items() if g in more else ():
-                            maybe[n] += t
-                    for n, asked in maybe.items():
-                        has |= _pieces(body, n, asked)
+                    terms = terms or _Terms(said, near)
+                    has = terms.held(body, {None, *(held if (mail, at) == key else ())})
                     if first:
-                        has -= seen
-                        seen |= has
-                    hits = list(chain.from_iterable(map(numbers.__getitem__, has)))
-                    mails.append(mail), places.append(at), sizes.append(len(hits)), found.extend(hits)
-                    if len(found) > WINDOW:
+                        seen = np.zeros(len(terms.number), bool) if seen is None else seen
+                        has = has[~seen[has]]
+                        seen[has] = True
+                    if len(has):
+                        mails.append(mail), places.append(at), found.append(terms.rows_of(has))
+                        size += len(found[-1])
+                    if size > WINDOW:
                         yield out(b)
+                        size = 0
                 elif kind == _LIVE:
-                    alive, since, key, held, seen = mail, generation, None, [], set()
+                    alive, since, key, held, seen = mail, generation, None, [], None
                 elif kind == _TERM:
-                    if body not in numbers:
-                        (short[len(body)] if gram is None else told[gram] if gram.encode() == body else more[gram][len(body)]).append(body)
-                    numbers[body].append(rows)
-                    rows += 1
-        if found:
+                    said.append(body), near.append(gram)
+        if size:
             yield out(b)
 
     return make
@@ -130,7 +171,7 @@ class TextIndex:
         chars = fresh.withColumn("low", F.lower("content")).withColumn("chars", F.filter(F.split("low", ""), lambda c: c != ""))
         at = lambda i: F.coalesce(F.get("chars", i), F.lit(""))
         every = F.array_distinct(F.transform("chars", lambda c, i: F.concat(c, at(i + 1), at(i + 2))))
-        rows = chars.select(F.explode(every).alias("gram"), "email_id", "chunk_index")
+        rows = cut(chars.select(F.explode(every).alias("gram"), "email_id", "chunk_index"), "grams")  # read twice: ranges are sampled first
         rows.repartitionByRange("gram", "email_id").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.folder}/postings/generation={n}")
         self.spark.read.parquet(f"{self.folder}/postings/generation={n}").groupBy("gram").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.folder}/counts/generation={n}")
 
